@@ -83,7 +83,7 @@ def _clustered(dims: int, idf: np.ndarray, k: int, quantile: float, rounds: int
     return run
 
 
-def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang: int = 4, sample: int = 600, quantile: float = 0.001, slack: float = 0.5) -> Model:
+def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang: int = 4, sample: int = 600, quantile: float = 0.001, slack: float = 0.25) -> Model:
     """A model from columns text, lang and order, a hash that picks the sample.  What reaches the driver is bounded by dims and the number of languages.
 
     A language's limit is `slack` times the `quantile` of its training cosines.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, suffix
+from . import language, licenses, minhash, mixing, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.kept_digest(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing_source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(spark, _table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -31,6 +35,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_array_dedup, op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_array_dedup, op6_license_scan, op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup,)}
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing_source_weights": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op8_mixing_source_weights": mixing.ORACLE_SQL}
