@@ -141,9 +141,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(y, "b").join(x, "a").select("a", "b", "xs", "ys").mapInArrow(_overlap, "a long, b long, both long, either long")
 
 
-def _may(percent: int) -> Column:
-    """Whether a pair may be a link, by sizes n, n2 and lone shingles u, u2: |x & y| <= n - u and |x | y| >= n + u2."""
-    return (100 * (F.col("n") - F.col("u")) >= percent * F.greatest("n2", F.col("n") + F.col("u2"))) & (100 * (F.col("n2") - F.col("u2")) >= percent * F.greatest("n", F.col("n2") + F.col("u")))
+def _may(percent: int, n: str = "n", u: str = "u", n2: str = "n2", u2: str = "u2") -> Column:
+    """Whether a pair may be a link, by sizes and lone shingles: |x & y| <= least n - u, and |x | y| = n + n2 - |x & y|."""
+    return (100 + percent) * F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2)) >= percent * (F.col(n) + F.col(n2))
 
 
 def _lone(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,9 +157,13 @@ def _with_lone(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members (with u) of buckets in which the member with fewest lone shingles leaves them a chance; size counts those."""
-    least = members.groupBy("key").agg(F.min("u").alias("least"))
-    left = members.join(least, "key").where(100 * (F.col("n") - F.col("u")) >= percent * (F.col("n") + F.col("least"))).drop("least", "size")
+    """Members of buckets that some size in their bucket leaves a chance by _may(); size counts those.
+
+    A bucket is summed up by size: per number of shingles, the fewest lone ones.
+    """
+    best = members.groupBy("key", F.col("n").alias("n2")).agg(F.min("u").alias("u2"))
+    chance = members.select("key", "n", "u").distinct().join(best, "key").where(_may(percent)).select("key", "n", "u").distinct()
+    left = members.join(chance, ["key", "n", "u"], "left_semi").drop("size")
     return left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
@@ -211,8 +215,13 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sigs = work.put(texts.mapInArrow(_sketched("id", width, m, rows, seed), "id long, n long, fp binary, sketch array<long>"), "sketches")
     classes = work.put(sigs.where("fp is not null and id is not null").groupBy("fp").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("c")).select("fp", "c.*"), "classes")
-    cell = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.xxhash64(i * m + j, F.get("sketch", i), F.get("sketch", j + m))))))
-    keys = classes.select(cell.alias("key"), "id", "n")
+    # a tuple that no other class has cannot be half of a shared key
+    half = classes.select("id", "n", F.posexplode("sketch").alias("t", "h"))
+    shared = half.groupBy("t", "h").agg(F.count("*").alias("c")).where("c > 1").select("t", "h")
+    halves = work.put(half.join(shared, ["t", "h"]).groupBy("id", "n").agg(F.collect_set(F.struct("t", "h")).alias("l")), "halves")  # 2 m at most
+    in_a, in_b = (F.filter("l", lambda x: x["t"] < m), F.filter("l", lambda x: x["t"] >= m))
+    cells = F.transform(in_a, lambda x: F.transform(in_b, lambda y: F.xxhash64(x["t"], y["t"], x["h"], y["h"])))
+    keys = halves.select(F.explode(F.flatten(cells)).alias("key"), "id", "n")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
     buckets = buckets.groupBy("size", "lead", "members").agg(F.min("key").alias("key")).select("key", "size")  # tables often hold the same bucket
     members = work.put(keys.join(buckets, "key"), "members")
