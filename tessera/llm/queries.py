@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, minhash, mixing, suffix
+from . import embeddings, language, licenses, media, minhash, mixing, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.write_media(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.kept_digest(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(spark, _table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,6 +48,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_array_dedup, op6_license_scan, op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_warc, op5_embedding_near_dedup, op6_license_scan, op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup,)}
 
 ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op8_mixing_source_weights": mixing.ORACLE_SQL}
