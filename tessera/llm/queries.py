@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, language, licenses, media, minhash, mixing, suffix, warc
+from . import embeddings, language, licenses, lines, media, minhash, mixing, packing, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document that keeps a line: its id, the digest of what is left, and how many lines went."""
+    cut = lines.dedup(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
 
@@ -34,6 +41,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing_source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(spark, _table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -48,6 +59,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_warc, op5_embedding_near_dedup, op6_license_scan, op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_suffix_array_dedup, op3_warc, op4_line_dedup, op5_embedding_near_dedup, op6_license_scan, op7_best_fit_packing, op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup,)}
 
 ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op8_mixing_source_weights": mixing.ORACLE_SQL}
