@@ -35,8 +35,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Buckets of at most so many classes are paired directly; leaders compared in every round after the first.
-SMALL = 12
+#: Buckets of at most so many classes are paired directly, at first and after a round; leaders of later rounds.
+SMALL, DIRECT = 12, 64
 LEADERS = 6
 
 
@@ -138,7 +138,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, either) of candidate pairs, from their full sets."""
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("ys"))
-    return pairs.select("a", "b").distinct().join(y, "b").join(x, "a").select("a", "b", "xs", "ys").mapInArrow(_overlap, "a long, b long, both long, either long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "xs", "ys").mapInArrow(_overlap, "a long, b long, both long, either long")
 
 
 def _may(percent: int, n: str = "n", u: str = "u", n2: str = "n2", u2: str = "u2") -> Column:
@@ -161,15 +161,16 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
 
     A bucket is summed up by size: per number of shingles, the fewest lone ones.
     """
-    best = members.groupBy("key", F.col("n").alias("n2")).agg(F.min("u").alias("u2"))
-    chance = members.select("key", "n", "u").distinct().join(best, "key").where(_may(percent)).select("key", "n", "u").distinct()
-    left = members.join(chance, ["key", "n", "u"], "left_semi").drop("size")
+    best = members.groupBy("key", "n").agg(F.min("u").alias("u")).groupBy("key").agg(F.collect_list(F.struct("n", "u")).alias("best"))
+    chance = F.exists("best", lambda o: (100 + percent) * F.least(F.col("n") - F.col("u"), o["n"] - o["u"]) >= percent * (F.col("n") + o["n"]))
+    left = members.drop("size").join(best, "key").where(chance).drop("best")
     return left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
 def _linked(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs that are links; sizes too far apart are ruled out before the sets are fetched."""
-    return work.put(_confirm(pairs.where(_may(percent)), sets).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "links")
+    some = work.put(pairs.where(_may(percent)).select("a", "b").distinct(), "pairs")
+    return work.put(_confirm(some, sets).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "links")
 
 
 def _pairs_of(members: DataFrame) -> DataFrame:
@@ -185,21 +186,26 @@ def _leaders(active: DataFrame, count: int) -> DataFrame:
 
 
 def _placed(compared: DataFrame, scored: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, u, hub, near, away) for members that are no leaders: the least leader linked, else null, and the distance to each leader."""
+    """(key, id, n, u, hub, near, hit, away) for members that are no leaders: the least leader linked, else null, shingles shared with the first, and the distance to each."""
     one = compared.select("key", "id", "n", "u", "hub", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).join(scored, ["a", "b"])
     linked = F.when(F.col("both") * 100 >= F.col("either") * percent, F.col("lead"))
     away = F.map_from_entries(F.collect_list(F.struct("lead", (1 - F.col("both") / F.col("either")).alias("d"))))  # as many as leaders
     leads = compared.select("key", F.col("lead").alias("id")).distinct()
-    return one.join(leads, ["key", "id"], "left_anti").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.first("hub").alias("hub"), F.min(linked).alias("near"), away.alias("away"))
+    return one.join(leads, ["key", "id"], "left_anti").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.first("hub").alias("hub"), F.min(linked).alias("near"), F.min_by("both", "lead").alias("hit"), away.alias("away"))
 
 
 def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different leaders, or of one and of none, that lone shingles and the metric leave a chance."""
-    x = placed.where("near is not null").select("key", F.col("id").alias("x"), "n", "u", F.col("near").alias("g"), F.col("away").alias("d"))
-    y = placed.select("key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("near").alias("g2"), F.col("away").alias("d2"))
-    y = y.where("g2 is not null").unionByName(_open(placed, percent).where("near is null").select("key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("near").alias("g2"), F.col("away").alias("d2")))
+    """Candidate pairs of different leaders, or of one and of none, that are still possible.
+
+    Of what x and y share, at most least(hit) lies within the first leader, and outside it at most what
+    is neither there nor lone.  Distances to a leader differ by the bound at most.
+    """
+    x = placed.where("near is not null").select("key", F.col("id").alias("x"), "n", "u", "hit", F.col("near").alias("g"), F.col("away").alias("d"))
+    y = placed.select("key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("hit").alias("hit2"), F.col("near").alias("g2"), F.col("away").alias("d2"))
+    outside = F.least(F.col("n") - F.col("hit") - F.col("u"), F.col("n2") - F.col("hit2") - F.col("u2"))
+    possible = (100 + percent) * (F.least("hit", "hit2") + outside) >= percent * (F.col("n") + F.col("n2"))
     apart = F.exists(F.map_keys("d"), lambda lead: F.abs(F.col("d")[lead] - F.col("d2")[lead]) > 1 - percent / 100 + 1e-9)
-    cross = x.join(y, "key").where(F.col("g2").isNull() | (F.col("g") < F.col("g2"))).where(_may(percent)).where(~apart)
+    cross = x.join(y, "key").where(F.col("g2").isNull() | (F.col("g") < F.col("g2"))).where(possible).where(~apart)
     return cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "n2", "u", "u2")
 
 
@@ -225,24 +231,28 @@ def near_duplicates(
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
     buckets = buckets.groupBy("size", "lead", "members").agg(F.min("key").alias("key")).select("key", "size")  # tables often hold the same bucket
     members = work.put(keys.join(buckets, "key"), "members")
-    wanted = members.select("id").distinct()
+    # the texts are joined in one way at every size
+    wanted = members.select("id").distinct().hint("merge")
     sets = work.put(texts.join(wanted, "id", "left_semi").mapInArrow(_as_sets(width), "id long, items array<long>").dropDuplicates(["id", "items"]), "sets")
 
-    few = members.where(F.col("size") <= SMALL).withColumn("u", F.lit(0))
-    confirmed = [_linked(work, _pairs_of(few), sets, percent)]
     large = members.where(F.col("size") > SMALL)
     hubs = large.groupBy("id").agg(F.sum("size").alias("hub"))
     known = work.put(_with_lone(large.join(hubs, "id"), sets), "known")
-    active, count = work.put(_open(known, percent), "active"), 1
-    while not active.isEmpty():
-        confirmed.append(_linked(work, _pairs_of(active.where(F.col("size") <= SMALL)), sets, percent))
-        compared = active.where(F.col("size") > SMALL).join(_leaders(active, count), "key").where(F.col("id") != F.col("lead"))
-        scored = work.put(_confirm(compared.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")), sets), "scores")
+    pairs, confirmed, direct, count = _pairs_of(members.where(F.col("size") <= SMALL).withColumn("u", F.lit(0))), [], SMALL, 1
+    active = work.put(_open(known, percent), "active")
+    while True:
+        confirmed.append(_linked(work, pairs.union(_pairs_of(active.where(F.col("size") <= direct))), sets, percent))
+        crowded = active.where(F.col("size") > direct)
+        if crowded.isEmpty():
+            break
+        compared = crowded.join(_leaders(crowded, count), "key").where(F.col("id") != F.col("lead"))
+        against = work.put(compared.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
+        scored = work.put(_confirm(against, sets), "scores")
         confirmed.append(scored.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
         placed = work.put(_placed(compared, scored, percent), "placed")
-        confirmed.append(_linked(work, _across(placed, percent), sets, percent))
-        active, count = work.put(_open(placed.where("near is null").select("key", "id", "n", "u", "hub"), percent), "active"), LEADERS
-        active = work.put(_open(_with_lone(active, sets), percent), "active")
+        pairs, direct, count = _across(placed, percent), DIRECT, LEADERS
+        far = work.put(_open(placed.where("near is null").select("key", "id", "n", "u", "hub"), percent), "far")
+        active = work.put(_open(_with_lone(far, sets), percent), "active")
     links = confirmed[0]
     for more in confirmed[1:]:
         links = links.union(more)
