@@ -1,14 +1,69 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline of the training-data operators: language, lines, near-duplicates, mixture, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs, which has the columns of
+documents; all but the last return these columns.  run() writes each stage's rows as Parquet into the
+shared folder and reads them again for the next one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language, lines, minhash, mixing, packing
+from tessera.llm.common import Workspace
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest centroid is near enough; those without letters and those far from all languages go."""
+    model = language.train(spark, docs)
+    return language.classify(spark, docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within one edit of an earlier line are cut; documents of which no line is left go."""
+    cut = lines.dedup(spark, docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; rows that repeat an id count once."""
+    work = Workspace(spark, "near")
+    found = work.put(minhash.near_duplicates(spark, docs), "found")
+    gone = found.where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mixture of sources takes them."""
+    return mixing.repeated(mixing.mix(spark, docs)).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' words in training sequences."""
+    return packing.pack(spark, docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", keep_known_languages),
+    ("lines", drop_repeated_lines),
+    ("near-duplicates", keep_one_of_near_duplicates),
+    ("mixture", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Language, edit distance and minhash stages have no SQL; tests compare them with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    work, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work.put(stage(spark, docs, sf_dir), name)
+    return docs
