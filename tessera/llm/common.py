@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,6 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Arrow batches that Python functions are given while tables are written: rows, bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds Arrow batches within, so that long texts do not add up in a task; the session's own settings return after."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Workspace:
     """Intermediate tables of one run of an operator, written as Parquet into the shared folder.
 
@@ -40,7 +58,8 @@ class Workspace:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         out = f"{self.path}/{self.n:02d}-{name}"
-        df.write.parquet(out)
+        with small_batches(self.spark):
+            df.write.parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def remove(self, df: DataFrame) -> None:
@@ -63,7 +82,7 @@ class Workspace:
 
 
 #: Bytes of text that a kernel turns into wide numpy arrays at once; one longer text is still taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from .common import SLICE_BYTES, Rolling, Workspace, slices, utf8
 #: Distinct texts of one hash that are sorted in one task; beyond it windows are counted by hash.
 GROUP = 2000
 #: Bytes of whole groups that are put into suffix order at once.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 RECORD = "k1 long, k2 long, h long, t long, s long, e long, again boolean"
 
@@ -82,6 +82,7 @@ def _records(length: int, gram: int):
                         piece = data[at : at + step + length - 1]
                         if r := records(piece, offsets if len(piece) == len(data) else np.array([0, len(piece)]), length, gram):
                             keys = [b.column(k).to_numpy()[r["row"]] for k in (0, 1)]
+                            pa.default_memory_pool().release_unused()
                             yield pa.record_batch({"k1": keys[0], "k2": keys[1], "h": r["h"].view(np.int64), "t": r["t"].view(np.int64), "s": r["s"] + at, "e": r["e"] + at, "again": r["again"]})
 
     return run
