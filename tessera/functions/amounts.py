@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 NUMBER = "decimal(18,6)"
-_TOKEN = r"-?\d[\d,]*(?:\.\d+)?|-?\.\d+"
 
 
 def _last(found: Column) -> Column:
@@ -26,7 +25,7 @@ def _negative(text: Column) -> Column:
 def printed_amount(text: Column) -> Column:
     """The last number of a text that is no percentage; commas group thousands unless a lone one has one or two digits behind it."""
     bare = F.regexp_replace(text, r"\d[\d.,]*\s*%", " ")
-    token = _last(F.regexp_extract_all(bare, F.lit(r"(-?(?:\d[\d,]*(?:\.\d+)?|\.\d+))"), F.lit(1)))
+    token = _last(F.regexp_extract_all(bare, F.lit(r"(-?(?:\d[\d,.]*\d|\d|\.\d+))"), F.lit(1)))
     plain = F.when(token.rlike(r"^-?\d+,\d{1,2}$"), F.replace(token, F.lit(","), F.lit("."))).otherwise(F.replace(token, F.lit(","), F.lit("")))
     value = plain.try_cast(NUMBER)
     return F.when(_negative(text) & (value > 0), -value).otherwise(value)
@@ -34,7 +33,7 @@ def printed_amount(text: Column) -> Column:
 
 def grouped_amount(text: Column, *, first: bool = False) -> Column:
     """The last (or first) number; a comma is always a thousands separator."""
-    found = F.regexp_extract_all(text, F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(-?(?:\d[\d,.]*\d|\d))"), F.lit(1))
     token = F.when(F.size(found) > 0, F.element_at(found, 1)) if first else _last(found)
     return F.replace(token, F.lit(","), F.lit("")).try_cast(NUMBER)
 
