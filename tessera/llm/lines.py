@@ -15,8 +15,9 @@ stands for the whole group and is found by an aggregate with map-side partials:
 no group is gathered.  The pair of each line and its earliest neighbour is verified by edit distance.
 
 Which line is earliest goes by (doc_id, line number); a line goes if any earlier line of the input is
-within the bound.  Null and empty texts have no lines that count.  Documents of which nothing is left are
-dropped by dedup(); rows that repeat an id and text are copies, of which the first stays only once.
+within the bound.  Null and empty texts have no lines that count and stay.  Documents that lost lines
+and keep none that counts are dropped by dedup().  Rows that repeat an id and a text
+are treated alike.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, Workspace, slices
 
 LEAST, PARTS = 24, 8
-_BLANKS = " \t\r\x0b\x0c"
+_STRIP = " \t\r\x0b\x0c"
+_BLANKS = np.array([ord(c) for c in _STRIP + "\n"], np.uint32)
+SCANNED = "id long, k long, n int, h1 long, h2 long, keys array<long>"
 KEYS = "h1 long, h2 long, key long, hole_from int, hole_to int"
 #: Block sizes: whole numbers in steps of about an eighth.
 _SIZES = np.unique((1.12 ** np.arange(220)).astype(np.int64))
@@ -39,35 +42,98 @@ _SIZES = np.unique((1.12 ** np.arange(220)).astype(np.int64))
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts one after another, and the offsets."""
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _block_keys(parts: int):
-    """Keys of each line less one block, and the hole that the block leaves.
+def line_spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, number, start, end) of all lines, without the blanks around them; an empty last line is left out."""
+    breaks = np.flatnonzero(codes == 10)
+    some = np.diff(offsets) > 0
+    inner = breaks + 1
+    inner = inner[~np.isin(inner, offsets[1:])]
+    start = np.sort(np.concatenate([offsets[:-1][some], inner]))
+    text = np.searchsorted(offsets, start, side="right") - 1
+    ends = np.append(breaks, len(codes))
+    end = np.minimum(ends[np.searchsorted(breaks, start)], offsets[text + 1])
+    number = np.arange(len(start)) - np.searchsorted(start, offsets[text])
+    solid = np.flatnonzero(~np.isin(codes, _BLANKS))
+    lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    full = lo < hi
+    start, end = start.copy(), end.copy()
+    start[full], end[full] = solid[lo[full]], solid[hi[full] - 1] + 1
+    end[~full] = start[~full]
+    return text, number, start, end
+
+
+def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[Rolling, np.ndarray, np.ndarray]:
+    roll, size = Rolling(codes), (end - start).astype(np.uint64)
+    return roll, roll.of(start, end) + size, Rolling(codes ^ np.uint32(0x2A5A5)).of(start, end) ^ size
+
+
+def block_keys(roll: Rolling, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """(line, key, from, to): keys of each line less one block, and the hole that the block leaves.
 
     With block size S <= n / parts, an edit at p in block i = p // S (the last block takes the rest) leaves
     i * S characters before and (parts - 1 - i) * S after it in both lines.  Lengths differ by one at most,
     so each line uses the sizes for n - 1, n and n + 1, mostly one.
     """
+    n = end - start
+    size = [np.where((n + d) // parts > 0, _SIZES[np.searchsorted(_SIZES, np.maximum(1, (n + d) // parts), side="right") - 1], 0) for d in (-1, 0, 1)]
+    out = []
+    for k in range(3):
+        r = np.flatnonzero((size[k] > 0) & ((parts - 1) * size[k] <= n) & ((size[k] != size[k - 1]) | (k == 0)))
+        s = size[k][r]
+        for i in range(parts):
+            left, right = i * s, (parts - 1 - i) * s
+            key = roll.of(start[r], start[r] + left) * np.uint64(3) + roll.of(end[r] - right, end[r]) + (s * 1009 + i).astype(np.uint64)
+            out.append((r, key.view(np.int64), left, n[r] - right))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
+
+
+def _scanned(least: int, parts: int):
+    """The lines that count, with hashes and the keys of their halves, from one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for big in batches:
-                for b in slices(big, "line", 1 << 18):
+                for b in slices(big, "text"):
+                    codes, offsets = _codes([t or "" for t in b.column(2).to_pylist()])
+                    text, number, start, end = line_spans(codes, offsets)
+                    long = end - start >= least
+                    text, number, start, end = text[long], number[long], start[long], end[long]
+                    roll, h1, h2 = _hashes(codes, start, end)
+                    row, key, _, _ = block_keys(roll, start, end, parts)
+                    order = np.argsort(row, kind="stable")
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))])
+                    keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order]))
+                    ids, ks = (b.column(k).to_numpy()[text] for k in (0, 1))
+                    yield pa.record_batch({"id": ids, "k": ks, "n": number.astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64), "keys": keys})
+
+    return run
+
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines (n, h1, h2) of each text."""
+    for b in batches:
+        h1, h2, found = [], [], []
+        for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parts = text.split("\n")
+            for w in wanted:
+                h1.append(w["h1"])
+                h2.append(w["h2"])
+                found.append(parts[w["n"]].strip(_STRIP))
+        yield pa.record_batch({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "line": pa.array(found, pa.string())})
+
+
+def _fine_keys(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for big in batches:
+                for b in slices(big, "line"):
                     codes, offsets = _codes(b.column(2).to_pylist())
-                    roll, n = Rolling(codes), np.diff(offsets)
-                    size = [np.where((n + d) // parts > 0, _SIZES[np.searchsorted(_SIZES, np.maximum(1, (n + d) // parts), side="right") - 1], 0) for d in (-1, 0, 1)]
-                    out = []
-                    for k in range(3):
-                        r = np.flatnonzero((size[k] > 0) & ((parts - 1) * size[k] <= n) & ((size[k] != size[k - 1]) | (k == 0)))
-                        s = size[k][r]
-                        for i in range(parts):
-                            left, right = i * s, (parts - 1 - i) * s
-                            key = roll.of(offsets[r], offsets[r] + left) * np.uint64(3) + roll.of(offsets[r + 1] - right, offsets[r + 1]) + (s * 1009 + i).astype(np.uint64)
-                            out.append((r, key, left, n[r] - right))
-                    r, key, lo, hi = (np.concatenate([x[k] for x in out]) for k in range(4))
-                    yield pa.record_batch({"h1": b.column(0).to_numpy()[r], "h2": b.column(1).to_numpy()[r], "key": key.view(np.int64), "hole_from": lo.astype(np.int32), "hole_to": hi.astype(np.int32)})
+                    r, key, lo, hi = block_keys(Rolling(codes), offsets[:-1], offsets[1:], parts)
+                    yield pa.record_batch({"h1": b.column(0).to_numpy()[r], "h2": b.column(1).to_numpy()[r], "key": key, "hole_from": lo.astype(np.int32), "hole_to": hi.astype(np.int32)})
 
     return run
 
@@ -101,18 +167,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"h1": b.column(0).to_numpy()[r], "h2": b.column(1).to_numpy()[r], "variant": np.concatenate([substituted, deleted, own]).view(np.int64), "kind": kind})
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(k, id, n, line) of the lines, k telling apart texts of one id."""
-    return docs.select("k", "id", F.posexplode(F.split("text", "\n")).alias("n", "raw")).withColumn("line", F.btrim("raw", F.lit(_BLANKS)))
-
-
-def _hashes(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(11), line).alias("h2")]
-
-
-def _sharing(lines: DataFrame, parts: int) -> DataFrame:
-    """KEYS of lines (h1, h2, line) that different lines share."""
-    keys = lines.mapInArrow(_block_keys(parts), KEYS)
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of (key, h1, ...) whose key different lines have."""
     shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
     return keys.join(shared, "key")
 
@@ -122,15 +178,15 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST,
     if edits not in (0, 1):
         raise ValueError("edits is 0 or 1")
     work = work or Workspace(spark, "lines")
-    lines = _lines(docs).where(F.char_length("line") >= least)
+    lines = work.put(docs.select("id", "k", "text").mapInArrow(_scanned(least, 2), SCANNED), "lines")
     place = F.struct("id", "k", "n")
-    classes = work.put(lines.groupBy(*_hashes(F.col("line"))).agg(F.min(place).alias("first"), F.count("*").alias("many")), "classes")
+    classes = work.put(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("many")), "classes")
     if edits:
-        near = _sharing(lines.select(*_hashes(F.col("line")), "line"), 2).select("h1", "h2").distinct()
+        near = _shared(lines.select("h1", "h2", F.explode("keys").alias("key"))).select("h1", "h2").distinct()
         # each class's text is fetched once, from its earliest place
-        places = classes.join(near, ["h1", "h2"]).select("h1", "h2", "first.*")
-        texts = work.put(places.join(lines, ["id", "k", "n"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"]), "texts")
-        held = _sharing(texts, parts).groupBy("h1", "h2").agg(F.collect_set(F.struct("hole_from", "hole_to")).alias("holes"))
+        places = classes.join(near, ["h1", "h2"]).groupBy(F.col("first.id").alias("id"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("first.n", "h1", "h2")).alias("wanted"))
+        texts = work.put(docs.join(places, ["id", "k"]).select("text", "wanted").mapInArrow(_fetched, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]), "texts")
+        held = _shared(texts.mapInArrow(_fine_keys(parts), KEYS)).groupBy("h1", "h2").agg(F.collect_set(F.struct("hole_from", "hole_to")).alias("holes"))
         few = work.put(texts.join(held, ["h1", "h2"]).select("h1", "h2", "line", "holes"), "near-lines")
         variants = work.put(few.mapInArrow(_variants, "h1 long, h2 long, variant long, kind byte").join(classes.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
         same_place = F.min(F.when(F.col("kind") == 0, F.struct("first", "h1", "h2")))
@@ -144,12 +200,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST,
         earliest = classes.select("h1", "h2", "first", "many").join(verified, ["h1", "h2"], "left").where("many > 1 or near is not null").select("h1", "h2", "first", "near")
     else:
         earliest = classes.where("many > 1").select("h1", "h2", "first", F.lit(None).cast(classes.schema["first"].dataType).alias("near"))
-    found = lines.select(*_hashes(F.col("line")), "id", "k", "n").join(earliest, ["h1", "h2"])
+    found = lines.select("h1", "h2", "id", "k", "n").join(earliest, ["h1", "h2"])
     return found.where((place > F.col("first")) | F.col("near").isNotNull()).select("id", "k", "n")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, edits: int = 1) -> DataFrame:
-    """The rows of docs with repeated lines cut from the text, and n_removed, how many; rows of which no line is left go."""
+    """The rows of docs with repeated lines cut from the text, and n_removed, how many; rows that lost lines and keep none that counts go."""
     work = Workspace(spark, "lines")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_k": F.xxhash64(text_col)})
     plain = keyed.select(F.col("_id").alias("id"), F.col("_k").alias("k"), F.col(text_col).alias("text"))
@@ -157,6 +213,7 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     cut = keyed.join(gone, ["_id", "_k"], "left")
     split = F.split(text_col, "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    out = cut.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).when(F.size(kept) > 0, F.array_join(kept, "\n")))
-    whole = F.col("_gone").isNull() | F.col(text_col).isNotNull()
-    return out.where(whole).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone")
+    out = cut.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
+    whole = F.col("_gone").isNull() | F.exists("_kept", lambda x: F.char_length(F.btrim(x, F.lit(_STRIP))) >= least)
+    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
+    return out.where(whole).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone", "_kept")
