@@ -46,7 +46,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     ordered = Window.orderBy(F.col("cap") / F.col("weight"), "key")
     before, rest, all_rows = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     level = (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    levels = one.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows))
+    # the first level, in that order, that leaves its own source below its cap
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
+    levels = one.withColumn("level", level).withColumn("level", F.first(fits, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return levels.select("key", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -111,7 +113,8 @@ s as (select k, cast(sum(size) as bigint) source_size, row_number() over (order
 w as (select *, cast(case (i - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as double) weight, source_size * 3.0::double cap from s),
 l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, k rows between unbounded preceding and 1 preceding), 0))
              / sum(weight) over (order by cap / weight, k rows between current row and unbounded following) lev from w),
-t as (select k, source_size, least(cap, coalesce(weight * min(case when lev * weight <= cap then lev end) over (), cap)) target from l),
+v as (select min_by(lev, {'r': cap / weight, 'k': k}) filter (lev * weight <= cap) level from l),
+t as (select k, source_size, least(cap, coalesce(weight * level, cap)) target from l, v),
 p as (select *, case when source_size > 0 then floor(target / source_size) else 0 end whole from t),
 g as (select k, place, sum(size) size from d group by all),
 r as (select g.*, sum(size) over (partition by k order by place) reached from g),
