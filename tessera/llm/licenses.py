@@ -32,6 +32,9 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
+#: Share of a template's words that a line must hold.
+PERCENT = 90
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,7 +67,7 @@ def block_frequencies(blocks: DataFrame, vocabulary: list[str]) -> dict[str, int
     return {r.word: r.df for r in held.groupBy("word").agg(F.count("*").alias("df")).collect()}
 
 
-def template_matches(spark: SparkSession, blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = 80) -> DataFrame:
+def template_matches(spark: SparkSession, blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """(block, label, containment) for blocks (block, words) and the templates that they hold to `percent`."""
     vocabulary = sorted({w for _, text in templates for w in text.split()})
     df = block_frequencies(blocks, vocabulary)
@@ -83,7 +86,7 @@ def template_matches(spark: SparkSession, blocks: DataFrame, templates: tuple[tu
     return held.where(F.size("held") >= F.col("least")).select("block", "label", (F.size("held") / F.size("tokens")).alias("containment"))
 
 
-def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is the largest containment of a template in one of the document's lines that match, 1 where a
@@ -131,7 +134,7 @@ t(k, label, tokens) as (values {templates}),
 b(label, phrase) as (values {base}),
 p as (select r, b.label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(phrase)] = phrase)) as i from d, b where list_contains(w, phrase[1])),
 l as (select r, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}')) w from (select r, unnest(string_split(text, chr(10))) line from d)),
-m as (select r, label, max(len(list_intersect(w, tokens)) / len(tokens)) c from l, t where 100 * len(list_intersect(w, tokens)) >= 80 * len(tokens) group by all),
+m as (select r, label, max(len(list_intersect(w, tokens)) / len(tokens)) c from l, t where 100 * len(list_intersect(w, tokens)) >= {PERCENT} * len(tokens) group by all),
 pa as (select r, count(*) n, min(i) lo, max(i) hi, string_agg(distinct label, ',' order by label) labels from p group by r),
 al as (select r, string_agg(distinct label, ',' order by label) labels from (select r, label from p union select r, label from m) group by r),
 ma as (select r, max(c) c from m group by r)
