@@ -149,11 +149,11 @@ def _may(percent: int, n: str = "n", u: str = "u", n2: str = "n2", u2: str = "u2
 def _lone(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, u): how many shingles of each id no other of the ids has."""
     items = sets.join(ids, "id", "left_semi").select("id", F.explode("items").alias("item"))
-    return items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("u"))
+    return items.groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("u"))
 
 
 def _with_lone(members: DataFrame, sets: DataFrame) -> DataFrame:
-    return members.drop("u").join(_lone(sets, members.select("id").distinct()), "id", "left").select("key", "id", "n", F.coalesce("u", F.lit(0)).alias("u"), "hub")
+    return members.drop("u").join(_lone(sets, members.select("id").distinct()), "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
 
 
 def _open(members: DataFrame, percent: int) -> DataFrame:
@@ -225,20 +225,20 @@ def near_duplicates(
     half = classes.select("id", "n", F.posexplode("sketch").alias("t", "h"))
     shared = half.groupBy("t", "h").agg(F.count("*").alias("c")).where("c > 1").select("t", "h")
     halves = work.put(half.join(shared, ["t", "h"]).groupBy("id", "n").agg(F.collect_set(F.struct("t", "h")).alias("l")), "halves")  # 2 m at most
+    # the texts are joined in one way at every size
+    sets = work.put(texts.join(halves.select("id").hint("merge"), "id", "left_semi").mapInArrow(_as_sets(width), "id long, items array<long>"), "sets")
+    # classes of which too much is their own can link with none
+    able = work.put(_with_lone(halves, sets).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")), "able")
     in_a, in_b = (F.filter("l", lambda x: x["t"] < m), F.filter("l", lambda x: x["t"] >= m))
     cells = F.transform(in_a, lambda x: F.transform(in_b, lambda y: F.xxhash64(x["t"], y["t"], x["h"], y["h"])))
-    keys = halves.select(F.explode(F.flatten(cells)).alias("key"), "id", "n")
+    keys = able.select(F.explode(F.flatten(cells)).alias("key"), "id", "n", "u")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
     buckets = buckets.groupBy("size", "lead", "members").agg(F.min("key").alias("key")).select("key", "size")  # tables often hold the same bucket
     members = work.put(keys.join(buckets, "key"), "members")
-    # the texts are joined in one way at every size
-    wanted = members.select("id").distinct().hint("merge")
-    sets = work.put(texts.join(wanted, "id", "left_semi").mapInArrow(_as_sets(width), "id long, items array<long>").dropDuplicates(["id", "items"]), "sets")
-
     large = members.where(F.col("size") > SMALL)
     hubs = large.groupBy("id").agg(F.sum("size").alias("hub"))
-    known = work.put(_with_lone(large.join(hubs, "id"), sets), "known")
-    pairs, confirmed, direct, count = _pairs_of(members.where(F.col("size") <= SMALL).withColumn("u", F.lit(0))), [], SMALL, 1
+    known = work.put(_with_lone(large.join(hubs, "id"), sets).select("key", "id", "n", "u", "hub"), "known")
+    pairs, confirmed, direct, count = _pairs_of(members.where(F.col("size") <= SMALL)), [], SMALL, 1
     active = work.put(_open(known, percent), "active")
     while True:
         confirmed.append(_linked(work, pairs.union(_pairs_of(active.where(F.col("size") <= direct))), sets, percent))
@@ -252,7 +252,7 @@ def near_duplicates(
         placed = work.put(_placed(compared, scored, percent), "placed")
         pairs, direct, count = _across(placed, percent), DIRECT, LEADERS
         far = work.put(_open(placed.where("near is null").select("key", "id", "n", "u", "hub"), percent), "far")
-        active = work.put(_open(_with_lone(far, sets), percent), "active")
+        active = work.put(_open(_with_lone(far, sets).select("key", "id", "n", "u", "hub"), percent), "active")
     links = confirmed[0]
     for more in confirmed[1:]:
         links = links.union(more)
