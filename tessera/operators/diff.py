@@ -19,8 +19,8 @@ def missing(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame
 def counts(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:
     """One row: expected, actual, matched; a key counts as often as both sides have it."""
     both = expected.select(*key, F.lit(1).alias("_e"), F.lit(0).alias("_a")).unionByName(actual.select(*key, F.lit(0).alias("_e"), F.lit(1).alias("_a")))
-    per_key = both.groupBy(*key).agg(F.sum("_e").alias("e"), F.sum("_a").alias("a"))
-    return per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("e"), "expected"), (F.col("a"), "actual"), (F.least("e", "a"), "matched"))])
+    per_key = both.groupBy(*key).agg(F.sum("_e").alias("_expected"), F.sum("_a").alias("_actual"))
+    return per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("_expected"), "expected"), (F.col("_actual"), "actual"), (F.least("_expected", "_actual"), "matched"))])
 
 
 def scores(one: DataFrame) -> DataFrame:
