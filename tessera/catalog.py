@@ -6,42 +6,20 @@ for rows with roles, texts of documents for pages.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import amounts, dates, text
 from .operators import diff, finance, joins, layout, sequences, warehouse
 from .plans import expressions, output, rules
+from .registry import money, query, table
 from .sources import words
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 MONEY = "decimal(18,2)"
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 LINE_SQL = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def money(name: str) -> Column:
-    return F.col(name).cast(MONEY)
-
-
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as documents have them: returned ones are tax, of the others every seventh part is a fee."""
     kind = F.when(F.col("l_returnflag") == "R", "tax").when(F.col("l_partkey") % 7 == 0, "fee").otherwise("recurring")

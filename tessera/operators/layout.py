@@ -29,13 +29,13 @@ def _rows_of_page(tolerance: float):
         words = sorted(zip(table.column("y0").to_pylist(), table.column("x0").to_pylist(), table.column("y1").to_pylist(), table.column("word_seq").to_pylist(), strict=True), key=lambda w: (w[0], w[1], w[3]))
         means: list[list[float]] = []  # [sum of centres, words]
         of: dict[int, int] = {}
+        low = 0
         for y0, _, y1, seq in words:
             centre = (y0 + y1) / 2
-            for k, (total, n) in enumerate(means):
-                if abs(centre - total / n) <= tolerance:
-                    break
-            else:
-                k = len(means)
+            while low < len(means) and means[low][0] / means[low][1] + tolerance < y0:
+                low += 1  # tops only grow, so no later word reaches it
+            k = next((k for k in range(low, len(means)) if abs(centre - means[k][0] / means[k][1]) <= tolerance), len(means))
+            if k == len(means):
                 means.append([0.0, 0])
             means[k][0] += centre
             means[k][1] += 1

@@ -18,7 +18,7 @@ def from_text(docs: DataFrame, *, char: float = 5.0, line: float = 12.0, lines_p
     """Words as a typewriter would set each text: every character `char` wide, every line `line` high."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     tokens = rows.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "text"), F.split("line", " ").alias("all"))
-    before = F.aggregate(F.slice("all", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    before = F.length(F.array_join(F.slice("all", F.lit(1), F.col("k")), " ")) + (F.col("k") > 0).cast("int")
     out = tokens.withColumn("x0", before * char).where(F.trim("text") != "")
     y = F.pmod("line_no", F.lit(lines_per_page)) * line
     return out.select("doc_id", (F.expr(f"line_no div {lines_per_page}") + 1).cast("int").alias("page"), (F.pmod("line_no", F.lit(lines_per_page)) * 10000 + F.col("k")).cast("int").alias("word_seq"), "text", "x0", y.cast("double").alias("y0"), (F.col("x0") + F.length("text") * char).alias("x1"), (y + 10).cast("double").alias("y1"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera import catalog
+from tessera import catalog, lifecycle, registry  # noqa: F401  both register their queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,14 +33,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
-    ours = catalog.QUERIES[name](spark, DIR)
-    theirs = duck.sql(catalog.ORACLE_SQL[name])
+    ours = registry.QUERIES[name](spark, DIR)
+    theirs = duck.sql(registry.ORACLE_SQL[name])
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours.columns, [tuple(r) for r in ours.collect()]) == rows(theirs.columns, theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DIR).count() > 0
+    assert registry.QUERIES[name](spark, DIR).count() > 0
