@@ -101,7 +101,8 @@ def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang:
     # a hash bound per language keeps about `sample` rows, found without sorting or gathering a language
     sizes = rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.count("*").alias("n"))
     share = (F.pmod(F.xxhash64("order"), F.lit(1 << 20)) * F.col("n") < F.lit(sample * (1 << 20))) | (F.col("n") <= sample)
-    picked = rows.where(F.col("text").rlike(r"\p{L}")).join(sizes, "lang").where(share)
+    # a row for each language, as many as the model on the driver has
+    picked = rows.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(sizes), "lang").where(share)
     groups = picked.groupBy("lang").applyInPandas(_clustered(dims, idf, per_lang, quantile), "lang string, centroid binary, cut double").collect()
     groups.sort(key=lambda r: (r.lang, r.centroid))
     centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in groups]).reshape(-1, dims)
