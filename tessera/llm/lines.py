@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Workspace, slices
 
-LEAST, PARTS = 24, 8
+LEAST, PARTS = 24, 24
 _STRIP = " \t\r\x0b\x0c"
 _BLANKS = np.array([ord(c) for c in _STRIP + "\n"], np.uint32)
 SCANNED = "id long, k long, n int, h1 long, h2 long, keys array<long>"
