@@ -90,3 +90,53 @@ def page_profiles(cells: DataFrame, bucket: float = 20.0) -> DataFrame:
     shared = edges.join(tabular, PAGE).where(F.col("n") >= F.greatest(F.lit(2), F.expr("tabular div 4")))
     signature = shared.groupBy(*PAGE).agg(F.array_sort(F.collect_list("edge")).alias("signature"))
     return tabular.join(signature, PAGE, "left").withColumn("signature", F.coalesce("signature", F.array().cast("array<bigint>")))
+
+
+def in_column(cells: DataFrame, lo: float, hi: float, name: str) -> DataFrame:
+    """(doc_id, page, row_index, name): texts of the cells whose centre lies within [lo, hi], joined in order; null if there is none."""
+    centre = (F.col("x0") + F.col("x1")) / 2
+    held = F.array_sort(F.collect_list(F.when(centre.between(lo, hi), F.struct("x0", "text"))))
+    text = F.array_join(F.transform(held, lambda x: x["text"]), " ")
+    return cells.groupBy(*PAGE, "row_index").agg(F.nullif(text, F.lit("")).alias(name))
+
+
+def table_regions(rows: DataFrame, candidate: Column, gap: float = 60.0) -> DataFrame:
+    """Candidate rows (doc_id, page, row_index, y0, y1, ...) with table 1, 2, ...: a wider gap to the candidate before begins a new one."""
+    w = Window.partitionBy(*PAGE).orderBy("row_index")
+    new = F.when(F.col("y0") - F.lag("y1").over(w) > gap, 1).otherwise(0)
+    return rows.where(candidate).withColumn("_new", new).withColumn("table", (F.sum("_new").over(w) + 1).cast("int")).drop("_new")
+
+
+def bands(header: DataFrame, slack: float = 20.0) -> DataFrame:
+    """Bands of a header row's cells: from a cell's start less the slack to the next one's; the last is open."""
+    w = Window.partitionBy(*PAGE).orderBy("x0")
+    return header.withColumns({"lo": F.col("x0") - slack, "hi": F.coalesce(F.lead("x0").over(w) - slack, F.lit(float("inf")))}).select(*PAGE, F.col("text").alias("band"), "lo", "hi")
+
+
+def cells_by_band(cells: DataFrame, bands: DataFrame) -> DataFrame:
+    """Cells with the band of their page that holds their start; a page has few bands, so the join stays within pages."""
+    held = (F.col("x0") >= F.col("lo")) & (F.col("x0") < F.col("hi"))
+    return cells.join(bands, PAGE, "left").where(held | F.col("band").isNull()).drop("lo", "hi")
+
+
+def reading_column(x0: Column, x1: Column, gutters: list[float]) -> Column:
+    """Which column of a page with gutters a word belongs to; a centre on a gutter goes right."""
+    centre = (x0 + x1) / 2
+    return F.size(F.filter(F.array(*map(F.lit, sorted(gutters))), lambda g: centre >= g))
+
+
+def gutters(cells: DataFrame, *, step: float = 3.0, width: float = 612.0) -> DataFrame:
+    """(doc_id, page, x): the best place to part a page into two columns, for pages of 15 rows and more.
+
+    Of the places in the middle third, those count that leave at least 15 % of the rows on either side and
+    cross few; the least crossed wins, then the most even, then the one nearest to the middle.
+    """
+    rows = cells.groupBy(*PAGE, "row_index").agg(F.collect_list(F.struct("x0", "x1")).alias("spans"))
+    sized = rows.join(rows.groupBy(*PAGE).agg(F.count("*").alias("n")).where("n >= 15"), PAGE)
+    at = sized.select(*PAGE, "row_index", "n", "spans", F.explode(F.sequence(F.lit(0), F.lit(int(0.3 * width / step)))).alias("k")).withColumn("x", F.col("k") * step + 0.35 * width)
+    crossed = F.exists("spans", lambda s: (s["x0"] < F.col("x")) & (s["x1"] > F.col("x")))
+    left, right = F.exists("spans", lambda s: s["x1"] <= F.col("x")), F.exists("spans", lambda s: s["x0"] >= F.col("x"))
+    per = at.groupBy(*PAGE, "x", "n").agg(F.count_if(crossed).alias("crossed"), F.count_if(left).alias("left"), F.count_if(right).alias("right"))
+    fits = per.where((F.least("left", "right") >= 0.15 * F.col("n")) & (F.col("crossed") <= 0.4 * F.col("n")))
+    best = F.struct("crossed", F.abs(F.col("left") - F.col("right")), F.abs(F.col("x") - width / 2), "x")
+    return fits.groupBy(*PAGE).agg(F.min_by("x", best).alias("x"))

@@ -123,3 +123,27 @@ def test_intake_stream(spark, tmp_path):
     stream = intake.dropped_files(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("intake").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert [r.length for r in spark.table("intake").collect()] == [3]
+
+
+def cells_of(spark, rows):
+    return spark.createDataFrame([("d", 1, *r) for r in rows], "doc_id string, page int, row_index int, cell_index int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_columns_bands_and_tables(spark):
+    cells = cells_of(spark, [(0, 0, "Item", 0.0, 0.0, 40.0, 10.0), (0, 1, "Amount", 200.0, 0.0, 240.0, 10.0), (1, 0, "A", 0.0, 20.0, 10.0, 30.0), (1, 1, "B", 15.0, 20.0, 20.0, 30.0), (1, 2, "9.50", 210.0, 20.0, 240.0, 30.0), (2, 0, "late", 0.0, 120.0, 30.0, 130.0)])
+    got = {r.row_index: (r.left, ) for r in layout.in_column(cells, 0, 60, "left").collect()}
+    assert got == {0: ("Item",), 1: ("A B",), 2: ("late",)}
+    assert {r.row_index: r.amount for r in layout.in_column(cells, 200, 260, "amount").collect()}[2] is None
+    rows = cells.groupBy("doc_id", "page", "row_index").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    assert [r.table for r in layout.table_regions(rows, F.col("row_index") >= 0).orderBy("row_index").collect()] == [1, 1, 2]
+    found = layout.cells_by_band(cells.where("row_index > 0"), layout.bands(cells.where("row_index = 0"))).collect()
+    assert {(r.text, r.band) for r in found} == {("A", "Item"), ("B", "Item"), ("9.50", "Amount"), ("late", "Item")}
+
+
+def test_gutters_and_reading_columns(spark):
+    cells = cells_of(spark, [(k, c, "x", x, 12.0 * k, x + 180, 12.0 * k + 10) for k in range(20) for c, x in ((0, 40.0), (1, 330.0))])
+    (row,) = layout.gutters(cells).collect()
+    assert 220 <= row.x <= 330
+    assert layout.gutters(cells.where("row_index < 10")).collect() == []
+    got = cells.select(layout.reading_column(F.col("x0"), F.col("x1"), [row.x]).alias("c")).distinct().collect()
+    assert sorted(r.c for r in got) == [0, 1]
