@@ -135,7 +135,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, *, threshold: float =
     shared = spark.sparkContext.broadcast(basis)  # d * d numbers
     width = float(np.sqrt(2 - 2 * threshold) * (1 + 1e-9))
     cell = [f"c{k}" for k in range(CELL_AXES)]
-    celled = work.put(classes.mapInArrow(_celled(basis, width), "cid long, embedding array<double>, label int, id long, many long, " + ", ".join(f"{c} long" for c in cell)).withColumn("d", F.size("embedding")), "cells")
+    celled = work.put(classes.mapInArrow(_celled(basis, width), f"cid long, embedding array<double>, label {dict(rows.dtypes)['label']}, id long, many long, " + ", ".join(f"{c} long" for c in cell)).withColumn("d", F.size("embedding")), "cells")
     of = ["label", "d", *cell]
     tiles = celled.groupBy(of).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = celled.join(tiles, of).withColumn("tile", F.pmod(F.xxhash64("cid", F.lit(1)), "tiles").cast("int"))
