@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,11 @@ class Workspace:
         for f in {x.rpartition("/")[0] for x in df.inputFiles() if self.path.rpartition("/")[2] in x}:
             self._delete(f)
 
+    def sweep(self) -> None:
+        """Lets Spark remove the shuffle files of finished jobs, which it does once their plans are collected as garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -160,3 +166,4 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
             return new.select("node", "component")
         work.remove(labels)
         labels = new.select("node", "component")
+        work.sweep()

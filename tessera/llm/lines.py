@@ -200,7 +200,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST,
         earliest = classes.select("h1", "h2", "first", "many").join(verified, ["h1", "h2"], "left").where("many > 1 or near is not null").select("h1", "h2", "first", "near")
     else:
         earliest = classes.where("many > 1").select("h1", "h2", "first", F.lit(None).cast(classes.schema["first"].dataType).alias("near"))
-    found = lines.select("h1", "h2", "id", "k", "n").join(earliest, ["h1", "h2"])
+    done = work.put(earliest, "earliest")
+    for table in (classes, *((texts, few, variants) if edits else ())):
+        work.remove(table)
+    work.sweep()
+    found = lines.select("h1", "h2", "id", "k", "n").join(done, ["h1", "h2"])
     return found.where((place > F.col("first")) | F.col("near").isNotNull()).select("id", "k", "n")
 
 
