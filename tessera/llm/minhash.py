@@ -37,7 +37,7 @@ _LOWER[65:91] += 32
 
 #: Buckets of at most so many classes are paired directly, at first and after a round; leaders of later rounds.
 SMALL, DIRECT = 12, 64
-LEADERS = 6
+LEADERS = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -156,6 +156,12 @@ def _with_lone(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.drop("u").join(_lone(sets, members.select("id").distinct()), "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
 
 
+def _buckets(members: DataFrame) -> DataFrame:
+    """(key, size) of buckets of two and more, one key for those with the same members: tables often agree."""
+    found = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
+    return found.groupBy("size", "lead", "members").agg(F.min("key").alias("key")).select("key", "size")
+
+
 def _open(members: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that some size in their bucket leaves a chance by _may(); size counts those.
 
@@ -164,7 +170,7 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
     best = members.groupBy("key", "n").agg(F.min("u").alias("u")).groupBy("key").agg(F.collect_list(F.struct("n", "u")).alias("best"))
     chance = F.exists("best", lambda o: (100 + percent) * F.least(F.col("n") - F.col("u"), o["n"] - o["u"]) >= percent * (F.col("n") + o["n"]))
     left = members.drop("size").join(best, "key").where(chance).drop("best")
-    return left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    return left.join(_buckets(left), "key")
 
 
 def _linked(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,9 +238,7 @@ def near_duplicates(
     in_a, in_b = (F.filter("l", lambda x: x["t"] < m), F.filter("l", lambda x: x["t"] >= m))
     cells = F.transform(in_a, lambda x: F.transform(in_b, lambda y: F.xxhash64(x["t"], y["t"], x["h"], y["h"])))
     keys = able.select(F.explode(F.flatten(cells)).alias("key"), "id", "n", "u")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
-    buckets = buckets.groupBy("size", "lead", "members").agg(F.min("key").alias("key")).select("key", "size")  # tables often hold the same bucket
-    members = work.put(keys.join(buckets, "key"), "members")
+    members = work.put(keys.join(_buckets(keys), "key"), "members")
     large = members.where(F.col("size") > SMALL)
     hubs = large.groupBy("id").agg(F.sum("size").alias("hub"))
     known = work.put(_with_lone(large.join(hubs, "id"), sets).select("key", "id", "n", "u", "hub"), "known")
@@ -251,6 +255,7 @@ def near_duplicates(
         confirmed.append(scored.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
         placed = work.put(_placed(compared, scored, percent), "placed")
         pairs, direct, count = _across(placed, percent), DIRECT, LEADERS
+        work.sweep()
         far = work.put(_open(placed.where("near is null").select("key", "id", "n", "u", "hub"), percent), "far")
         active = work.put(_open(_with_lone(far, sets).select("key", "id", "n", "u", "hub"), percent), "active")
     links = confirmed[0]
