@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import amounts, dates, text
-from tessera.operators import diff, finance, joins, layout, sequences
+from tessera.operators import diff, extracts, finance, joins, layout, sequences
 from tessera.plans import expressions, rules
 from tessera.streaming import intake
 
@@ -147,3 +147,17 @@ def test_gutters_and_reading_columns(spark):
     assert layout.gutters(cells.where("row_index < 10")).collect() == []
     got = cells.select(layout.reading_column(F.col("x0"), F.col("x1"), [row.x]).alias("c")).distinct().collect()
     assert sorted(r.c for r in got) == [0, 1]
+
+
+def test_steady_clock_and_budget(spark):
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([5, 5, 3, 20, 20, 9, 40])], "k int, i int, t long")
+    assert [r.s for r in extracts.steady_clock(rows, ["k"], "i", "t", "s").orderBy("i").collect()] == [5, 6, 7, 20, 21, 22, 40]
+    assert [r.i for r in extracts.within_budget(rows, ["k"], ["i"], F.col("t"), 13).orderBy("i").collect()] == [0, 1, 2]
+    assert [r.i for r in extracts.within_budget(rows, ["k"], ["i"], F.col("t"), 1).collect()] == [0]
+
+
+def test_inferred_formats(spark):
+    rows = spark.createDataFrame([("a", 1, "01/02/2024"), ("a", 2, "x 14/02/2024"), ("a", 3, "02/14/2024"), ("b", 1, "1/2/2024")], "k string, i int, t string")
+    assert [tuple(r) for r in extracts.date_formats(rows, ["k"], "t", "i").collect()] == [("a", "d/M/yyyy")]
+    assert column(spark, ["0.0000", "10.0000", "0.0500"], "string", lambda c: extracts.rate_text(c.cast("double"))) == ["0", "10", "0.05"]
+    assert column(spark, ["Account", "12", "ab", None], "string", extracts.label_like) == [True, False, False, None]
