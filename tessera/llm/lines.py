@@ -1,12 +1,14 @@
 """Line dedup by a deletion-neighbourhood join: lines within one edit of an earlier line go.
 
 A line counts, without surrounding blanks, if it has at least `least` characters; shorter lines stay.
-First, equal lines are one class, with its earliest place.  Then for each distinct line:
+The queries take every line that is not blank (least=1).  First, equal lines are one class, with its
+earliest place.  Then for each distinct line of at least `near` characters, below which one edit is no near
+copy any more ("page 1", "page 2"):
 
 1. Blocks: its text less one of `parts` blocks, given by the left and the right end that stay.  The block
    size is one for all lines of about a length, so two lines within one edit share the ends around it,
    and a line whose keys are all its own is settled.  Halves come first; only lines that share one of
-   them are fetched and cut into finer blocks.
+   them are fetched and cut into finer blocks, into `FEW` where a line has fewer characters than parts.
 2. Within the blocks that are shared, all variants of one deletion are emitted as hashed keys, with the
    place for a substitution, without for an insertion, which meets the shorter line itself.
 
@@ -16,8 +18,8 @@ no group is gathered.  The pair of each line and its earliest neighbour is verif
 
 Which line is earliest goes by (doc_id, line number); a line goes if any earlier line of the input is
 within the bound.  Null and empty texts have no lines that count and stay.  Documents that lost lines
-and keep none that counts are dropped by dedup().  Rows that repeat an id and a text
-are treated alike.
+and keep none that counts are dropped by dedup(), or stay with an empty text and a flag.  Rows that
+repeat an id and a text are treated alike.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, Workspace, slices
 
 LEAST, PARTS = 24, 24
+#: Least length for the search of one edit, a twelfth of the line at most, and blocks of lines shorter than PARTS.
+NEAR, FEW = 12, 4
 _STRIP = " \t\r\x0b\x0c"
 _BLANKS = np.array([ord(c) for c in _STRIP + "\n"], np.uint32)
 SCANNED = "id long, k long, n int, h1 long, h2 long, keys array<long>"
@@ -91,8 +95,8 @@ def block_keys(roll: Rolling, start: np.ndarray, end: np.ndarray, parts: int) ->
     return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
 
 
-def _scanned(least: int, parts: int):
-    """The lines that count, with hashes and the keys of their halves, from one pass over the texts."""
+def _scanned(least: int, near: int, parts: int):
+    """The lines that count, with hashes and, from `near` characters on, the keys of their halves, from one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -103,7 +107,9 @@ def _scanned(least: int, parts: int):
                     long = end - start >= least
                     text, number, start, end = text[long], number[long], start[long], end[long]
                     roll, h1, h2 = _hashes(codes, start, end)
-                    row, key, _, _ = block_keys(roll, start, end, parts)
+                    far = np.flatnonzero(end - start >= near)
+                    row, key, _, _ = block_keys(roll, start[far], end[far], parts)
+                    row = far[row]
                     order = np.argsort(row, kind="stable")
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))])
                     keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order]))
@@ -132,7 +138,13 @@ def _fine_keys(parts: int):
             for big in batches:
                 for b in slices(big, "line"):
                     codes, offsets = _codes(b.column(2).to_pylist())
-                    r, key, lo, hi = block_keys(Rolling(codes), offsets[:-1], offsets[1:], parts)
+                    roll, start, end = Rolling(codes), offsets[:-1], offsets[1:]
+                    # two lines of which one has `parts` characters share the finer blocks; both are cut into these from parts - 1 on
+                    cuts = []
+                    for some, count in ((np.flatnonzero(end - start >= parts - 1), parts), (np.flatnonzero(end - start < parts), min(FEW, parts))):
+                        r, *rest = block_keys(roll, start[some], end[some], count)
+                        cuts.append((some[r], *rest))
+                    r, key, lo, hi = (np.concatenate(x) for x in zip(*cuts, strict=True))
                     yield pa.record_batch({"h1": b.column(0).to_numpy()[r], "h2": b.column(1).to_numpy()[r], "key": key, "hole_from": lo.astype(np.int32), "hole_to": hi.astype(np.int32)})
 
     return run
@@ -173,18 +185,18 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(shared, "key")
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, parts: int = PARTS, edits: int = 1, work: Workspace | None = None) -> DataFrame:
-    """(id, k, n): lines of docs (id, k, text) to be removed, edits being 0 (equal lines only) or 1."""
+def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST, near: int = NEAR, parts: int = PARTS, edits: int = 1, work: Workspace | None = None) -> DataFrame:
+    """(id, k, n): lines of docs (id, k, text) to be removed, edits being 0 (equal lines only) or 1, that for lines of `near` characters and more."""
     if edits not in (0, 1):
         raise ValueError("edits is 0 or 1")
     work = work or Workspace(spark, "lines")
-    lines = work.put(docs.select("id", "k", "text").mapInArrow(_scanned(least, 2), SCANNED), "lines")
+    lines = work.put(docs.select("id", "k", "text").mapInArrow(_scanned(least, near, 2), SCANNED), "lines")
     place = F.struct("id", "k", "n")
     classes = work.put(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("many")), "classes")
     if edits:
-        near = _shared(lines.select("h1", "h2", F.explode("keys").alias("key"))).select("h1", "h2").distinct()
+        close = _shared(lines.select("h1", "h2", F.explode("keys").alias("key"))).select("h1", "h2").distinct()
         # each class's text is fetched once, from its earliest place
-        places = classes.join(near, ["h1", "h2"]).groupBy(F.col("first.id").alias("id"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("first.n", "h1", "h2")).alias("wanted"))
+        places = classes.join(close, ["h1", "h2"]).groupBy(F.col("first.id").alias("id"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("first.n", "h1", "h2")).alias("wanted"))
         texts = work.put(docs.join(places, ["id", "k"]).select("text", "wanted").mapInArrow(_fetched, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]), "texts")
         held = _shared(texts.mapInArrow(_fine_keys(parts), KEYS)).groupBy("h1", "h2").agg(F.collect_set(F.struct("hole_from", "hole_to")).alias("holes"))
         few = work.put(texts.join(held, ["h1", "h2"]).select("h1", "h2", "line", "holes"), "near-lines")
@@ -208,12 +220,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST,
     return found.where((place > F.col("first")) | F.col("near").isNotNull()).select("id", "k", "n")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, edits: int = 1) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, near: int = NEAR, edits: int = 1) -> DataFrame:
     """The rows of docs with repeated lines cut from the text, and n_removed, how many; rows that lost lines and keep none that counts go."""
     work = Workspace(spark, "lines")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_k": F.xxhash64(text_col)})
     plain = keyed.select(F.col("_id").alias("id"), F.col("_k").alias("k"), F.col(text_col).alias("text"))
-    gone = repeated_lines(spark, plain, least=least, edits=edits, work=work).groupBy(F.col("id").alias("_id"), F.col("k").alias("_k")).agg(F.collect_set("n").alias("_gone"))
+    gone = repeated_lines(spark, plain, least=least, near=near, edits=edits, work=work).groupBy(F.col("id").alias("_id"), F.col("k").alias("_k")).agg(F.collect_set("n").alias("_gone"))
     cut = keyed.join(gone, ["_id", "_k"], "left")
     split = F.split(text_col, "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))

@@ -169,6 +169,26 @@ def test_line_dedup_of_equal_lines_only(spark):
         lines.dedup(spark, docs, edits=2)
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rnd = random.Random(11)
+    rows = [(1, "menu\nAll rights reserved.\nown one"), (2, "menu\n  All rights reserved.\n}\n\nown two"), (3, "page 1\n}\nmenu\n\nown three"), (4, "page 2\n\nmenu")]
+    for n in range(10, 30):  # near copies of short lines, from 12 characters on
+        x = "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+        for k, y in enumerate((x, x[: n // 2] + "#" + x[n // 2 :], x[: n // 3] + "#" + x[n // 3 + 1 :], x[:-1], "#" + x, x[1:])):
+            rows.append((100 + 10 * n + k, y + f"\n{'.' * (n * 10 + k) * 2}"[: 2 + n]))
+    first, want = {}, {}
+    for i, t in rows:
+        for n, x in enumerate(t.split("\n")):
+            if x.strip():
+                first.setdefault(x.strip(), (i, n))
+    goes = {x: any(f < first[x] and min(len(x), len(y)) >= 12 and within_one(x, y) for y, f in first.items()) for x in first}
+    for i, t in rows:
+        want[i] = [x for n, x in enumerate(t.split("\n")) if not x.strip() or not (goes[x.strip()] or first[x.strip()] < (i, n))]
+    got = lines.dedup(spark, spark.createDataFrame(rows, SCHEMA), least=1).collect()
+    assert {r.doc_id: r.text for r in got} == {i: "\n".join(kept) for i, kept in want.items() if any(x.strip() for x in kept)}
+    assert {r.doc_id: r.text for r in got if r.doc_id < 5} == {1: rows[0][1], 2: "}\n\nown two", 3: "page 1\n\nown three", 4: "page 2\n"}
+
+
 def test_embedding_links_are_exact(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
     rnd = np.random.default_rng(1)
