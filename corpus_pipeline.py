@@ -25,7 +25,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line are cut; documents that lost lines and keep none that counts go."""
+    """Lines within one edit of an earlier line are cut; documents go if lines were cut and none but blank ones is left."""
     cut = lines.dedup(spark, docs.select(*COLUMNS), least=1)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -220,8 +220,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, *, least: int = LEAST,
     return found.where((place > F.col("first")) | F.col("near").isNotNull()).select("id", "k", "n")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, near: int = NEAR, edits: int = 1) -> DataFrame:
-    """The rows of docs with repeated lines cut from the text, and n_removed, how many; rows that lost lines and keep none that counts go."""
+def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, near: int = NEAR, edits: int = 1, emptied: str | None = None) -> DataFrame:
+    """The rows of docs with repeated lines cut from the text, and n_removed, how many.
+
+    Rows that lost lines and keep none that counts go, or, if `emptied` names a column for it, stay with an
+    empty text and true there.
+    """
     work = Workspace(spark, "lines")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_k": F.xxhash64(text_col)})
     plain = keyed.select(F.col("_id").alias("id"), F.col("_k").alias("k"), F.col(text_col).alias("text"))
@@ -231,5 +235,6 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
     out = cut.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     whole = F.col("_gone").isNull() | F.exists("_kept", lambda x: F.char_length(F.btrim(x, F.lit(_STRIP))) >= least)
-    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-    return out.where(whole).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone", "_kept")
+    out = out.withColumns({text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).when(whole, F.array_join("_kept", "\n")).otherwise(""), "_whole": whole})
+    out = out.where("_whole") if emptied is None else out.withColumn(emptied, ~F.col("_whole"))
+    return out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone", "_kept", "_whole")

@@ -28,9 +28,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document that keeps a line: its id, the digest of what is left, and how many lines went."""
-    cut = lines.dedup(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
-    return cut.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """Per document: its id, the digest of what is left, how many lines went, and whether no line is left."""
+    cut = lines.dedup(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), least=1, emptied="emptied")
+    return cut.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "emptied")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

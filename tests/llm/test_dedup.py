@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm import embeddings, lines, minhash, suffix
+import corpus_pipeline
+from tessera.llm import embeddings, lines, minhash, queries, suffix
 
 SCHEMA = "doc_id long, text string"
 LONG = " ".join(f"w{i}" for i in range(400))
@@ -189,6 +190,18 @@ def test_line_dedup_takes_short_lines(spark):
     assert {r.doc_id: r.text for r in got if r.doc_id < 5} == {1: rows[0][1], 2: "}\n\nown two", 3: "page 1\n\nown three", 4: "page 2\n"}
 
 
+def test_line_dedup_keeps_documents_of_short_lines(spark, tmp_path):
+    shared = "a license line that many documents share"
+    rows = [(1, shared), (2, shared + "\n" + "\n".join(f"verse {k * k * 997}" for k in range(200))), (3, f"{shared}\n \n"), (4, shared), (5, None), (6, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: (r.n_removed, r.emptied) for i, r in got.items()} == {1: (0, False), 2: (1, False), 3: (1, True), 4: (1, True), 5: (0, False), 6: (0, False)}
+    assert got[2].kept_sha256 == hashlib.sha256(rows[1][1].split("\n", 1)[1].encode()).hexdigest()
+    assert got[3].n_bytes == got[4].n_bytes == 0
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1, 2, 5, 6}
+
+
 def test_embedding_links_are_exact(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
     rnd = np.random.default_rng(1)
