@@ -31,13 +31,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows that repeat an id count once."""
+    """Of each group of near-duplicates the document with the smallest id; rows that repeat an id and a text count once, different texts of an id are documents of their own."""
     work = Workspace(spark, "near")
-    found = work.put(minhash.near_duplicates(spark, docs), "found")
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    found = work.put(minhash.near_duplicates(spark, docs, by_text=True), "found")
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    gone = found.where("not kept").select("doc_id", "text_key").distinct()
+    kept = keyed.join(gone, ["doc_id", "text_key"], "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    once = kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).union(kept.where("doc_id is null").select(*kept.columns))
+    return once.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

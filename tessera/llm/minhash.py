@@ -14,7 +14,9 @@ to it differs by at most the bound.  Rounds with new leaders go on until every b
 member is dropped or capped.
 
 Nulls and texts without words have the empty set and link with nothing.  Repeated rows are equal sets,
-rows that repeat a doc_id count as one node.  An empty table gives an empty result.  Columns besides
+rows that repeat a doc_id count as one node, through whichever of their texts it links, or with by_text=True
+each different text is a node of its own.  Classes, sets and pairs go by a number of the class, for which
+one text is fetched, so a repeated id or text is compared once.  An empty table gives an empty result.  Columns besides
 the id and the text are ignored.
 """
 
@@ -102,6 +104,7 @@ def _sketched(ids: str, width: int, m: int, rows: int, seed: int):
                     yield pa.record_batch(
                         {
                             "id": b.column(0),
+                            "k": b.column(2),
                             "n": pa.array([len(x) for x in sets], pa.int64()),
                             "fp": pa.array([np.array([mix(x + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)]).tobytes() if len(x) else None for x in sets], pa.binary()),
                             "sketch": pa.array([next(sketch).view(np.int64) if len(x) else None for x in sets], pa.list_(pa.int64())),
@@ -216,23 +219,31 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, m: int = 8, rows: int = 2, seed: int = 1, work: Workspace | None = None
+    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, m: int = 8, rows: int = 2, seed: int = 1, by_text: bool = False, work: Workspace | None = None
 ) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (smallest id reachable by links), kept.
 
     Links join sets with 100 * intersection >= percent * union.  At a similarity of 0.85 the defaults
     miss a candidate with probability 2 * (1 - 0.85**rows)**m, below 1 in 14,000, less above it.
+
+    With by_text, rows of one id are no link between their texts, kept marks one id and text of each component,
+    and text_key, the text's xxhash64, tells which text of an id a row has.
     """
     work = work or Workspace(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = work.put(texts.mapInArrow(_sketched("id", width, m, rows, seed), "id long, n long, fp binary, sketch array<long>"), "sketches")
-    classes = work.put(sigs.where("fp is not null and id is not null").groupBy("fp").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("c")).select("fp", "c.*"), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k"))
+    sigs = work.put(texts.mapInArrow(_sketched("id", width, m, rows, seed), "id long, k long, n long, fp binary, sketch array<long>"), "sketches")
+    first = F.min_by(F.struct(F.col("id").alias("doc"), "k", "n", "sketch"), F.struct("id", "k")).alias("c")
+    # numbers of classes are fixed by the written table
+    classes = work.put(sigs.where("fp is not null and id is not null").groupBy("fp").agg(first).select("fp", "c.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     # a tuple that no other class has cannot be half of a shared key
-    half = classes.select("id", "n", F.posexplode("sketch").alias("t", "h"))
+    half = classes.select("id", "doc", "k", "n", F.posexplode("sketch").alias("t", "h"))
     shared = half.groupBy("t", "h").agg(F.count("*").alias("c")).where("c > 1").select("t", "h")
-    halves = work.put(half.join(shared, ["t", "h"]).groupBy("id", "n").agg(F.collect_set(F.struct("t", "h")).alias("l")), "halves")  # 2 m at most
-    # the texts are joined in one way at every size
-    sets = work.put(texts.join(halves.select("id").hint("merge"), "id", "left_semi").mapInArrow(_as_sets(width), "id long, items array<long>"), "sets")
+    chosen = work.put(half.join(shared, ["t", "h"]).groupBy("id", "doc", "k", "n").agg(F.collect_set(F.struct("t", "h")).alias("l")), "halves")  # 2 m at most
+    halves = chosen.select("id", "n", "l")
+    # the texts are joined in one way at every size; equal rows are one text, found in the join's own order
+    wanted = chosen.select(F.col("doc").alias("wanted_doc"), F.col("k").alias("wanted_k"), F.col("id").alias("class"))
+    fetched = texts.join(wanted.hint("merge"), (F.col("id") == F.col("wanted_doc")) & (F.col("k") == F.col("wanted_k"))).dropDuplicates(["id", "k"])
+    sets = work.put(fetched.select(F.col("class").alias("id"), "text").mapInArrow(_as_sets(width), "id long, items array<long>"), "sets")
     # classes of which too much is their own can link with none
     able = work.put(_with_lone(halves, sets).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")), "able")
     in_a, in_b = (F.filter("l", lambda x: x["t"] < m), F.filter("l", lambda x: x["t"] >= m))
@@ -261,8 +272,18 @@ def near_duplicates(
     links = confirmed[0]
     for more in confirmed[1:]:
         links = links.union(more)
+    if not by_text:  # texts of one id are linked by it
+        held = sigs.where("fp is not null and id is not null").select(F.col("id").alias("doc"), "fp")
+        several = held.groupBy("doc").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("doc", "lo")
+        ends = [classes.select(F.col("id").alias(a), F.col("fp").alias(on)) for a, on in (("a", "lo"), ("b", "fp"))]
+        links = links.union(held.join(several, "doc").where("fp <> lo").join(ends[0], "lo").join(ends[1], "fp").select("a", "b"))
     labels = components(work, links)
-    named = classes.select("fp", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    out = sigs.select("id", "n", "fp").join(named, "fp", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    named = classes.select("fp", "doc", "k", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min(F.struct("doc", "k")).alias("least"))
+    out = sigs.select("id", "k", "n", "fp").join(named.select("fp", "component"), "fp", "left").join(least, "component", "left")
+    component = F.coalesce("least.doc", "id")
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    result = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")]
+    if not by_text:
+        return out.select(*result, kept.alias("kept"))
+    return out.select(*result, (kept & (F.col("id").isNull() | F.coalesce(F.col("k") == F.col("least.k"), F.lit(True)))).alias("kept"), F.col("k").alias("text_key"))

@@ -62,6 +62,26 @@ def test_minhash_links_are_exact(spark, monkeypatch, small, direct):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(sets[i]), want[i], want[i] == i) for i in ids}
 
 
+def test_minhash_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "DIRECT", 3)
+    crowd = [r for r in near_texts() if r[0] >= 100]
+    lone = " ".join(f"lone{k}" for k in range(90))
+    rows = [*crowd, *crowd, (130, lone), (100, LONG), (7, LONG + " tail")]  # 130 and 100 have two texts each
+    nodes = sorted({(i, t) for i, t in rows})
+    sets = {node: shingle_set(node[1]) for node in nodes}
+    near = [(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = closed({i for i, _ in nodes}, [(a[0], b[0]) for a, b in near])
+    got = minhash.near_duplicates(spark, docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(sets[i, t]), want[i], want[i] == i) for i, t in nodes}
+    monkeypatch.undo()
+    some = [(130, lone), (130, crowd[0][1]), (100, crowd[0][1]), (100, crowd[0][1]), (140, LONG), (140, LONG + " tail"), (None, lone)]
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in kept) == sorted([(0, lone[:5]), (130, lone[:5]), (100, crowd[0][1][:5]), (140, LONG[:5])])
+
+
 def test_minhash_of_an_empty_table(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
