@@ -17,6 +17,9 @@ from tessera.llm.common import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Least similarity of near-duplicates; with so many tuples a pair at exactly it is missed with probability 2 * (1 - 0.8**2)**11, 1 in 38,000.
+PERCENT, TUPLES = 80, 11
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest centroid is near enough; those without letters and those far from all languages go."""
@@ -33,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; rows that repeat an id and a text count once, different texts of an id are documents of their own."""
     work = Workspace(spark, "near")
-    found = work.put(minhash.near_duplicates(spark, docs, by_text=True), "found")
+    found = work.put(minhash.near_duplicates(spark, docs, percent=PERCENT, m=TUPLES, by_text=True), "found")
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
     gone = found.where("not kept").select("doc_id", "text_key").distinct()
     kept = keyed.join(gone, ["doc_id", "text_key"], "left_anti")

@@ -82,6 +82,21 @@ def test_minhash_of_repeated_ids(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.text[:5]) for r in kept) == sorted([(0, lone[:5]), (130, lone[:5]), (100, crowd[0][1][:5]), (140, LONG[:5])])
 
 
+def test_pipeline_takes_near_duplicates_from_080(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    words = [f"v{k}" for k in range(204)]
+    made = [(20_000 + k, " ".join(words[: 204 - k])) for k in (0, 33, 41)]  # 200, 167 and 159 shingles: 0.835, 0.795 and 0.952
+    made += [(30_000, " ".join(f"u{k}" for k in range(204))), (30_001, " ".join(f"u{k}" for k in range(164))), (30_002, " ".join(f"z{k}" for k in range(204))), (30_003, " ".join(f"z{k}" for k in range(163)))]  # 0.80 and 0.795
+    docs = table.union(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], table.schema))
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = closed(ids, links)
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == [i for i in ids if want[i] == i]
+    assert {i for i in kept if i >= 20_000} == {20_000, 30_000, 30_002, 30_003}
+
+
 def test_minhash_of_an_empty_table(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
