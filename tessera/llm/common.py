@@ -87,8 +87,8 @@ class Workspace:
                 return
 
 
-#: Bytes of text that a kernel turns into wide numpy arrays at once; one longer text is still taken whole.
-SLICE_BYTES = 1 << 18
+#: Bytes of text that a kernel turns into wide numpy arrays at once, which fit caches then; one longer text is still taken whole.
+SLICE_BYTES = 1 << 16
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,34 +118,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Modulus of the rolling hash, a Mersenne prime, and two pairs of fixed random bases.
+PRIME = (1 << 31) - 1
+BASES = ((1_390_208_153, 768_941_387), (1_905_110_467, 333_667_951))
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below 2**32 that equals x modulo PRIME, or for x below 2**32 one of at most PRIME + 1."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 class Rolling:
-    """Hashes of any byte ranges of a buffer from one prefix sum of polynomial terms, modulo 2**64."""
+    """Hashes of any ranges of a buffer from prefix sums of polynomials modulo a prime, two bases in 62 bits.
 
-    BASE = 0x5851F42D4C957F2D
-    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
+    Two unequal ranges of n items agree for at most n of the 2**31 choices of each base, whatever they hold.
+    """
+
+    _powers: dict[int, np.ndarray] = {}
 
     @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._powers[0]) < n:
-            size = max(n, SLICE_BYTES + 1)
-            both = []
-            for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                both.append(np.cumprod(p, dtype=np.uint64))
-            if size > 8 * SLICE_BYTES:
-                return both[0], both[1]
-            cls._powers = (both[0], both[1])
-        return cls._powers
-
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data)
-        up, self.down = self.powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
+    def powers(cls, base: int, n: int) -> np.ndarray:
+        found = cls._powers.get(base, np.ones(1, np.uint64))
+        if len(found) < n:
+            found, size = np.ones(1, np.uint64), max(n, SLICE_BYTES + 1)
+            while len(found) < size:
+                found = np.concatenate([found, found * np.uint64(pow(base, len(found), PRIME)) % np.uint64(PRIME)])
+            if size <= 8 * SLICE_BYTES:
+                cls._powers[base] = found
+        return found
+
+    def __init__(self, data: np.ndarray, pair: int = 0) -> None:
+        n, self.parts = len(data), []
+        values = data.astype(np.uint64) + np.uint64(1)
+        for base in BASES[pair]:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_folded(values * self.powers(base, n + 1)[:n]), out=sums[1:])
+            self.parts.append((sums, self.powers(pow(base, -1, PRIME), n + 1)))
+
+    @staticmethod
+    def _both(parts: list[np.ndarray]) -> np.ndarray:
+        one, two = (_folded(_folded(x)) for x in parts)
+        for x in (one, two):
+            np.subtract(x, np.uint64(PRIME), out=x, where=x >= np.uint64(PRIME))
+        return mix(one | (two << np.uint64(31)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        return self._both([_folded(s[end] - s[start]) * down[start] for s, down in self.parts])
+
+    def joined(self, start: np.ndarray, cut: np.ndarray, follow: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the items from start to cut with those from follow to end behind them."""
+        return self._both([_folded(_folded(s[cut] - s[start]) * down[start]) + _folded(_folded(s[end] - s[follow]) * down[follow - cut + start]) for s, down in self.parts])
 
 
 def components(work: Workspace, edges: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ repeat an id and a text are treated alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,9 +71,11 @@ def line_spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     return text, number, start, end
 
 
-def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[Rolling, np.ndarray, np.ndarray]:
-    roll, size = Rolling(codes), (end - start).astype(np.uint64)
-    return roll, roll.of(start, end) + size, Rolling(codes ^ np.uint32(0x2A5A5)).of(start, end) ^ size
+def _digests(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a cryptographic digest of each line, by which equal lines are one class."""
+    raw = memoryview(codes.tobytes())
+    both = b"".join(hashlib.blake2b(raw[4 * lo : 4 * hi], digest_size=16).digest() for lo, hi in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(both, np.int64).reshape(-1, 2)
 
 
 def block_keys(roll: Rolling, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
@@ -90,7 +93,7 @@ def block_keys(roll: Rolling, start: np.ndarray, end: np.ndarray, parts: int) ->
         s = size[k][r]
         for i in range(parts):
             left, right = i * s, (parts - 1 - i) * s
-            key = roll.of(start[r], start[r] + left) * np.uint64(3) + roll.of(end[r] - right, end[r]) + (s * 1009 + i).astype(np.uint64)
+            key = roll.joined(start[r], start[r] + left, end[r] - right, end[r]) + (s * 1009 + i).astype(np.uint64)
             out.append((r, key.view(np.int64), left, n[r] - right))
     return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
 
@@ -106,7 +109,7 @@ def _scanned(least: int, near: int, parts: int):
                     text, number, start, end = line_spans(codes, offsets)
                     long = end - start >= least
                     text, number, start, end = text[long], number[long], start[long], end[long]
-                    roll, h1, h2 = _hashes(codes, start, end)
+                    roll, h = Rolling(codes), _digests(codes, start, end)
                     far = np.flatnonzero(end - start >= near)
                     row, key, _, _ = block_keys(roll, start[far], end[far], parts)
                     row = far[row]
@@ -114,7 +117,7 @@ def _scanned(least: int, near: int, parts: int):
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))])
                     keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order]))
                     ids, ks = (b.column(k).to_numpy()[text] for k in (0, 1))
-                    yield pa.record_batch({"id": ids, "k": ks, "n": number.astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64), "keys": keys})
+                    yield pa.record_batch({"id": ids, "k": ks, "n": number.astype(np.int32), "h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "keys": keys})
 
     return run
 
@@ -167,9 +170,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row, place = once >> 40, once & ((1 << 40) - 1)
                 at = offsets[row] + place
                 n = np.diff(offsets)
-                # sums of the parts before and after the deleted character, the latter moved back by one place
-                gone = (roll.sums[at] - roll.sums[offsets[row]]) * roll.down[offsets[row]] + (roll.sums[offsets[row + 1]] - roll.sums[at + 1]) * roll.down[offsets[row] + 1]
-                whole = (roll.sums[offsets[1:]] - roll.sums[offsets[:-1]]) * roll.down[offsets[:-1]]
+                gone, whole = roll.joined(offsets[row], at, at + 1, offsets[row + 1]), roll.of(offsets[:-1], offsets[1:])
                 all_rows = np.arange(b.num_rows)
                 salt = lambda size: size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 deleted, own = gone + salt(n[row] - 1), whole + salt(n)
@@ -237,4 +238,4 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     whole = F.col("_gone").isNull() | F.exists("_kept", lambda x: F.char_length(F.btrim(x, F.lit(_STRIP))) >= least)
     out = out.withColumns({text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).when(whole, F.array_join("_kept", "\n")).otherwise(""), "_whole": whole})
     out = out.where("_whole") if emptied is None else out.withColumn(emptied, ~F.col("_whole"))
-    return out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone", "_kept", "_whole")
+    return out.withColumn("n_removed", F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone", "_kept", "_whole")

@@ -2,26 +2,28 @@
 
 A document is the set of its distinct word shingles.  Two small collections of minhash tuples, A and B,
 are computed; the key of table (i, j) joins tuple A_i with tuple B_j, so m + m tuples serve m * m
-tables.  Equal sets are one class from the start.  Documents that share a table key are candidates and
+tables.  Equal sets are one class from the start.  Classes that share a table key are candidates and
 every link is confirmed on the full sets.
 
-Within a bucket, pairs are not enumerated.  Up to SMALL classes are paired directly.  In larger buckets
-each class gets its number of lone shingles, those in no other class that it may still have to be compared with: they add to any
-union and to no intersection, so they bound its similarity with a partner exactly, and most classes that
-only share a passage are settled by that alone.  The rest is compared with a leader.  Jaccard distance
-is a metric, so members that stay away from the leader need comparing only with members whose distance
-to it differs by at most the bound.  Rounds with new leaders go on until every bucket is settled: no
-member is dropped or capped.
-
-Nulls and texts without words have the empty set and link with nothing.  Repeated rows are equal sets,
-rows that repeat a doc_id count as one node, through whichever of their texts it links, or with by_text=True
-each different text is a node of its own.  Classes, sets and pairs go by a number of the class, for which
-one text is fetched, so a repeated id or text is compared once.  An empty table gives an empty result.  Columns besides
-the id and the text are ignored.
+Within a bucket, pairs are not enumerated.  A class's lone shingles, which no other candidate has, add to
+any union and to no intersection; they bound its similarity with any partner and settle most classes that
+only share a passage.  Buckets of up to SMALL classes are paired.  In larger ones each class is compared
+with two hubs.  The links so found join most of a bucket into one group, and only classes of different
+groups are compared further: by an exact prefix join, in which two classes must share one of their
+rarest shingles, at places that leave enough behind, and have sizes near enough.  No class is dropped or
+capped, and no pair within a group is formed.
+
+Nulls and texts without words have the empty set and link with nothing.  Very long texts are sets like
+others.  Repeated rows are equal sets, rows that repeat a doc_id count as one node, through whichever of
+their texts it links, or with by_text=True each different text is a node of its own.  Rows with a null id
+have their number of shingles, no component and are kept.  Of equal ids the tie goes to the text with the
+smaller hash.  An empty table gives an empty result.  Columns besides the id and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Buckets of at most so many classes are paired directly, at first and after a round; leaders of later rounds.
-SMALL, DIRECT = 12, 64
-LEADERS = 4
+#: Buckets of at most so many classes are paired at once.
+SMALL = 12
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -106,7 +107,7 @@ def _sketched(ids: str, width: int, m: int, rows: int, seed: int):
                             "id": b.column(0),
                             "k": b.column(2),
                             "n": pa.array([len(x) for x in sets], pa.int64()),
-                            "fp": pa.array([np.array([mix(x + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)]).tobytes() if len(x) else None for x in sets], pa.binary()),
+                            "fp": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                             "sketch": pa.array([next(sketch).view(np.int64) if len(x) else None for x in sets], pa.list_(pa.int64())),
                         }
                     )
@@ -137,11 +138,14 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": b.column(0), "b": b.column(1), "both": pa.array(both, pa.int64()), "either": pa.array(union, pa.int64())})
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, either) of candidate pairs, from their full sets."""
+def _linked(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the candidate pairs that are links, on their full sets; sizes and lone shingles rule out some before the sets are fetched."""
+    some = work.put(pairs.where(_may(percent)).select("a", "b").distinct(), "pairs")
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("ys"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "xs", "ys").mapInArrow(_overlap, "a long, b long, both long, either long")
+    # the sets are joined in one way at every size
+    both = some.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "xs", "ys").mapInArrow(_overlap, "a long, b long, both long, either long")
+    return work.put(both.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "links")
 
 
 def _may(percent: int, n: str = "n", u: str = "u", n2: str = "n2", u2: str = "u2") -> Column:
@@ -149,16 +153,6 @@ def _may(percent: int, n: str = "n", u: str = "u", n2: str = "n2", u2: str = "u2
     return (100 + percent) * F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2)) >= percent * (F.col(n) + F.col(n2))
 
 
-def _lone(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, u): how many shingles of each id no other of the ids has."""
-    items = sets.join(ids, "id", "left_semi").select("id", F.explode("items").alias("item"))
-    return items.groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("u"))
-
-
-def _with_lone(members: DataFrame, sets: DataFrame) -> DataFrame:
-    return members.drop("u").join(_lone(sets, members.select("id").distinct()), "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-
-
 def _buckets(members: DataFrame) -> DataFrame:
     """(key, size) of buckets of two and more, one key for those with the same members: tables often agree."""
     found = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
@@ -176,46 +170,45 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
     return left.join(_buckets(left), "key")
 
 
-def _linked(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that are links; sizes too far apart are ruled out before the sets are fetched."""
-    some = work.put(pairs.where(_may(percent)).select("a", "b").distinct(), "pairs")
-    return work.put(_confirm(some, sets).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"), "links")
-
-
 def _pairs_of(members: DataFrame) -> DataFrame:
     """Candidate pairs: all within buckets of SMALL members at most."""
     x, y = members.select("key", F.col("id").alias("a"), "n", "u"), members.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("u").alias("u2"))
     return x.join(y, "key").where("a < b").select("a", "b", "n", "n2", "u", "u2")
 
 
-def _leaders(active: DataFrame, count: int) -> DataFrame:
-    """(key, lead): the member with fewest lone shingles, of these that in the largest buckets, then count - 1 more by hash."""
-    picks = [F.max_by("id", F.struct(-F.col("u"), "hub", -F.col("id")))] + [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, count)]
-    return active.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("l")).select("key", F.explode("l").alias("lead"))
-
-
-def _placed(compared: DataFrame, scored: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, u, hub, near, hit, away) for members that are no leaders: the least leader linked, else null, shingles shared with the first, and the distance to each."""
-    one = compared.select("key", "id", "n", "u", "hub", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).join(scored, ["a", "b"])
-    linked = F.when(F.col("both") * 100 >= F.col("either") * percent, F.col("lead"))
-    away = F.map_from_entries(F.collect_list(F.struct("lead", (1 - F.col("both") / F.col("either")).alias("d"))))  # as many as leaders
-    leads = compared.select("key", F.col("lead").alias("id")).distinct()
-    return one.join(leads, ["key", "id"], "left_anti").groupBy("key", "id").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.first("hub").alias("hub"), F.min(linked).alias("near"), F.min_by("both", "lead").alias("hit"), away.alias("away"))
+def _with_hubs(crowded: DataFrame) -> DataFrame:
+    """Candidate pairs of each member of a large bucket with its hubs: the one with fewest lone shingles, of these that in the largest buckets, and one by hash."""
+    weight = crowded.groupBy("id").agg(F.sum("size").alias("weight"))
+    me = F.struct("id", "n", "u")
+    picks = [F.max_by(me, F.struct(-F.col("u"), "weight", -F.col("id"))), F.min_by(me, F.xxhash64("id", F.lit(1)))]
+    hubs = crowded.join(weight, "id").groupBy("key").agg(F.array(*picks).alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("hub"))
+    met = crowded.join(hubs, "key").where("id <> hub.id")
+    first = F.col("id") < F.col("hub.id")
+    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), F.when(first, F.col("n")).otherwise(F.col("hub.n")).alias("n"), F.when(first, F.col("hub.n")).otherwise(F.col("n")).alias("n2"), F.when(first, F.col("u")).otherwise(F.col("hub.u")).alias("u"), F.when(first, F.col("hub.u")).otherwise(F.col("u")).alias("u2")).distinct()
 
 
-def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different leaders, or of one and of none, that are still possible.
+def _across(work: Workspace, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, n, n2, u, u2) of different groups among rest (id, n, grp), by an exact prefix join.
 
-    Of what x and y share, at most least(hit) lies within the first leader, and outside it at most what
-    is neither there nor lone.  Distances to a leader differ by the bound at most.
+    Shingles are ordered by how many of rest have them, rare ones first.  A link shares at least
+    percent * n of a set of n, so one of its first n - least + 1 shingles; and with the first shared one at
+    places i and j (from 0), at most least(n - i, n2 - j) in all.
     """
-    x = placed.where("near is not null").select("key", F.col("id").alias("x"), "n", "u", "hit", F.col("near").alias("g"), F.col("away").alias("d"))
-    y = placed.select("key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("hit").alias("hit2"), F.col("near").alias("g2"), F.col("away").alias("d2"))
-    outside = F.least(F.col("n") - F.col("hit") - F.col("u"), F.col("n2") - F.col("hit2") - F.col("u2"))
-    possible = (100 + percent) * (F.least("hit", "hit2") + outside) >= percent * (F.col("n") + F.col("n2"))
-    apart = F.exists(F.map_keys("d"), lambda lead: F.abs(F.col("d")[lead] - F.col("d2")[lead]) > 1 - percent / 100 + 1e-9)
-    cross = x.join(y, "key").where(F.col("g2").isNull() | (F.col("g") < F.col("g2"))).where(possible).where(~apart)
-    return cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "n2", "u", "u2")
+    items = sets.join(rest.select("id"), "id", "left_semi").select("id", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("l"))  # as many as the set has
+    prefix = F.slice("l", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    alone = F.size(F.filter("l", lambda x: x["df"] == 1)).cast("long")
+    placed = ranked.join(rest, "id").select("id", "n", "grp", alone.alias("u"), F.posexplode(prefix).alias("at", "s"))
+    tokens = work.put(placed.where("s.df > 1").select(F.col("s.item").alias("item"), "id", "n", "grp", "u", "at"), "prefixes")
+    # of an item's groups the largest is compared with the others only
+    groups = tokens.groupBy("item", "grp").agg(F.count("*").alias("c")).groupBy("item").agg(F.max_by("grp", F.struct("c", "grp")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("item", "most")
+    marked = tokens.join(groups, "item")
+    x = marked.where("grp <> most").select("item", F.col("id").alias("x"), F.col("grp").alias("g"), "n", "u", "at")
+    y = marked.select("item", F.col("id").alias("y"), F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("at").alias("at2"), (F.col("grp") == F.col("most")).alias("in_most"))
+    enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= percent * (F.col("n") + F.col("n2"))
+    met = x.join(y, "item").where("g <> g2").where(F.col("in_most") | (F.col("x") < F.col("y"))).where(enough & _may(percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.when(F.col("x") < F.col("y"), F.col("n2")).otherwise(F.col("n")).alias("n2"), F.when(F.col("x") < F.col("y"), F.col("u")).otherwise(F.col("u2")).alias("u"), F.when(F.col("x") < F.col("y"), F.col("u2")).otherwise(F.col("u")).alias("u2"))
 
 
 def near_duplicates(
@@ -238,47 +231,38 @@ def near_duplicates(
     # a tuple that no other class has cannot be half of a shared key
     half = classes.select("id", "doc", "k", "n", F.posexplode("sketch").alias("t", "h"))
     shared = half.groupBy("t", "h").agg(F.count("*").alias("c")).where("c > 1").select("t", "h")
-    chosen = work.put(half.join(shared, ["t", "h"]).groupBy("id", "doc", "k", "n").agg(F.collect_set(F.struct("t", "h")).alias("l")), "halves")  # 2 m at most
-    halves = chosen.select("id", "n", "l")
+    chosen = work.put(half.join(shared.hint("merge"), ["t", "h"]).groupBy("id", "doc", "k", "n").agg(F.collect_set(F.struct("t", "h")).alias("l")), "halves")  # 2 m at most
     # the texts are joined in one way at every size; equal rows are one text, found in the join's own order
     wanted = chosen.select(F.col("doc").alias("wanted_doc"), F.col("k").alias("wanted_k"), F.col("id").alias("class"))
     fetched = texts.join(wanted.hint("merge"), (F.col("id") == F.col("wanted_doc")) & (F.col("k") == F.col("wanted_k"))).dropDuplicates(["id", "k"])
     sets = work.put(fetched.select(F.col("class").alias("id"), "text").mapInArrow(_as_sets(width), "id long, items array<long>"), "sets")
-    # classes of which too much is their own can link with none
-    able = work.put(_with_lone(halves, sets).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")), "able")
+    # shingles that no other set has; classes of which too much is their own can link with none
+    lone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("u"))
+    sized = chosen.select("id", "n", "l").join(lone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    able = work.put(sized.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")), "able")
+    work.sweep()
     in_a, in_b = (F.filter("l", lambda x: x["t"] < m), F.filter("l", lambda x: x["t"] >= m))
     cells = F.transform(in_a, lambda x: F.transform(in_b, lambda y: F.xxhash64(x["t"], y["t"], x["h"], y["h"])))
     keys = able.select(F.explode(F.flatten(cells)).alias("key"), "id", "n", "u")
-    members = work.put(keys.join(_buckets(keys), "key"), "members")
-    large = members.where(F.col("size") > SMALL)
-    hubs = large.groupBy("id").agg(F.sum("size").alias("hub"))
-    known = work.put(_with_lone(large.join(hubs, "id"), sets).select("key", "id", "n", "u", "hub"), "known")
-    pairs, confirmed, direct, count = _pairs_of(members.where(F.col("size") <= SMALL)), [], SMALL, 1
-    active = work.put(_open(known, percent), "active")
-    while True:
-        confirmed.append(_linked(work, pairs.union(_pairs_of(active.where(F.col("size") <= direct))), sets, percent))
-        crowded = active.where(F.col("size") > direct)
-        if crowded.isEmpty():
-            break
-        compared = crowded.join(_leaders(crowded, count), "key").where(F.col("id") != F.col("lead"))
-        against = work.put(compared.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
-        scored = work.put(_confirm(against, sets), "scores")
-        confirmed.append(scored.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
-        placed = work.put(_placed(compared, scored, percent), "placed")
-        pairs, direct, count = _across(placed, percent), DIRECT, LEADERS
-        work.sweep()
-        far = work.put(_open(placed.where("near is null").select("key", "id", "n", "u", "hub"), percent), "far")
-        active = work.put(_open(_with_lone(far, sets).select("key", "id", "n", "u", "hub"), percent), "active")
-    links = confirmed[0]
-    for more in confirmed[1:]:
-        links = links.union(more)
+    members = work.put(_open(keys.join(_buckets(keys), "key"), percent), "members")
+    sets = work.put(sets.join(able.select("id").hint("merge"), "id", "left_semi"), "able-sets")
+    crowded = members.where(F.col("size") > SMALL)
+    links = _linked(work, _pairs_of(members.where(F.col("size") <= SMALL)).union(_with_hubs(crowded)), sets, percent)
     if not by_text:  # texts of one id are linked by it
         held = sigs.where("fp is not null and id is not null").select(F.col("id").alias("doc"), "fp")
         several = held.groupBy("doc").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("doc", "lo")
         ends = [classes.select(F.col("id").alias(a), F.col("fp").alias(on)) for a, on in (("a", "lo"), ("b", "fp"))]
         links = links.union(held.join(several, "doc").where("fp <> lo").join(ends[0], "lo").join(ends[1], "fp").select("a", "b"))
-    labels = components(work, links)
-    named = classes.select("fp", "doc", "k", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = components(work, links)
+    grouped = crowded.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    torn = grouped.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("key")
+    rest = work.put(grouped.join(torn, "key").select("id", "n", "grp").distinct(), "rest")
+    later = _linked(work, _across(work, rest, sets, percent), sets, percent)
+    ends = [groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_grp")) for c in ("a", "b")]
+    between = later.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_grp", "a").alias("a"), F.coalesce("b_grp", "b").alias("b"))
+    joined = components(work, between).select(F.col("node").alias("grp"), F.col("component").alias("whole"))
+    named = classes.select("fp", "doc", "k", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    named = named.join(joined, "grp", "left").select("fp", "doc", "k", F.coalesce("whole", "grp").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("doc", "k")).alias("least"))
     out = sigs.select("id", "k", "n", "fp").join(named.select("fp", "component"), "fp", "left").join(least, "component", "left")
     component = F.coalesce("least.doc", "id")

@@ -47,10 +47,9 @@ def near_texts():
     return [*rows, (1, LONG)]
 
 
-@pytest.mark.parametrize(("small", "direct"), [(12, 64), (2, 3)])
-def test_minhash_links_are_exact(spark, monkeypatch, small, direct):
+@pytest.mark.parametrize("small", [12, 2])
+def test_minhash_links_are_exact(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "DIRECT", direct)
     rows = near_texts()
     sets = {i: shingle_set(t) for i, t in rows}
     ids = sorted(sets)
@@ -64,7 +63,6 @@ def test_minhash_links_are_exact(spark, monkeypatch, small, direct):
 
 def test_minhash_of_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "DIRECT", 3)
     crowd = [r for r in near_texts() if r[0] >= 100]
     lone = " ".join(f"lone{k}" for k in range(90))
     rows = [*crowd, *crowd, (130, lone), (100, LONG), (7, LONG + " tail")]  # 130 and 100 have two texts each
@@ -116,6 +114,20 @@ def repeat_texts():
     ]
 
 
+def covered(texts, owners, length, earlier=False, other=False):
+    """For each text a mark for each byte within a string of `length` that starts elsewhere too (earlier: before; other: in another document)."""
+    seen = {}
+    for k, x in enumerate(texts):
+        for i in range(len(x) - length + 1):
+            seen.setdefault(x[i : i + length], []).append((k, i))
+    gone = [bytearray(len(x)) for x in texts]
+    for places in seen.values():
+        for k, i in places:
+            if places[0] < (k, i) if earlier else len({owners[j] for j, _ in places}) > 1 if other else len(places) > 1:
+                gone[k][i : i + length] = b"\1" * length
+    return gone
+
+
 @pytest.mark.parametrize("group", [2000, 1])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_suffix_dedup_is_exact(spark, monkeypatch, keep, group):
@@ -124,13 +136,42 @@ def test_suffix_dedup_is_exact(spark, monkeypatch, keep, group):
     docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("doc_id", "k1")
     docs = docs.selectExpr("k1", "hash(text) + 0L as k2", "text")
     found = suffix.repeated_intervals(spark, docs, length=40, gram=12, keep=keep)
-    gone = {i: bytearray(len((t or "").encode())) for i, t in rows}
+    gone, other = ({i: bytearray(len((t or "").encode())) for i, t in rows} for _ in range(2))
     for r in found.collect():
-        gone[r.k1][r.s : r.e] = b"\1" * (r.e - r.s)
-    want = suffix.brute_force([(t or "").encode() for _, t in rows], 40, earlier=keep == "first")
-    assert [(sum(g)) for g in gone.values()] == [n for n, _, _ in want]
-    for (_, t), g, (_, _, digest) in zip(rows, gone.values(), want, strict=True):
-        assert hashlib.sha256(bytes(c for c, x in zip((t or "").encode(), g, strict=True) if not x)).hexdigest() == digest
+        for marks in (gone, *([other] if r.other else [])):
+            marks[r.k1][r.s : r.e] = b"\1" * (r.e - r.s)
+    texts, ids = [(t or "").encode() for _, t in rows], [i for i, _ in rows]
+    assert list(gone.values()) == covered(texts, ids, 40, earlier=keep == "first")
+    if keep == "none":
+        assert list(other.values()) == covered(texts, ids, 40, other=True)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_removal_of_repeats_is_exact(spark, keep):
+    rows = [*repeat_texts(), (13, "é" * 33), (14, "éé" * 25 + "tail")]
+    texts = [(t or "").encode() for _, t in rows]
+    got = {r.doc_id: r for r in suffix.kept_digest(suffix.remove_repeats(spark, spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, id int"), length=60, passage=40, keep=keep)).collect()}
+    want = suffix.brute_force(texts, 60, earlier=keep == "first")
+    shared = covered(texts, [i for i, _ in rows], 40, other=True)
+    for (i, _), t, (removed, runs, sha), marks in zip(rows, texts, want, shared, strict=True):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), removed, runs, sha)
+        if keep == "none":
+            assert (r.n_shared, r.shared) == (sum(marks), any(marks))
+
+
+def test_suffix_dedup_tells_thue_morse_words_apart(spark):
+    word = [0]
+    while len(word) < 4096:
+        word += [1 - v for v in word]
+    for n in (1024, 4096):
+        a, b = ("".join("xy"[v ^ flip] for v in word[:n]) for flip in (0, 1))
+        got = suffix.remove_repeats(spark, spark.createDataFrame([(1, a), (2, b)], SCHEMA)).collect()
+        want = suffix.brute_force([a.encode(), b.encode()], 400)
+        assert sorted(r.n_removed for r in got) == sorted(w[0] for w in want)
+        docs = spark.createDataFrame([(1, a), (2, b), (3, a + "\n" + b)], SCHEMA)
+        assert {r.doc_id: r.n_removed for r in lines.dedup(spark, docs, least=1, emptied="gone").collect()} == {1: 0, 2: 0, 3: 2}
+        assert {r.component_id for r in minhash.near_duplicates(spark, docs.where("doc_id < 3")).collect()} == {1, 2}
 
 
 def test_suffix_dedup_of_copies_and_long_texts(spark):
@@ -143,6 +184,13 @@ def test_suffix_dedup_of_copies_and_long_texts(spark):
     assert suffix.remove_repeats(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_matches_are_the_neighbours_of_a_suffix():
+    text = np.frombuffer(b"abcxabcyabc" + bytes(3), np.uint8)
+    earlier, later, other = suffix.matches(text, np.arange(11), 3, np.array([0] * 4 + [1] * 7), np.zeros(11, bool))
+    assert (earlier[[0, 4, 8]].tolist(), later[[0, 4, 8]].tolist()) == ([-1, 0, 4], [4, 8, -1])
+    assert other[[0, 4, 8]].all() and not other[[1, 2, 3, 5]].any()
+
+
 def test_suffix_order_agrees_with_sorting():
     text = np.frombuffer(b"abracadabra-abracadabra-abrac" + bytes(12), np.uint8)
     starts = np.arange(len(text) - 12)
