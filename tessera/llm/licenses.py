@@ -1,14 +1,20 @@
 """License scans, natively: an exact set-similarity join of text blocks with license templates.
 
-A block is a line; its set is its distinct words.  A block matches a template if it holds at least
-`percent` of the template's distinct words.  Words of templates are ordered by how many blocks of the
-whole corpus hold them, rare ones first (ties by the word).  A match must hold one of the first
-|T| - least + 1 words of its template (prefix), `least` words of templates at all (length), and from the
-first shared word on, in the common order, as many on both sides as the match needs (position).  What is left
-is verified on the full sets, so the filters lose nothing.
-
-Beside that, places are found where a base phrase's words stand one after another.  Null and empty texts
-have no words, no places and no labels.  Rows that repeat an id are rows of their own.
+Blocks are overlapping windows of words over the whole text, whatever its lines: for a template of up to s
+words, s a power of two, windows of 2 s words that begin at every s-th word.  So a notice stands whole in a
+window of about its own size, however it is wrapped.  A block matches a template if it holds at least
+`percent` of the template's distinct words, and all that have a digit, which tell versions apart.
+
+Words of templates are ordered by how many texts of the whole corpus hold them, rare ones first (ties by the
+word).  A match must hold one of the first |T| - least + 1 words of its template (prefix), `least` words of
+templates at all (length), and from the first shared word on, in the common order, as many on both sides as
+the match needs (position).  What is left is verified on the full sets, so the filters lose nothing.  They
+are applied twice: to the set of a whole text, which holds every block's, and to the blocks of what is left.
+
+Beside that, places are found where a base phrase's words stand one after another.  Every text is split into
+words once; further on only the places of template words are used.  Null and empty texts have no words, no
+places and no labels; very long texts are scanned whole.  Rows that repeat an id or a whole row are rows of their own.  A null
+id is an id like others.  An empty table gives an empty result, and columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,23 +22,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 # Base phrases with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Opening words of licenses, public texts, with their labels.
+# Words of license notices, public texts, with their labels.
 TEMPLATES = (
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    ),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2", "this program is licensed under the gnu general public license version 2"),
+    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
-#: Share of a template's words that a line must hold.
+#: Share of a template's words that a block must hold.
 PERCENT = 90
 
 # Words of lower-cased text, as a plain class of what they hold: a union of what they do not hold is many times slower.
@@ -48,6 +63,11 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def step_of(template: str) -> int:
+    """The least power of two that is not below the template's number of words."""
+    return 1 << (len(template.split()) - 1).bit_length()
+
+
 def phrase_places(words: Column, phrase: str) -> Column:
     """Starts, from 0, of all places where the phrase's words stand one after another."""
     first, *others = phrase.split()
@@ -62,80 +82,102 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def block_frequencies(blocks: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How many of the blocks (words: their words) hold each vocabulary word; as many numbers as the templates have words."""
-    held = blocks.select(F.explode(F.array_intersect(_strings(vocabulary), F.col("words"))).alias("word"))
-    return {r.word: r.df for r in held.groupBy("word").agg(F.count("*").alias("df")).collect()}
+def vocabulary_of(templates: tuple[tuple[str, str], ...]) -> list[str]:
+    return sorted({w for _, text in templates for w in text.split()})
 
 
-def template_matches(spark: SparkSession, blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """(block, label, containment) for blocks (block, words) and the templates that they hold to `percent`."""
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
-    df = block_frequencies(blocks, vocabulary)
-    vocabulary.sort(key=lambda w: (df.get(w, 0), w))
+def set_join(spark: SparkSession, blocks: DataFrame, templates: tuple[tuple[str, str], ...], percent: int, order: list[str], *, keep: list[str]) -> DataFrame:
+    """(keep, t, label, containment) of blocks (keep, step, found: their vocabulary words) and the templates of that step that they hold to `percent`; a null step meets all."""
     rows = []
-    for label, text in templates:
-        tokens = [w for w in vocabulary if w in set(text.split())]
+    for k, (label, text) in enumerate(templates):
+        tokens = [w for w in order if w in set(text.split())]
         least = -(-len(tokens) * percent // 100)
-        rows += [(w, at, label, tokens, least) for at, w in enumerate(tokens[: len(tokens) - least + 1])]
-    prefix = spark.createDataFrame(rows, "word string, at int, label string, tokens array<string>, least int")
-    found = blocks.select("block", F.array_intersect(_strings(vocabulary), F.col("words")).alias("found"))
-    each = found.where(F.size("found") >= min(r[4] for r in rows)).select("block", "found", F.posexplode("found").alias("place", "word"))
+        digits = [w for w in tokens if any(c.isdigit() for c in w)]
+        rows += [(w, at, k, label, step_of(text), tokens, digits, least) for at, w in enumerate(tokens[: len(tokens) - least + 1])]
+    prefix = spark.createDataFrame(rows, "word string, at int, t int, label string, of_step int, tokens array<string>, digits array<string>, least int")
+    ordered = blocks.select(*keep, "step", F.array_intersect(_strings(order), "found").alias("found"))
+    each = ordered.where(F.size("found") >= min(r[7] for r in rows)).select(*keep, "step", "found", F.posexplode("found").alias("place", "word"))
     # the prefix table is bounded by the fixed templates
-    cand = each.join(F.broadcast(prefix), "word").where((F.size("found") - F.col("place") >= F.col("least")) & (F.size("tokens") - F.col("at") >= F.col("least")))
+    cand = each.join(F.broadcast(prefix), "word").where(F.col("step").isNull() | (F.col("step") == F.col("of_step"))).where((F.size("found") - F.col("place") >= F.col("least")) & (F.size("tokens") - F.col("at") >= F.col("least")))
     held = cand.withColumn("held", F.array_intersect("tokens", "found")).where(F.get("held", F.lit(0)) == F.col("word"))
-    return held.where(F.size("held") >= F.col("least")).select("block", "label", (F.size("held") / F.size("tokens")).alias("containment"))
-
-
-def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    whole = (F.size("held") >= F.col("least")) & (F.size(F.array_except("digits", "held")) == 0)
+    return held.where(whole).select(*keep, "t", "label", (F.size("held") / F.size("tokens")).alias("containment"))
+
+
+def template_matches(spark: SparkSession, texts: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """(row, label, containment) for texts (row, hits: place * words of the vocabulary + word's number, ascending) and the templates of which a block matches."""
+    vocabulary = vocabulary_of(templates)
+    size = len(vocabulary)
+    word = lambda x: F.element_at(_strings(vocabulary), (x % size + 1).cast("int"))
+    sets = texts.select("row", F.transform(F.array_distinct(F.transform("hits", lambda x: x % size)), word).alias("found"), F.lit(None).cast("int").alias("step"))
+    # as many numbers as the templates have words
+    df = {r.word: r.df for r in sets.select(F.explode("found").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}
+    order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
+    able = set_join(spark, sets, templates, percent, order, keep=["row"]).select("row", "t").distinct()
+    steps = spark.createDataFrame([(k, step_of(text)) for k, (_, text) in enumerate(templates)], "t int, step int")
+    wanted = able.join(F.broadcast(steps), "t").select("row", "step").distinct()
+    hit = texts.join(wanted, "row").select("row", "step", F.explode("hits").alias("x")).withColumn("at", F.floor(F.col("x") / size / F.col("step")).cast("int"))
+    windows = hit.select("row", "step", F.explode(F.array(F.col("at") - 1, F.col("at"))).alias("window"), word(F.col("x")).alias("word")).where("window >= 0")
+    blocks = windows.groupBy("row", "step", "window").agg(F.collect_set("word").alias("found"))  # at most the vocabulary
+    return set_join(spark, blocks, templates, percent, order, keep=["row", "window"]).select("row", "label", "containment")
+
+
+def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per input row: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest containment of a template in one of the document's lines that match, 1 where a
+    score is the largest containment of a template in one of the document's blocks that match, 1 where a
     base phrase stands, else 0.
     """
+    work = Workspace(spark, "licenses")
     marks = sorted({p.split()[0] for p, _ in BASE})
-    # every text is split once; what can matter further on is a small part of the rows
-    row = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = word_array(F.col("text"))
+    vocabulary = vocabulary_of(templates)
+    # every text is split once; what can matter further on is written, with a number for each row
+    split = docs.select(F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("words"))
     places = [phrase_places(F.col("words"), p) for p, _ in BASE]
-    base = (
-        row.withColumn("words", words)
-        .select("id", "text", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", _strings(marks)), F.array(*places)).alias("places"))
+    numbers = F.create_map(*[x for k, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(k))])
+    # places are filtered by a hash set of the vocabulary, so only words of it are looked up
+    held = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(*vocabulary))
+    codes = F.when(F.size("words") > 0, F.transform(held, lambda i: i.cast("long") * len(vocabulary) + F.element_at(numbers, F.get("words", i)))).otherwise(F.array().cast("array<bigint>"))
+    found = split.select(
+        "id",
+        F.size("words").cast("long").alias("n_words"),
+        F.when(F.arrays_overlap("words", _strings(marks)), F.array(*places)).alias("places"),
+        codes.alias("hits"),
     )
+    texts = work.put(found.withColumn("row", F.monotonically_increasing_id()), "words")
+    per_doc = template_matches(spark, texts.select("row", "hits"), templates, percent).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     starts = F.flatten("places")
     labelled = F.array_compact(F.array(*[F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
-    base = base.select(
-        "id",
-        F.xxhash64("id", "text").alias("k1"),
-        F.xxhash64(F.lit(7), "text", "id").alias("k2"),
+    base = F.when(F.col("places").isNull(), F.array().cast("array<string>")).otherwise(labelled)
+    out = texts.drop("hits").join(per_doc, "row", "left").withColumns({"base": base, "n_base": F.coalesce(F.array_size(starts), F.lit(0)).cast("long")})
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))
+    return out.select(
+        F.col("id").alias(id_col),
         "n_words",
-        F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_base"),
+        "n_base",
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
-        F.coalesce(labelled, F.array().cast("array<string>")).alias("base"),
+        joined(F.col("base")).alias("base_labels"),
+        joined(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        score.alias("score"),
     )
-    lines = row.select(F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "id").alias("k2"), F.explode(F.split("text", "\n")).alias("line"))
-    matches = template_matches(spark, lines.select(F.struct("k1", "k2").alias("block"), word_array(F.col("line")).alias("words")), percent=percent)
-    per_doc = matches.groupBy("block").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")).select("block.*", "more", "containment")
-    out = base.join(per_doc, ["k1", "k2"], "left")
-    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
-    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"), score.alias("score"))
 
 
 def oracle_sql() -> str:
-    """The same result in DuckDB SQL, every line compared with every template."""
-    quoted = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
-    templates = ", ".join(f"({k}, '{label}', {quoted(sorted(set(text.split())))})" for k, (label, text) in enumerate(TEMPLATES))
+    """The same result in DuckDB SQL, every window compared with every template."""
+    quoted = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]::varchar[]"
+    templates = ", ".join(f"({k}, '{label}', {step_of(text)}, {quoted(sorted(set(text.split())))}, {quoted(sorted({w for w in text.split() if any(c.isdigit() for c in w)}))})" for k, (label, text) in enumerate(TEMPLATES))
     base = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE)
     return f"""
 with d as (
-  select row_number() over () r, doc_id, coalesce(text, '') as text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') w from documents),
-t(k, label, tokens) as (values {templates}),
+  select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') w from documents),
+t(k, label, step, tokens, digits) as (values {templates}),
 b(label, phrase) as (values {base}),
 p as (select r, b.label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(phrase)] = phrase)) as i from d, b where list_contains(w, phrase[1])),
-l as (select r, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}')) w from (select r, unnest(string_split(text, chr(10))) line from d)),
-m as (select r, label, max(len(list_intersect(w, tokens)) / len(tokens)) c from l, t where 100 * len(list_intersect(w, tokens)) >= {PERCENT} * len(tokens) group by all),
+l as (select r, step, list_distinct(w[i * step + 1 : (i + 2) * step]) w from (select r, w, step, unnest(range(0, len(w) // step + 1)) i from d, (select distinct step from t))),
+m as (select r, label, max(len(list_intersect(w, tokens)) / len(tokens)) c from l join t using (step)
+      where 100 * len(list_intersect(w, tokens)) >= {PERCENT} * len(tokens) and len(list_intersect(w, digits)) = len(digits) group by all),
 pa as (select r, count(*) n, min(i) lo, max(i) hi, string_agg(distinct label, ',' order by label) labels from p group by r),
 al as (select r, string_agg(distinct label, ',' order by label) labels from (select r, label from p union select r, label from m) group by r),
 ma as (select r, max(c) c from m group by r)
