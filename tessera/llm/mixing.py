@@ -1,14 +1,17 @@
 """Mixing sources to target weights, natively.
 
-Every row has a place in [0, 2**60), from a digest of its id.  The share of a source is the set of rows
+Every row has a place in [0, 2**60), from a digest of its id and its text.  The share of a source is the set of rows
 below a threshold.  Sizes are summed by source and the leading digits of the place; a running sum over
 these few buckets finds the one in which the budget ends, and only that bucket's rows are summed by the
 next digits, until the place is fully resolved.  Thresholds for growing budgets are nested: a smaller
-budget takes a subset.  No rows are sorted or gathered; a level's buckets are at most 4096 a source.
-
-A target above the source's size repeats the whole source and takes the rest by threshold.  Rows with
-one place (repeated ids) go together.  Null texts have size 0; a null source is a source of its own,
-last in order; with no words at all nothing is taken.
+budget takes a subset.  No rows are sorted or gathered; a level's buckets are at most 4096 a source, and
+targets are made from one row for each source.
+
+A target above the source's size repeats the whole source and takes the rest by threshold.  Rows that repeat
+both id and text have one place; if it is the threshold, as many of them are taken as come nearest to the
+budget, which of these equal rows being open.  A null id is an id of its own.  Null texts have size 0, and so
+have empty ones; very long texts count whole.  A null source is a source of its own, last in order; with no words at all nothing is taken.
+An empty table gives an empty result.  Other columns of docs are kept; those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ DIGITS, STEP = 15, 3
 def words(text: Column) -> Column:
     """Number of maximal runs of characters other than space and the controls from tab to carriage return."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
-    return F.when(bare == "", 0).otherwise(F.coalesce(F.size(F.split(bare, r"[\x20\x09-\x0D]+")), F.lit(0))).cast("long")
+    return F.when(text.isNull() | (bare == ""), 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def source_key(source: Column) -> Column:
@@ -53,19 +56,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 
 
 def thresholds(work: Workspace, rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(key, edge, sum, size, budget): rows of (key, place, size) with place < edge sum up to `sum`, those at the edge to `size`.
+    """(key, edge, sum, size, rows, budget): rows of (key, place, size) with place < edge sum up to `sum`, those at the edge, `rows` in number, to `size`.
 
     budgets: (key, budget).  A source whose rows all fit has no edge.
     """
     state, settled = budgets.select("key", "budget", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("sum")), []
     for start in range(0, DIGITS, STEP):
         inside = rows.withColumn("prefix", F.substring("place", 1, start)).join(state, ["key", "prefix"])
-        sums = inside.groupBy("key", "budget", "prefix", "sum", F.substring("place", start + 1, STEP).alias("bucket")).agg(F.sum("size").alias("size"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+        sums = inside.groupBy("key", "budget", "prefix", "sum", F.substring("place", start + 1, STEP).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("place").alias("lo"), F.max("place").alias("hi"))
         reached = F.col("sum") + F.sum("size").over(Window.partitionBy("key").orderBy("bucket"))
         over = sums.withColumn("reached", reached).where("reached > budget")
-        edge = F.min_by(F.struct("budget", F.concat("prefix", "bucket").alias("prefix"), (F.col("reached") - F.col("size")).alias("sum"), "size", "lo", "hi"), "bucket")
+        edge = F.min_by(F.struct("budget", F.concat("prefix", "bucket").alias("prefix"), (F.col("reached") - F.col("size")).alias("sum"), "size", "rows", "lo", "hi"), "bucket")
         found = work.put(over.groupBy("key").agg(edge.alias("e")).select("key", "e.*"), "edges")
-        settled.append(found.where("lo = hi").select("key", F.col("lo").alias("edge"), "sum", "size", "budget"))
+        settled.append(found.where("lo = hi").select("key", F.col("lo").alias("edge"), "sum", "size", "rows", "budget"))
         state = found.where("lo < hi").select("key", "budget", "prefix", "sum")
         if state.isEmpty():
             break
@@ -75,24 +78,45 @@ def thresholds(work: Workspace, rows: DataFrame, budgets: DataFrame) -> DataFram
     return out
 
 
+def _own(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where docs has a column of that name."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """The rows of docs with size, source_size, target and copies, how often the mix takes the row.
 
-    All sources share 100% of all sizes by weight, in order of their names.  The names of docs must not
-    include the added ones.
+    All sources share 100% of all sizes by weight, in order of their names.
     """
     work = Workspace(spark, "mixing")
-    place = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
-    rows = work.put(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), place.alias("place"), words(F.col(text_col)).alias("size")), "sizes")
+    docs = docs.drop(*({"size", "source_size", "target", "copies"} - {id_col, text_col, source_col}))
+    place = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(text_col, F.lit(""))).cast("binary")), 1, DIGITS)
+    rows = work.put(docs.select(source_key(F.col(source_col)).alias("key"), place.alias("place"), words(F.col(text_col)).alias("size")), "sizes")
     per_source = work.put(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = per_source.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     edges = thresholds(work, rows, plan.where("source_size > 0").select("key", "budget"))
-    # the edge is taken if the sum then ends nearer to the budget
-    at = F.col("sum") + F.col("size") - F.col("budget") < F.col("budget") - F.col("sum")
-    plan = work.put(plan.join(edges.select("key", "edge", at.alias("at_edge")), "key", "left").select("key", "source_size", "target", "whole", "edge", "at_edge"), "plan")
-    more = F.when((F.col("place") < F.col("edge")) | ((F.col("place") == F.col("edge")) & F.col("at_edge")), 1).otherwise(0)
-    return docs.withColumns({"key": source_key(F.col(source_col)), "place": place, "size": words(F.col(text_col))}).join(plan, "key").withColumn("copies", (F.col("whole") + more).cast("long")).drop("key", "place", "whole", "edge", "at_edge")
+    # of the rows at the edge, all of one size, as many are taken as bring the sum nearest to the budget
+    share = (F.col("budget") - F.col("sum")) * F.col("rows") / F.col("size")
+    at_edge = F.ceil(share - 0.5)
+    key, put, edge, some, turn, once, many = _own(docs, "_key", "_place", "_edge", "_some", "_turn", "_whole", "_rows")
+    planned = plan.join(edges.select("key", "edge", at_edge.alias("at_edge"), "rows"), "key", "left")
+    plan = work.put(planned.select(F.col("key").alias(key), "source_size", "target", F.col("whole").alias(once), F.col("edge").alias(edge), F.col("at_edge").alias(some), F.col("rows").alias(many)), "plan")
+    placed = docs.withColumns({key: source_key(F.col(source_col)), put: place, "size": words(F.col(text_col))}).join(plan, key)
+    at = F.coalesce(F.col(put) == F.col(edge), F.lit(False))
+    tied = at & (F.col(many) > 1)
+    single = F.when((F.col(put) < F.col(edge)) | (at & (F.col(some) > 0)), 1).otherwise(0)
+    if plan.where(F.col(many) > 1).isEmpty():
+        out = placed.withColumn("copies", (F.col(once) + single).cast("long"))
+    else:  # equal rows at an edge are numbered
+        numbered = placed.where(tied).withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(put))).withColumn("copies", (F.col(once) + (F.col(turn) <= F.col(some)).cast("int")).cast("long")).drop(turn)
+        out = placed.where(~tied).withColumn("copies", (F.col(once) + single).cast("long")).unionByName(numbered)
+    return out.drop(key, put, once, edge, some, many)
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -106,7 +130,7 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 with d as (
-  select doc_id, coalesce('c' || source, 'n') k, substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) place,
+  select doc_id, coalesce('c' || source, 'n') k, substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) place,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) size
   from documents),
 s as (select k, cast(sum(size) as bigint) source_size, row_number() over (order by k) i from d group by k),
