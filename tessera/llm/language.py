@@ -2,12 +2,16 @@
 
 Texts become normalised TF-IDF vectors of hashed byte n-grams.  For each language, spherical k-means
 over a bounded sample of labelled texts gives several centroids; a text gets the language of the centroid
-with the largest cosine and is rejected if that cosine is below the language's own limit, a low quantile
-of what the training texts reach.
-
-Document frequencies cover all training rows; the sample bound per language is `sample`.  Texts that are
-null or hold no letter are `und`, with score 0, and rejected.  Without any training row everything is
-`und`.  Extra columns are kept by classify() and ignored by the query.
+with the largest cosine.  It is rejected if that cosine is below the language's limit for texts of about as
+many different n-grams: longer texts come nearer to their centroids, so a limit for all would let long junk pass.
+
+Document frequencies cover all training rows.  The sample has about `sample` distinct texts a language, and
+one at least; equal texts count once in it, so that copies neither fill it nor empty it.  The number of languages
+is taken to be small: a model has `per_lang` centroids for each label that occurs.  Texts that are
+null or hold no letter are `und`, with score 0, and rejected.  Texts of any length are taken whole.  Of equal
+cosines the label first in order wins.  Without any training row, as of an empty table, everything is
+`und`.  Other columns are kept by classify(); those named like its own (lang_pred, score, rejected) are replaced.
+Null and repeated ids are rows like others; a null id is not held out.
 """
 
 from __future__ import annotations
@@ -30,11 +34,15 @@ _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 
 
+#: Classes of texts by their number of different n-grams, in powers of two; rows that a class needs for a limit of its own.
+CLASSES, ENOUGH = 16, 12
+
+
 class Model(NamedTuple):
     langs: list[str]  # of each centroid
     centroids: np.ndarray  # (centroids, dims), rows of length 1
     idf: np.ndarray
-    limits: np.ndarray  # of each centroid's language: the least cosine that is accepted
+    limits: np.ndarray  # (centroids, CLASSES): the least cosine that its language accepts, by size_class()
 
 
 def grams(text: str, dims: int) -> np.ndarray:
@@ -66,10 +74,27 @@ def _frequencies(dims: int):
     return run
 
 
-def _clustered(dims: int, idf: np.ndarray, k: int, quantile: float, rounds: int = 12):
+def size_class(counts: np.ndarray) -> np.ndarray:
+    """The class of each row of n-gram counts: how many binary digits its number of different n-grams has."""
+    return np.minimum(CLASSES - 1, np.ceil(np.log2(1 + (counts > 0).sum(axis=1))).astype(np.int64))
+
+
+def limits_of(cosines: np.ndarray, classes: np.ndarray, quantile: float, slack: float) -> np.ndarray:
+    """A limit for each class: slack times the quantile of its cosines, else what the next smaller class has, at the least that of all."""
+    out, last = np.zeros(CLASSES), slack * float(cosines.min(initial=1.0))
+    for c in range(CLASSES):
+        own = cosines[classes == c]
+        if len(own) >= ENOUGH:
+            last = slack * float(np.quantile(own, quantile))
+        out[c] = last
+    return out
+
+
+def _clustered(dims: int, idf: np.ndarray, k: int, quantile: float, slack: float, rounds: int = 12):
     def run(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values("order", kind="stable")
-        x = vectors(np.array([grams(t, dims) for t in sample["text"]]), idf)
+        counts = np.array([grams(t, dims) for t in sample["text"]])
+        x = vectors(counts, idf)
         centers = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
         for _ in range(rounds):
             near = (x @ centers.T).argmax(axis=1)
@@ -77,18 +102,18 @@ def _clustered(dims: int, idf: np.ndarray, k: int, quantile: float, rounds: int
                 if (near == c).any():
                     centers[c] = x[near == c].sum(axis=0)
             centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-        limit = float(np.quantile((x @ centers.T).max(axis=1), quantile))
-        return pd.DataFrame({"lang": sample["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centers], "cut": limit})
+        limits = limits_of((x @ centers.T).max(axis=1), size_class(counts), quantile, slack)
+        return pd.DataFrame({"lang": sample["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centers], "limits": limits.astype(np.float64).tobytes()})
 
     return run
 
 
-def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang: int = 4, sample: int = 600, quantile: float = 0.001, slack: float = 0.25) -> Model:
-    """A model from columns text, lang and order, a hash that picks the sample.  What reaches the driver is bounded by dims and the number of languages.
+def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang: int = 4, sample: int = 600, quantile: float = 0.01, slack: float = 0.6) -> Model:
+    """A model from columns text and lang.  What reaches the driver is bounded by dims and the number of languages.
 
-    A language's limit is `slack` times the `quantile` of its training cosines.
+    A language's limit for a class of sizes is `slack` times the `quantile` of its training cosines there.
     """
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang", "order")
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("order"))
     found = rows.select("text").mapInArrow(_frequencies(dims), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(dims)
     total = 0
@@ -98,15 +123,16 @@ def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang:
         else:
             df[r.gram] = r.df
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    # a hash bound per language keeps about `sample` rows, found without sorting or gathering a language
-    sizes = rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.count("*").alias("n"))
-    share = (F.pmod(F.xxhash64("order"), F.lit(1 << 20)) * F.col("n") < F.lit(sample * (1 << 20))) | (F.col("n") <= sample)
-    # a row for each language, as many as the model on the driver has
-    picked = rows.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(sizes), "lang").where(share)
-    groups = picked.groupBy("lang").applyInPandas(_clustered(dims, idf, per_lang, quantile), "lang string, centroid binary, cut double").collect()
+    # a hash bound per language keeps about `sample` distinct texts, found without sorting or gathering a language
+    usable = rows.where(F.col("text").rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64("order"), F.lit(1 << 30))
+    sizes = usable.select("lang", "order").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least"))
+    share = (place * F.col("n") < F.lit(sample).cast("long") * (1 << 30)) | (place == F.col("least"))
+    picked = usable.join(sizes, "lang").where(share).select("lang", "order", "text").dropDuplicates(["lang", "order"])
+    groups = picked.groupBy("lang").applyInPandas(_clustered(dims, idf, per_lang, quantile, slack), "lang string, centroid binary, limits binary").collect()
     groups.sort(key=lambda r: (r.lang, r.centroid))
     centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in groups]).reshape(-1, dims)
-    return Model([r.lang for r in groups], centroids, idf, np.array([slack * r.cut for r in groups]))
+    return Model([r.lang for r in groups], centroids, idf, np.array([np.frombuffer(r.limits) for r in groups]).reshape(-1, CLASSES))
 
 
 def _classified(model_of, text_at: int, schema: pa.Schema | None = None):
@@ -116,21 +142,23 @@ def _classified(model_of, text_at: int, schema: pa.Schema | None = None):
         for big in batches:
             for b in slices(big, big.schema.names[text_at], 1 << 19):
                 texts = b.column(text_at).to_pylist()
-                best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
+                best, score, rejected = np.full(len(texts), len(model.langs)), np.zeros(len(texts)), np.ones(len(texts), bool)
                 some = [i for i, t in enumerate(texts) if t and len(model.langs) and _LETTER.search(t)]
                 for at in range(0, len(some), 256):
                     part = some[at : at + 256]
-                    cosine = vectors(np.array([grams(texts[i], len(model.idf)) for i in part]), model.idf) @ model.centroids.T
+                    counts = np.array([grams(texts[i], len(model.idf)) for i in part])
+                    cosine = vectors(counts, model.idf) @ model.centroids.T
                     best[part] = cosine.argmax(axis=1)
                     score[part] = np.clip(cosine.max(axis=1), 0, 1)
-                rejected = score < np.append(model.limits, 2.0)[best]
+                    rejected[part] = score[part] < model.limits[best[part], size_class(counts)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs[best], pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*b.schema.names, "lang_pred", "score", "rejected"])
 
     return run
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred, score (cosine, 0 to 1) and rejected; same-named columns must not be there."""
+    """The rows of docs with lang_pred, score (cosine, 0 to 1) and rejected."""
+    docs = docs.drop(*({"lang_pred", "score", "rejected"} - {text_col}))
     shared = spark.sparkContext.broadcast(tuple(model))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, rejected boolean"])
     return docs.mapInArrow(_classified(lambda: Model(*shared.value), docs.columns.index(text_col)), schema)
@@ -143,4 +171,4 @@ def held_out(id_col: str = "doc_id"):
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
     """The model of the labelled rows of documents that are not held out."""
-    return fit(spark, docs.where(~held_out()).select("text", "lang", F.xxhash64("doc_id", "text").alias("order")))
+    return fit(spark, docs.where(~held_out()).select("text", "lang"))
