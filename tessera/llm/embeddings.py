@@ -9,8 +9,11 @@ before more axes are added.  What is left is decided on the original vectors in
 
 Equal vectors are one class with a count.  A pair of tiles gives counts of links and a spanning star of
 each linked part, not its pairs.  Null labels, null or empty vectors, and those that are zero or hold null
-or non-finite components link with nothing.  Rows that repeat an id are vectors of their own, and one
-node.  Vectors of different lengths are never compared.
+or non-finite components link with nothing.  Vectors are scaled by their largest component first, so that
+norms neither vanish nor overflow.  Rows that repeat an id are vectors of their own, and one node.  Rows with a
+null id count as links of others, are no component's smallest id, and are kept.  Vectors of different lengths are
+never compared; very long ones need d * d sums each.  Cosines at the threshold link.  An empty table gives an empty
+result; columns besides the three are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +49,7 @@ def _unit(column: pa.Array) -> dict[int, np.ndarray]:
     out = {}
     for d in np.unique(sizes):
         x = values[(offsets[:-1][sizes == d])[:, None] + np.arange(d)]
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         out[int(d)] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
 
@@ -98,7 +102,7 @@ def _compared(bases, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = table.column("embedding").chunk(0)
-        ids, cid, many = (table.column(k).to_numpy() for k in ("id", "cid", "many"))
+        cid, many = (table.column(k).to_numpy() for k in ("cid", "many"))
         second = table.column("second").to_numpy()
         first_side, other = np.flatnonzero(second != 1), np.flatnonzero(second != 0)
         ((d, unit),) = _unit(column).items()
@@ -108,9 +112,9 @@ def _compared(bases, threshold: float):
         i, j = first_side[i], other[j]
         if same:
             i, j = i[i < j], j[i < j]
-        links = np.bincount(i, many[j], len(ids)) + np.bincount(j, many[i], len(ids))
-        label = ids.copy()
-        while True:  # the least id reachable within this pair of tiles
+        links = np.bincount(i, many[j], len(cid)) + np.bincount(j, many[i], len(cid))
+        label = cid.copy()
+        while True:  # the least class reachable within this pair of tiles
             new = label.copy()
             np.minimum.at(new, i, label[j])
             np.minimum.at(new, j, label[i])
@@ -118,7 +122,7 @@ def _compared(bases, threshold: float):
                 break
             label = new
         some = np.flatnonzero(links)
-        return pa.table({"cid": cid[some], "id": ids[some], "links": links[some].astype(np.int64), "least": label[some]})
+        return pa.table({"cid": cid[some], "links": links[some].astype(np.int64), "least": label[some]})
 
     return run
 
@@ -129,13 +133,13 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, *, threshold: float =
     big = F.col("embedding").cast("array<double>")
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
     all_rows = rows.select(F.col("vec_id").cast("long").alias("id"), "label", big.alias("embedding"))
-    good = all_rows.where(usable & F.col("id").isNotNull()).select("id", "label", "embedding", F.xxhash64("label", "embedding").alias("cid"))
+    good = all_rows.where(usable).select("id", "label", "embedding", F.xxhash64("label", "embedding").alias("cid"))
     classes = work.put(good.groupBy("cid", "label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("many")).select("cid", "embedding", "label", "id", "many"), "classes")
     basis = axes(classes)
     shared = spark.sparkContext.broadcast(basis)  # d * d numbers
     width = float(np.sqrt(2 - 2 * threshold) * (1 + 1e-9))
     cell = [f"c{k}" for k in range(CELL_AXES)]
-    celled = work.put(classes.mapInArrow(_celled(basis, width), f"cid long, embedding array<double>, label {dict(rows.dtypes)['label']}, id long, many long, " + ", ".join(f"{c} long" for c in cell)).withColumn("d", F.size("embedding")), "cells")
+    celled = work.put(classes.drop("id").mapInArrow(_celled(basis, width), f"cid long, embedding array<double>, label {dict(rows.dtypes)['label']}, many long, " + ", ".join(f"{c} long" for c in cell)).withColumn("d", F.size("embedding")), "cells")
     of = ["label", "d", *cell]
     tiles = celled.groupBy(of).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = celled.join(tiles, of).withColumn("tile", F.pmod(F.xxhash64("cid", F.lit(1)), "tiles").cast("int"))
@@ -148,14 +152,21 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, *, threshold: float =
     around = tiles.select("label", "d", *[F.col(c).alias(f"n{k}") for k, c in enumerate(cell)], F.col("tiles").alias("their"))
     met = near.join(around, ["label", "d", *[f"n{k}" for k in range(CELL_AXES)]]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("their") - 1)))
     mine, theirs = F.struct(*[F.col(c) for c in cell], F.col("tile").alias("t")), F.struct(*[F.col(f"n{k}").alias(c) for k, c in enumerate(cell)], F.col("other").alias("t"))
-    sided = met.select("label", "d", F.least(mine, theirs).alias("p"), F.greatest(mine, theirs).alias("q"), F.when(mine == theirs, 0).otherwise((mine > theirs).cast("int")).alias("second"), (mine == theirs).alias("own"), "cid", "id", "many", "embedding")
-    sided = sided.select("label", "d", "p", "q", F.col("p.t").alias("t1"), F.col("q.t").alias("t2"), "second", "own", "cid", "id", "many", "embedding")
-    found = work.put(sided.groupBy("label", "d", "p", "q").applyInArrow(_compared(lambda: shared.value, threshold), "cid long, id long, links long, least long"), "links")
+    sided = met.select("label", "d", F.least(mine, theirs).alias("p"), F.greatest(mine, theirs).alias("q"), F.when(mine == theirs, 0).otherwise((mine > theirs).cast("int")).alias("second"), (mine == theirs).alias("own"), "cid", "many", "embedding")
+    sided = sided.select("label", "d", "p", "q", F.col("p.t").alias("t1"), F.col("q.t").alias("t2"), "second", "own", "cid", "many", "embedding")
+    found = work.put(sided.groupBy("label", "d", "p", "q").applyInArrow(_compared(lambda: shared.value, threshold), "cid long, links long, least long"), "links")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    labels = components(work, found.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    per_class = classes.select("cid", "id", "many").join(counts, "cid", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    per_class = per_class.select("cid", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    # the classes of an id's vectors are one node
+    held = good.where("id is not null").groupBy("id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
+    same = good.join(held.select("id", "lo"), "id").select(F.col("cid").alias("a"), F.col("lo").alias("b")).where("a <> b")
+    labels = components(work, found.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).union(same))
+    per_class = classes.select("cid", "id", "many").join(counts, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = per_class.groupBy("component").agg(F.min("id").alias("least"))
+    per_class = per_class.join(least, "component").select("cid", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "least")
     own = all_rows.select("id", F.when(usable, F.xxhash64("label", "embedding")).alias("cid"))
-    out = own.join(per_class, "cid", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # the least class of a node also names rows of it that link with nothing
+    named = own.join(per_class, "cid", "left")
+    other = work.put(named.where("id is not null").groupBy("id").agg(F.min(F.coalesce("least", "id")).alias("node")).where("node < id"), "nodes")
+    component = F.coalesce("node", "id")
+    out = named.join(other, "id", "left")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(component, "least").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

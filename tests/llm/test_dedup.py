@@ -302,3 +302,9 @@ def test_embedding_links_are_exact(spark, monkeypatch):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark, docs).collect())
     assert got == sorted((i, n[k], want[i], want[i] == i) for k, (i, _, _) in enumerate(rows))
     assert embeddings.near_duplicates(spark, docs.limit(0)).collect() == []
+
+
+def test_embeddings_of_extreme_size_and_repeated_ids(spark):
+    rows = [(1, [1e-170, 2e-170]), (2, [1.0, 2.0]), (3, [1e200, 0.0]), (4, [1e200, 1.0]), (None, [1.0, 2.0]), (5, [0.0, 1.0]), (6, [0.0, 1.0]), (6, [-1.0, 0.0]), (7, [-1.0, 0.0]), (7, None)]
+    got = embeddings.near_duplicates(spark, spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got) == sorted([(1, 2, 1, True), (2, 2, 1, False), (0, 2, 1, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (6, 1, 5, False), (6, 1, 5, False), (7, 1, 5, False), (7, 0, 5, False)])

@@ -89,6 +89,30 @@ def test_warc_reader_is_sequential_and_strict():
         list(warc.read([warc.pack({"WARC-Type": "response", "WARC-Block-Digest": "sha1:X"}, b"a")]))
 
 
+def test_standard_archives_are_read(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = b"<p>page</p>"
+    records = [
+        warc.pack({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        warc.pack({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:2>", "warc-target-uri": "http://a/", "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{warc.digest(body)}"}, http + body),
+        warc.pack({"WARC-Type": "metadata", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Block-Digest": "sha256:abc"}, b"k: v"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(records[1])
+    got = sorted(((r.record_type, r.url, r.payload_bytes, r.payload_digest, bytes(r.payload), r.page_id) for r in warc.read_files(spark, str(tmp_path)).collect()), key=str)
+    page = ("response", "http://a/", len(body), warc.digest(body), body, None)
+    assert got == sorted([page, page, ("warcinfo", None, 13, warc.digest(b"software: x\r\n"), b"software: x\r\n", None), ("metadata", None, 4, warc.digest(b"k: v"), b"k: v", None)], key=str)
+
+
+def test_written_records_have_the_headers_of_the_format(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (1, "http://a", "x"), (2, "http://b", "x")], "page_id long, url string, html string")
+    blocks = warc.write_archives(spark, pages, date="2024-05-06T07:08:09Z").collect()
+    found = [r for b in blocks for r in warc.read([bytes(b.data)])]
+    assert len({r.headers["warc-record-id"] for r in found}) == 3
+    assert {r.headers["warc-date"] for r in found} == {"2024-05-06T07:08:09Z"}
+    assert sorted(r.headers["warc-type"] for r in found) == ["response", "response", "revisit"]
+
+
 def compared(spark, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
@@ -114,6 +138,58 @@ def test_license_scan(spark):
     assert licenses.scan(spark, spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_notices_are_found_however_they_are_wrapped(spark):
+    notice = next(t for _, t in licenses.TEMPLATES if t.startswith("permission is"))
+    words = notice.split()
+    wrapped = "intro text here\n\n" + "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)) + "\nand more"
+    gpl = "This work is licensed under the GNU General Public License version "
+    rows = [(1, wrapped), (2, gpl + "2"), (3, gpl + "3"), (4, gpl.replace(" ", "\n  ") + "3 " + "x " * 500), (5, "x " * 3000 + wrapped), (6, " ".join(words[:40])), (7, " ".join(w + " filler" * 9 for w in words))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")).collect()}
+    assert got == {1: "mit", 2: "gpl-2", 3: "gpl-3", 4: "gpl-3", 5: "mit", 6: "", 7: ""}
+
+
+def test_native_results_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(1, None, "s"), (2, "plain words", "s")], "doc_id long, text string, source string")
+        assert {(r.doc_id, r.n_words, r.n_base) for r in licenses.scan(spark, docs).collect()} == {(1, 0, 0), (2, 2, 0)}
+        assert {(r.doc_id, r.size) for r in mixing.mix(spark, docs).collect()} == {(1, 0), (2, 2)}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_bins_of_several_lengths_are_near_the_best():
+    """All ways to deal a few pieces to bins, each of the least length that holds its contents."""
+    rnd = random.Random(4)
+    lengths = (4, 8, 16)
+    price = lambda total: packing.cost(next(c for c in lengths if c >= total), 1, 16)
+
+    def best(rest, bins):
+        if not rest:
+            return sum(map(price, bins))
+        size, *rest = rest
+        ways = [best(rest, [*bins, size])]
+        ways += [best(rest, [*bins[:k], b + size, *bins[k + 1 :]]) for k, b in enumerate(bins) if b + size <= 16 and b not in bins[:k]]
+        return min(ways)
+
+    ours = least = 0.0
+    for _ in range(60):
+        sizes = [rnd.randrange(1, 17) for _ in range(rnd.randrange(1, 8))]
+        _, bins = packing.best_fit(sizes, lengths, 1, 16)
+        got, want = sum(packing.cost(c, 1, 16) for c, _ in bins), best(sorted(sizes, reverse=True), [])
+        assert want - 1e-9 <= got <= 1.5 * want
+        ours, least = ours + got, least + want
+    assert ours <= 1.08 * least
+    mixed = packing.best_fit([rnd.randrange(1, 3000) for _ in range(900)])[1]
+    assert len({c for c, _ in mixed}) == 4
+
+
+def test_bins_do_not_depend_on_files(spark):
+    docs = spark.createDataFrame([(k % 90, "w " * (k % 37)) for k in range(400)], DOCS)
+    bins = [sorted(map(tuple, packing.pack(spark, docs.repartition(n), shard_words=2000).collect())) for n in (1, 5)]
+    assert bins[0] == bins[1]
+
+
 def test_best_fit():
     rnd = random.Random(2)
     sizes = [rnd.randrange(1, 4097) for _ in range(800)]
@@ -149,6 +225,17 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(spark, spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+def test_mixing_of_null_ids_and_clashing_names(spark):
+    rows = [(None, " ".join(f"w{k}_{j}" for j in range(10)), "a", 1) for k in range(10)] + [(k, "x " * 10, "b", 1) for k in range(5)]
+    got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, _key int")).collect()
+    a = [r for r in got if r.source == "a"]
+    assert abs(sum(r.size * r.copies for r in a) - a[0].target) <= 5 and {r._key for r in got} == {1}
+    same = [(None, "one two three four", "a", 5) for _ in range(50)] + [(1, "y " * 100, "b", 5)]
+    got = mixing.mix(spark, spark.createDataFrame(same, "doc_id long, text string, source string, size int")).collect()
+    a = [r for r in got if r.source == "a"]
+    assert len(a) == 50 and abs(sum(r.size * r.copies for r in a) - a[0].target) <= 2
+
+
 def test_thresholds_are_nested(spark):
     from tessera.llm.common import Workspace
 
@@ -172,6 +259,25 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language.classify(spark, odd, nothing).collect()} == {"und"}
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    rnd = random.Random(8)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 8)))
+    rows = [(k, "the one text of this language", "en") for k in range(2000)] + [(5000 + k, " ".join(word("nrtzueß") for _ in range(40)), "de") for k in range(700)]
+    model = language.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == {"de", "en"}
+
+
+def test_language_rejects_long_junk(spark):
+    rnd = random.Random(9)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(spark, known)
+    junk = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000)), base64.b64encode(rnd.randbytes(3000)).decode(), "Yr hen wlad fy nhadau sydd annwyl i mi gwlad beirdd a chantorion enwogion o fri " * 3]
+    odd = spark.createDataFrame([(k, t, "x") for k, t in enumerate(junk)], "doc_id long, text string, score string")
+    assert all(r.rejected for r in language.classify(spark, odd, model).collect())
+    rows = language.classify(spark, known.where(language.held_out()), model).where("lang_pred <> 'und'").collect()
+    assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     odd = spark.createDataFrame([(10_000, None, "en", "src0", 0), (10_001, "", None, None, 0), (10_002, "12345", "en", None, None), (10_003, docs.first().text, "en", "src0", None)], docs.schema)
