@@ -87,6 +87,16 @@ class Workspace:
                 return
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where df has a column of that name."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        out.append(name)
+    return out
+
+
 #: Bytes of text that a kernel turns into wide numpy arrays at once, which fit caches then; one longer text is still taken whole.
 SLICE_BYTES = 1 << 16
 

@@ -16,10 +16,11 @@ Lines that share a variant with its place differ by that character at most, so t
 stands for the whole group and is found by an aggregate with map-side partials: no pairs are formed, and
 no group is gathered.  The pair of each line and its earliest neighbour is verified by edit distance.
 
-Which line is earliest goes by (doc_id, line number); a line goes if any earlier line of the input is
-within the bound.  Null and empty texts have no lines that count and stay.  Documents that lost lines
+Which line is earliest goes by (doc_id, hash of the text, line number), a null id last; a line goes if any earlier line of the input is
+within the bound.  Null and empty texts have no lines that count and stay.  Very long texts are split whole.  Documents that lost lines
 and keep none that counts are dropped by dedup(), or stay with an empty text and a flag.  Rows that
-repeat an id and a text are treated alike.
+repeat an id and a text are treated alike: each keeps what is first.  An empty table gives an empty result.  Other
+columns are kept; those named like an added one (n_removed, the flag) are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, Workspace, slices
+from .common import Rolling, Workspace, own_names, slices
 
 LEAST, PARTS = 24, 24
 #: Least length for the search of one edit, a twelfth of the line at most, and blocks of lines shorter than PARTS.
@@ -228,14 +229,15 @@ def dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     empty text and true there.
     """
     work = Workspace(spark, "lines")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_k": F.xxhash64(text_col)})
-    plain = keyed.select(F.col("_id").alias("id"), F.col("_k").alias("k"), F.col(text_col).alias("text"))
-    gone = repeated_lines(spark, plain, least=least, near=near, edits=edits, work=work).groupBy(F.col("id").alias("_id"), F.col("k").alias("_k")).agg(F.collect_set("n").alias("_gone"))
-    cut = keyed.join(gone, ["_id", "_k"], "left")
-    split = F.split(text_col, "\n")
-    kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    out = cut.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    whole = F.col("_gone").isNull() | F.exists("_kept", lambda x: F.char_length(F.btrim(x, F.lit(_STRIP))) >= least)
-    out = out.withColumns({text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).when(whole, F.array_join("_kept", "\n")).otherwise(""), "_whole": whole})
-    out = out.where("_whole") if emptied is None else out.withColumn(emptied, ~F.col("_whole"))
-    return out.withColumn("n_removed", F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long")).drop("_id", "_k", "_gone", "_kept", "_whole")
+    docs = docs.drop(*({"n_removed", emptied or "n_removed"} - {id_col, text_col}))
+    key, k, gone, kept, full = own_names(docs, "_id", "_k", "_gone", "_kept", "_whole")
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), k: F.xxhash64(text_col)})
+    plain = keyed.select(F.col(key).alias("id"), F.col(k).alias("k"), F.col(text_col).alias("text"))
+    found = repeated_lines(spark, plain, least=least, near=near, edits=edits, work=work).groupBy(F.col("id").alias(key), F.col("k").alias(k)).agg(F.collect_set("n").alias(gone))
+    cut = keyed.join(found, [key, k], "left")
+    left = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone, i))
+    out = cut.withColumn(kept, F.when(F.col(gone).isNotNull(), left))
+    whole = F.col(gone).isNull() | F.exists(kept, lambda x: F.char_length(F.btrim(x, F.lit(_STRIP))) >= least)
+    out = out.withColumns({text_col: F.when(F.col(gone).isNull(), F.col(text_col)).when(whole, F.array_join(kept, "\n")).otherwise(""), full: whole})
+    out = out.where(F.col(full)) if emptied is None else out.withColumn(emptied, ~F.col(full))
+    return out.withColumn("n_removed", F.coalesce(F.array_size(gone), F.lit(0)).cast("long")).drop(key, k, gone, kept, full)

@@ -5,7 +5,9 @@ checksum, inflates the image data and undoes the row filters with numpy.  The ha
 their median, of the lowest frequencies of the two-dimensional cosine transform.  Cosines are rounded to
 integers, so all sums are exact and equal payloads have equal hashes on any machine.
 
-Null texts count as empty; an empty payload is one row of zero samples.  A damaged image raises
+Null texts count as empty; an empty payload is one row of zero samples, and a very long one is one image.
+Equal texts, also those of rows that repeat an id or have none, give equal values; each row is its own image.
+An empty table gives an empty result, and columns besides id and text are ignored, whatever their names.  A damaged image raises
 ValueError from decode() and gives null features from read_media().
 """
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, own_names
 
 WEIGHTS = (5, 2, 1)
 #: Hexadecimal digits of the place, and those resolved by one histogram.
@@ -78,16 +78,6 @@ def thresholds(work: Workspace, rows: DataFrame, budgets: DataFrame) -> DataFram
     return out
 
 
-def _own(docs: DataFrame, *names: str) -> list[str]:
-    """The names, longer by underscores where docs has a column of that name."""
-    out = []
-    for name in names:
-        while name.lower() in {c.lower() for c in docs.columns}:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """The rows of docs with size, source_size, target and copies, how often the mix takes the row.
 
@@ -104,7 +94,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     # of the rows at the edge, all of one size, as many are taken as bring the sum nearest to the budget
     share = (F.col("budget") - F.col("sum")) * F.col("rows") / F.col("size")
     at_edge = F.ceil(share - 0.5)
-    key, put, edge, some, turn, once, many = _own(docs, "_key", "_place", "_edge", "_some", "_turn", "_whole", "_rows")
+    key, put, edge, some, turn, once, many = own_names(docs, "_key", "_place", "_edge", "_some", "_turn", "_whole", "_rows")
     planned = plan.join(edges.select("key", "edge", at_edge.alias("at_edge"), "rows"), "key", "left")
     plan = work.put(planned.select(F.col("key").alias(key), "source_size", "target", F.col("whole").alias(once), F.col("edge").alias(edge), F.col("at_edge").alias(some), F.col("rows").alias(many)), "plan")
     placed = docs.withColumns({key: source_key(F.col(source_col)), put: place, "size": words(F.col(text_col))}).join(plan, key)

@@ -238,9 +238,9 @@ def test_line_dedup_is_exact(spark):
                 kept.append(x)
         if len(kept) == len((t or "").split("\n")) or any(len(x.strip(" \t\r\x0b\x0c")) >= lines.LEAST for x in kept):
             want[i] = "\n".join(kept)
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, n int, _id string, n_removed string")
     got = lines.dedup(spark, docs)
-    assert got.columns == ["doc_id", "text", "n", "n_removed"]
+    assert got.columns == ["doc_id", "text", "n", "_id", "n_removed"]
     assert {r.doc_id: r.text or "" for r in got.collect()} == want
 
 
