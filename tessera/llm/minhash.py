@@ -5,7 +5,8 @@ are computed; the key of table (i, j) joins tuple A_i with tuple B_j, so m + m t
 tables.  Equal sets are one class from the start.  Classes that share a table key are candidates and
 every link is confirmed on the full sets.
 
-Within a bucket, pairs are not enumerated.  A class's lone shingles, which no other candidate has, add to
+A tuple of A that more than CROWD classes have would make m large tables of nearly the same classes; it is
+a bucket by itself, which holds what its tables would hold.  Within a bucket, pairs are not enumerated.  A class's lone shingles, which no other candidate has, add to
 any union and to no intersection; they bound its similarity with any partner and settle most classes that
 only share a passage.  Buckets of up to SMALL classes are paired.  In larger ones each class is compared
 with two hubs.  The links so found join most of a bucket into one group, and only classes of different
@@ -39,8 +40,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Buckets of at most so many classes are paired at once.
-SMALL = 12
+#: Buckets of at most so many classes are paired at once; tuples of A that more classes have are not combined with those of B.
+SMALL, CROWD = 12, 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -159,17 +160,6 @@ def _buckets(members: DataFrame) -> DataFrame:
     return found.groupBy("size", "lead", "members").agg(F.min("key").alias("key")).select("key", "size")
 
 
-def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members of buckets that some size in their bucket leaves a chance by _may(); size counts those.
-
-    A bucket is summed up by size: per number of shingles, the fewest lone ones.
-    """
-    best = members.groupBy("key", "n").agg(F.min("u").alias("u")).groupBy("key").agg(F.collect_list(F.struct("n", "u")).alias("best"))
-    chance = F.exists("best", lambda o: (100 + percent) * F.least(F.col("n") - F.col("u"), o["n"] - o["u"]) >= percent * (F.col("n") + o["n"]))
-    left = members.drop("size").join(best, "key").where(chance).drop("best")
-    return left.join(_buckets(left), "key")
-
-
 def _pairs_of(members: DataFrame) -> DataFrame:
     """Candidate pairs: all within buckets of SMALL members at most."""
     x, y = members.select("key", F.col("id").alias("a"), "n", "u"), members.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("u").alias("u2"))
@@ -241,10 +231,17 @@ def near_duplicates(
     sized = chosen.select("id", "n", "l").join(lone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     able = work.put(sized.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")), "able")
     work.sweep()
+    # tuples of A that few classes have are combined with those of B; one that many have is a bucket as it is, not m of them
     in_a, in_b = (F.filter("l", lambda x: x["t"] < m), F.filter("l", lambda x: x["t"] >= m))
-    cells = F.transform(in_a, lambda x: F.transform(in_b, lambda y: F.xxhash64(x["t"], y["t"], x["h"], y["h"])))
-    keys = able.select(F.explode(F.flatten(cells)).alias("key"), "id", "n", "u")
-    members = work.put(_open(keys.join(_buckets(keys), "key"), percent), "members")
+    tuples = able.select("id", "n", "u", in_b.alias("in_b"), F.explode(in_a).alias("a")).select("id", "n", "u", "in_b", "a.t", "a.h")
+    sizes = tuples.groupBy("t", "h").agg(F.count("*").alias("of_a")).where("of_a > 1")
+    met = work.put(tuples.join(sizes, ["t", "h"]), "tuples")
+    cells = F.explode(F.transform("in_b", lambda y: F.xxhash64("t", y["t"], "h", y["h"])))
+    tables = met.where(F.col("of_a") <= CROWD).select(cells.alias("key"), "id", "n", "u")
+    wide = met.where(F.col("of_a") > CROWD).select(F.xxhash64("t", "h").alias("key"), "id", "n", "u")
+    keys = tables.union(wide)
+    members = work.put(keys.join(_buckets(keys), "key"), "members")
+    work.remove(met)
     sets = work.put(sets.join(able.select("id").hint("merge"), "id", "left_semi"), "able-sets")
     crowded = members.where(F.col("size") > SMALL)
     links = _linked(work, _pairs_of(members.where(F.col("size") <= SMALL)).union(_with_hubs(crowded)), sets, percent)

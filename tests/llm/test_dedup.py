@@ -47,9 +47,10 @@ def near_texts():
     return [*rows, (1, LONG)]
 
 
-@pytest.mark.parametrize("small", [12, 2])
-def test_minhash_links_are_exact(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "crowd"), [(12, 64), (2, 3)])
+def test_minhash_links_are_exact(spark, monkeypatch, small, crowd):
     monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     rows = near_texts()
     sets = {i: shingle_set(t) for i, t in rows}
     ids = sorted(sets)
