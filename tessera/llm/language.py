@@ -128,7 +128,8 @@ def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang:
     place = F.pmod(F.xxhash64("order"), F.lit(1 << 30))
     sizes = usable.select("lang", "order").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least"))
     share = (place * F.col("n") < F.lit(sample).cast("long") * (1 << 30)) | (place == F.col("least"))
-    picked = usable.join(sizes, "lang").where(share).select("lang", "order", "text").dropDuplicates(["lang", "order"])
+    # a row for each language, as many as the model on the driver has; a planned join would shuffle all texts by language
+    picked = usable.join(F.broadcast(sizes), "lang").where(share).select("lang", "order", "text").dropDuplicates(["lang", "order"])
     groups = picked.groupBy("lang").applyInPandas(_clustered(dims, idf, per_lang, quantile, slack), "lang string, centroid binary, limits binary").collect()
     groups.sort(key=lambda r: (r.lang, r.centroid))
     centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in groups]).reshape(-1, dims)
