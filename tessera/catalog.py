@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import amounts, dates, text
-from .operators import diff, finance, joins, layout, sequences, warehouse
+from .operators import diff, finance, joins, sequences, warehouse
 from .plans import expressions, output, rules
 from .registry import money, query, table
-from .sources import words
 
 MONEY = "decimal(18,2)"
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -257,7 +256,7 @@ def jn17_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""select item_id, doc_id from benchmark b join documents d on contains(regexp_replace(lower(d.text), '[\s,\-]+', '', 'g'), regexp_replace(lower(b.text), '[\s,\-]+', '', 'g'))""")
 def jn19_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return joins.contained(items, table(spark, sf_dir, "documents").select("doc_id", "text"), "passage", "text").select("item_id", "doc_id")
+    return joins.contained(items, table(spark, sf_dir, "documents").select("doc_id", "text"), needle="passage", text="text", needle_key="item_id", text_key="doc_id")
 
 
 def marks() -> tuple[Column, Column]:
@@ -319,13 +318,6 @@ def srt17_facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where(text.blank_to_null(F.col("c_mktsegment")).isNotNull()).select("c_mktsegment").distinct()
 
 
-PRINTED = ["1,234.56", "Total 99.10 CR", "(45.00)", "VAT 20% 12.50", "12,50", "none", "", ".75", "1.234,56", "-7.5", "3 items 1,000"]
-
-
-@query(r"""select printed, cast(a0 as decimal(18,6)) a, cast(b0 as decimal(18,6)) b from (values ('1,234.56', 1234.56, 1234.56), ('Total 99.10 CR', -99.10, 99.10), ('(45.00)', -45.00, 45.00), ('VAT 20% 12.50', 12.50, 12.50), ('12,50', 12.50, 1250), ('none', null, null), ('', null, null), ('.75', 0.75, 75), ('1.234,56', 1.23456, 1.23456), ('-7.5', -7.5, -7.5), ('3 items 1,000', 1000, 1000)) t(printed, a0, b0)""")
-def num01_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in PRINTED], "printed string")
-    return rows.select("printed", amounts.printed_amount(F.col("printed")).alias("a"), amounts.grouped_amount(F.col("printed")).alias("b"))
 
 
 @query(r"""select doc_id, len(m) n, cast(list_sum(list_transform(m, lambda x: cast(replace(x, ',', '') as decimal(18,2)))) as decimal(18,2)) total from (select doc_id, regexp_extract_all(text, '(-?\d[\d,]*\.\d\d)', 1) m from documents) where len(m) > 0""")
@@ -340,13 +332,6 @@ def dat06_month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.month_start(day).cast("string").alias("start"), dates.month_end(day).cast("string").alias("end"), dates.delivered(day).alias("delivered"))
 
 
-@query("""select o_orderkey, printed, strftime(parsed, '%Y-%m-%d') parsed from (select o_orderkey, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%d %b %Y') else 'due ' || o_orderkey end printed, case when o_orderkey % 3 < 2 then cast(o_orderdate as date) end parsed from orders)""")
-def dat01_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, third = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
-    printed = F.when(third == 0, F.date_format(day, "yyyy-MM-dd")).when(third == 1, F.date_format(day, "dd MMM yyyy")).otherwise(F.concat(F.lit("due "), F.col("o_orderkey")))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", printed.alias("printed"))
-    return rows.withColumn("parsed", dates.printed_date(F.col("printed")).cast("string"))
-
 
 @query("select s_suppkey, regexp_replace(s_name, '[^0-9]', '', 'g') digits, upper(trim(s_name)) shout from supplier")
 def str06_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,10 +343,6 @@ def str02_after_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.after_label(F.col("props"), '"k"', ["}"]).alias("value"))
 
 
-@query("""select doc_id, sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z]+)', 1))), ' ')) fingerprint from documents""")
-def hsh01_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
-
 
 @query("""select l_orderkey, l_linenumber, l_partkey, cast(cast(l_quantity as decimal(18,6)) * cast(l_discount as decimal(18,6)) as decimal(18,6)) product, cast(abs(cast(l_quantity as decimal(18,6)) - 25) as decimal(18,6)) distance, case when l_returnflag = 'R' then l_linestatus else l_returnflag end flag from lineitem""")
 def exp01_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,19 +379,3 @@ def flt05_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_lines(spark, sf_dir).withColumn("role", rules.classified(classifiers, F.col("line"))).groupBy("doc_id", "role").agg(F.count("*").alias("n"))
 
 
-@query(rf"""select role, count(*) n from (select case when regexp_matches(line, '^\s*$') then 'empty' when regexp_matches(line, '(?i)\b(?:total|subtotal|balance)\b') then 'summary' else 'text' end as role from ({LINES_SQL})) group by 1""")
-def lay10_cell_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines have no amounts or periods of their own; identifiers, which SQL's patterns cannot say, count as text."""
-    role = layout.cell_role(F.col("line"))
-    return text_lines(spark, sf_dir).select(F.when(role.isin("empty", "summary"), role).otherwise("text").alias("role")).groupBy("role").agg(F.count("*").alias("n"))
-
-
-@query()
-def lay01_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visual rows of the documents' texts as a typewriter would set them."""
-    return layout.visual_rows(words.from_text(table(spark, sf_dir, "documents"))).groupBy("doc_id", "page").agg(F.count_distinct("row_index").alias("rows"), F.count("*").alias("n_words"))
-
-
-@query()
-def lay21_page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_profiles(layout.cells(layout.visual_rows(words.from_text(table(spark, sf_dir, "documents"))), gap=4.0))

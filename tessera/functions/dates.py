@@ -6,23 +6,88 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The order in which formats are tried decides ambiguous dates.
-FIELD_FORMATS = ("yyyy-M-d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy")
-RULE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy")
+RULE_FORMATS = ("d MMM yyyy", "d MMM yy", "d-MMM-yyyy", "d-MMM-yy", "yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d.M.yyyy", "MMM d, yyyy", "MMM. d, yyyy", "d MMMM yyyy")
+FIELD_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "d MMM yy", "d-MMM-yyyy", "d-MMM-yy", "d.M.yyyy", "MMM d, yyyy", "MMM. d, yyyy", "d MMMM yyyy")
+COMPARE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "d-MMM-yyyy")
+# What looks like a date within a text.
+EMBEDDED = r"(\d{1,2}[-/ ][A-Za-z]{3,9}\.?[-/ ]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{2,4}|[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{2,4})"
 
 
-def printed_date(text: Column, formats: tuple[str, ...] = FIELD_FORMATS, hint: str | None = None) -> Column:
-    """The first format that reads the whole trimmed text, the hint before all."""
+def _read(text: Column, form: str) -> Column:
+    day = F.to_date(F.try_to_timestamp(text, F.lit(form)))
+    if "yyyy" in form or "yy" not in form:
+        return day
+    # two digits from 69 on are of the century before
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+
+def _whole(text: Column, formats: tuple[str, ...]) -> Column:
+    """The first format that reads the text, then the text without the point behind a month."""
+    bare = F.regexp_replace(text, r"\b([A-Za-z]{3,9})\.(?=\s+\d)", "$1")
+    return F.coalesce(*[_read(t, f) for t in (text, bare) for f in formats])
+
+
+def printed_date(text: Column, formats: tuple[str, ...] = RULE_FORMATS, hint: str | None = None, *, embedded: bool = True) -> Column:
+    """The first format that reads the whole trimmed text, the hint before all; else, if embedded, the first date within it."""
+    order, bare = ((hint, *formats) if hint else formats), F.trim(text)
+    found = _whole(bare, order)
+    if not embedded:
+        return found
+    token = F.regexp_extract(bare, EMBEDDED, 1)
+    return F.coalesce(found, F.when((token != "") & (token != bare), _whole(token, order)))
+
+
+def field_date(text: Column, hint: str | None = None) -> Column:
+    """A stored field: an ISO date in the first ten characters goes first, then the formats of fields."""
     bare = F.trim(text)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(bare, F.lit(f))) for f in ((hint, *formats) if hint else formats)])
+    iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), F.to_date(F.try_to_timestamp(F.substring(bare, 1, 10), F.lit("yyyy-MM-dd"))))
+    return F.coalesce(iso, printed_date(text, FIELD_FORMATS, hint))
+
+
+def period(text: Column, formats: tuple[str, ...] = RULE_FORMATS) -> tuple[Column, Column]:
+    """The two ends of a period: around " - ", else the first two dates of the text."""
+    halves = F.split(text, " - ", 2)
+    found = F.regexp_extract_all(text, F.lit(EMBEDDED), F.lit(1))
+    cut = F.size(halves) == 2
+    pick = lambda k: F.when(cut, F.get(halves, F.lit(k))).otherwise(F.get(found, F.lit(k)))
+    return printed_date(pick(0), formats), printed_date(pick(1), formats)
+
+
+def comparable(text: Column) -> Column:
+    """A date in ISO form, else the squeezed text."""
+    day = printed_date(text, COMPARE_FORMATS, embedded=False)
+    return F.coalesce(day.cast("string"), F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def printed_forms(date: Column) -> Column:
+    """The ways in which a date may stand in a text, without repeats."""
+    forms = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "M/d/yyyy", "d/M/yyyy", "dd MMM yyyy", "d MMM yyyy", "dd-MMM-yyyy", "d-MMM-yyyy", "MMM d, yyyy")
+    return F.array_distinct(F.array(*[F.date_format(date, f) for f in forms]))
 
 
 def delivered(date: Column) -> Column:
     return F.date_format(date, "MM/dd/yyyy")
 
 
+def delivered_text(text: Column) -> Column:
+    """ISO dates in delivered form; other texts as they are."""
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
+    return F.coalesce(delivered(iso), text)
+
+
+def format_guess(text: Column) -> Column:
+    """The format that a printed date suggests."""
+    return F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), "d/M/yyyy").when(text.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}$"), "d MMM yyyy").when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), "yyyy-MM-dd")
+
+
 def month_start(date: Column) -> Column:
     return F.trunc(date, "month")
 
 
 def month_end(date: Column) -> Column:
     return F.last_day(date)
+
+
+def month_keys(day: Column, n: int) -> Column:
+    """First days of the n months up to a day's own."""
+    return F.sequence(F.add_months(F.trunc(day, "month"), 1 - n), F.trunc(day, "month"), F.expr("interval 1 month"))

@@ -6,22 +6,25 @@ as a grouped Arrow function, everything else is built from expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.amounts import stripped_amount
 
 PAGE = ["doc_id", "page"]
-# Roles with their patterns, in order, and the words of table headers.
-CELL_ROLES = (
-    ("empty", r"^\s*$"),
-    ("amount", r"^\s*[$€£]?\s*\(?-?\d[\d,]*\.\d{2}\)?\s*(?:CR)?\s*$"),
-    ("identifier", r"^\s*(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9][A-Za-z0-9/-]{4,}\s*$"),
-    ("billing_period", r"\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\s*(?:-|to)\s*\d{1,2}[/.]\d{1,2}[/.]\d{2,4}"),
-    ("summary", r"\b(?:total|subtotal|balance)\b"),
-)
-HEADER_TERMS = ("description", "amount", "quantity", "qty", "rate", "total", "period", "service", "date", "charge", "charges", "tax", "reference")
+# What cells and rows hold, and the words of table headers.
+AMOUNT = r"^\(?-?\s*[^\d( -]?\s*\d[\d,]*(?:\.\d{2,})?\s*\)?$"
+AMOUNT_LIKE = r"\.\d{2,}\)?$|[$€£,()]"
+IDENTIFIER = r"(?i)^[A-Z]{0,6}[-/]?\d[A-Z0-9\-/.]{4,}$"
+PERIODS = (r"\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}\s+-\s+\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}", r"\d{1,2}-[A-Z][a-z]{2}-\d{2,4}\s+\d{1,2}-[A-Z][a-z]{2}-\d{2,4}")
+SUMMARY = ("total", "subtotal", "vat", "tax")
+SECTION_TOTALS = ("total amount due", "current charges", "total current charges")
+GROUP_TOTALS = (r"(?i)^total\s+[A-Z0-9][A-Z0-9\-/.]{4,}\b", r"(?i)^sub\s*-?\s*total\b")
+ROW_AMOUNT = r"\(?-?\s*[^\d\s( -]?\s*\d[\d,]*(?:\.\d{2,})\s*\)?"
+HEADER_TERMS = ("service", "id", "description", "billing", "period", "units", "qty", "quantity", "total", "amount", "charge", "date", "rate")
 
 
 def _rows_of_page(tolerance: float):
@@ -42,16 +45,15 @@ def _rows_of_page(tolerance: float):
             of[seq] = k
         rank = {k: r for r, k in enumerate(sorted(range(len(means)), key=lambda k: means[k][0] / means[k][1]))}
         seqs = table.column("word_seq").to_pylist()
-        return pa.table({"doc_id": table.column("doc_id"), "page": table.column("page"), "word_seq": table.column("word_seq"), "row_index": pa.array([rank[of[s]] for s in seqs], pa.int32())})
+        return table.append_column("row_index", pa.array([rank[of[s]] for s in seqs], pa.int32()))
 
     return run
 
 
 def visual_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """words (doc_id, page, word_seq, text, x0, y0, x1, y1) with row_index: a word joins the first row whose mean centre is near."""
-    key = words.select("doc_id", "page", "word_seq", "x0", "y0", "y1")
-    placed = key.groupBy(*PAGE).applyInArrow(_rows_of_page(tolerance), "doc_id string, page int, word_seq int, row_index int")
-    return words.join(placed, [*PAGE, "word_seq"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema), "row_index int"])
+    return words.groupBy(*PAGE).applyInArrow(_rows_of_page(tolerance), schema)
 
 
 def cells(rows: DataFrame, gap: float = 16.0) -> DataFrame:
@@ -69,17 +71,121 @@ def normalized(value: Column, size: Column) -> Column:
 
 
 def cell_role(text: Column) -> Column:
-    out = None
-    for role, pattern in CELL_ROLES:
-        hit = matches(text, pattern)
-        out = F.when(hit, role) if out is None else out.when(hit, role)
-    return out.otherwise("text")
-
-
-def header_like(text: Column, least: int = 2) -> Column:
-    """At least two header words among the text's words."""
-    found = F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1)), F.array(*map(F.lit, HEADER_TERMS)))
-    return F.size(found) >= least
+    """The role of a cell, by the first of its rules: numbers that look like amounts go before identifiers, other numbers behind."""
+    bare = F.trim(text)
+    number = bare.rlike(AMOUNT) & stripped_amount(bare).isNotNull()
+    summary = reduce(lambda a, b: a | b, [F.lower(bare).contains(w) for w in SUMMARY])
+    return (
+        F.when(bare == "", "empty")
+        .when(number & bare.rlike(AMOUNT_LIKE), "amount")
+        .when(bare.rlike(IDENTIFIER), "identifier")
+        .when(number, "amount")
+        .when(bare.rlike(PERIODS[0]) | bare.rlike(PERIODS[1]), "billing_period")
+        .when(summary, "summary")
+        .otherwise("text")
+    )
+
+
+def header_like(cells: Column, least: int = 2) -> Column:
+    """A header row of cells (text, role): two cells at least, none of them an amount, and two header words."""
+    words = F.regexp_extract_all(F.lower(F.array_join(F.transform(cells, lambda c: c["text"]), " ")), F.lit("([a-z]+)"), F.lit(1))
+    terms = F.array_intersect(words, F.array(*map(F.lit, HEADER_TERMS)))
+    return (F.size(cells) >= 2) & ~F.exists(cells, lambda c: c["role"] == "amount") & (F.size(terms) >= least)
+
+
+def row_role(text: Column, cells: Column) -> Column:
+    """The role of a row of cells (text, role), by the first of its rules."""
+    bare = F.trim(text)
+    low = F.lower(bare)
+    amount = F.exists(cells, lambda c: c["role"] == "amount") | bare.rlike(ROW_AMOUNT)
+    section = reduce(lambda a, b: a | b, [low.contains(w) for w in SECTION_TOTALS])
+    return (
+        F.when(bare == "", "noise")
+        .when(header_like(cells), "header")
+        .when((bare.rlike(GROUP_TOTALS[0]) | bare.rlike(GROUP_TOTALS[1])) & amount, "group_total")
+        .when(section, "section_total")
+        .when((low.contains("vat") | low.contains("tax")) & amount, "tax_total")
+        .when(F.exists(cells, lambda c: c["role"] == "billing_period") & amount, "period_amount")
+        .when(F.coalesce(F.get(cells, F.lit(0))["role"] == "identifier", F.lit(False)), "service_start")
+        .otherwise("detail")
+    )
+
+
+def anchored(role: Column, text: Column, anchors: list[str]) -> Column:
+    """The role, or anchor where the text holds one of the anchors in any case."""
+    low = F.lower(text)
+    return F.when(reduce(lambda a, b: a | b, [low.contains(a.lower()) for a in anchors if a], F.lit(False)), "anchor").otherwise(role)
+
+
+def column_role(text: Column) -> Column:
+    """What a header's column holds, by its words."""
+    low = F.lower(text)
+    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    return (
+        F.when(has("service") & has("id"), "service_id")
+        .when(has("description", "product"), "description")
+        .when(has("billing", "period", "date"), "billing_period")
+        .when(has("unit", "qty", "quantity"), "quantity")
+        .when(has("total", "amount", "charge"), "amount")
+        .otherwise("text")
+    )
+
+
+def rows_of(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, row_index, row_id, text, role, cells, x0, y0, x1, y1): visual rows with their cells (text, role, x0, x1) in order and the union of their boxes."""
+    cell = F.struct("cell_index", "text", cell_role(F.col("text")).alias("role"), "x0", "x1")
+    out = cells.groupBy(*PAGE, "row_index").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    text = F.array_join(F.transform("cells", lambda c: c["text"]), " ")
+    row_id = F.format_string("p%d.r%d", "page", F.col("row_index") + 1)
+    return out.withColumns({"row_id": row_id, "text": text}).withColumn("role", row_role(F.col("text"), F.col("cells")))
+
+
+def rendered(row_id: Column, role: Column, cells: Column) -> Column:
+    """A row as one line of text: its id and role, then its cells with their ends."""
+    each = F.transform(cells, lambda c, i: F.format_string("[c%d %s x=%.0f-%.0f] %s", i + 1, c["role"], c["x0"], c["x1"], c["text"]))
+    return F.concat(row_id, F.lit(" role="), role, F.lit(" "), F.array_join(each, " | "))
+
+
+def unrendered(line: Column) -> Column:
+    """The texts of a rendered row's cells."""
+    parts = F.split(F.regexp_replace(line, r"^\S+ role=\S+ ", ""), r" \| ")
+    return F.transform(parts, lambda p: F.regexp_replace(p, r"^\[c\d+ \S+ x=-?\d+--?\d+\] ", ""))
+
+
+def without_markup(line: Column) -> Column:
+    """A rendered row's text alone."""
+    return F.array_join(unrendered(line), " ")
+
+
+def directions(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, angle): the most frequent rounded direction of a page's lines (doc_id, page, seq, dx, dy), the first seen of equals."""
+    angle = F.round(F.degrees(F.atan2("dy", "dx"))).cast("int")
+    counts = lines.withColumn("angle", angle).groupBy(*PAGE, "angle").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return counts.groupBy(*PAGE).agg(F.max_by("angle", F.struct("n", -F.col("first"))).alias("angle"))
+
+
+def upright(words: DataFrame, turn: Column) -> DataFrame:
+    """Words of pages turned by 90 or 270 degrees as they stand upright, with the page's size; other turns change nothing."""
+    w, h = F.col("page_width"), F.col("page_height")
+    quarter, back = turn == 90, turn == 270
+    pick = lambda a, b, c: F.when(quarter, a).when(back, b).otherwise(c)
+    return words.select(
+        *[c for c in words.columns if c not in ("x0", "y0", "x1", "y1", "page_width", "page_height")],
+        pick(F.col("y0"), h - F.col("y1"), F.col("x0")).alias("x0"),
+        pick(w - F.col("x1"), F.col("x0"), F.col("y0")).alias("y0"),
+        pick(F.col("y1"), h - F.col("y0"), F.col("x1")).alias("x1"),
+        pick(w - F.col("x0"), F.col("x1"), F.col("y1")).alias("y1"),
+        pick(h, h, w).alias("page_width"),
+        pick(w, w, h).alias("page_height"),
+    )
+
+
+def page_kinds(profiles: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(doc_id, page, kind) of pages (doc_id, page, n_rows, tabular, run): noise without rows, detail at the head of a run, detail_continuation in it, summary if named so, else header."""
+    head = F.min("page").over(Window.partitionBy("doc_id", "run"))
+    kind = F.when(F.col("n_rows") == 0, "noise").when(F.col("run").isNotNull() & (F.col("page") == head), "detail").when(F.col("run").isNotNull(), "detail_continuation").when(F.col("summary"), "summary").otherwise("header")
+    named = profiles.join(summaries.select(*PAGE, F.lit(True).alias("summary")).distinct(), PAGE, "left").withColumn("summary", F.coalesce("summary", F.lit(False)))
+    return named.select(*PAGE, kind.alias("kind"))
 
 
 def page_profiles(cells: DataFrame, bucket: float = 20.0) -> DataFrame:

@@ -34,11 +34,11 @@ def classified(rules: list[tuple[str, Mapping[str, Any]]], text: Column, cells:
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-def in_region(rows: DataFrame, keys: list[str], order: list[str], start: Column, end: Column) -> DataFrame:
-    """Rows between markers: outside, a start opens; inside, an end closes, tested first.
+def state_before(rows: DataFrame, keys: list[str], order: list[str], start: Column, end: Column, *, opened: bool = False) -> DataFrame:
+    """Rows with _in, 1 within markers: outside, a start opens; inside, an end closes, tested first.
 
     A row that is both toggles the state, so the state before a row is that of the last row that is one
-    of them only, turned by the number of toggles since.  Marker rows are not part of the region.
+    of them only, turned by the number of toggles since.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -48,5 +48,10 @@ def in_region(rows: DataFrame, keys: list[str], order: list[str], start: Column,
     # toggles up to the last pure marker, seen from this row
     marked = marked.withColumn("_at", F.when(F.col("_only").isNotNull(), F.col("_toggles")))
     last, at = F.last("_only", ignorenulls=True).over(before), F.last("_at", ignorenulls=True).over(before)
-    state = F.pmod(F.coalesce(last, F.lit(0)) + F.col("_toggles") - F.coalesce(at, F.lit(0)), F.lit(2))
-    return marked.withColumn("_in", state).where((F.col("_in") == 1) & ~end).drop("_only", "_both", "_toggles", "_at", "_in")
+    state = F.pmod(F.coalesce(last, F.lit(int(opened))) + F.col("_toggles") - F.coalesce(at, F.lit(0)), F.lit(2))
+    return marked.withColumn("_in", state).drop("_only", "_both", "_toggles", "_at")
+
+
+def in_region(rows: DataFrame, keys: list[str], order: list[str], start: Column, end: Column) -> DataFrame:
+    """Rows between markers by state_before(); rows with an end marker are not part of the region."""
+    return state_before(rows, keys, order, start, end).where((F.col("_in") == 1) & ~end).drop("_in")

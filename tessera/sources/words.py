@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id string, page int, word_seq int, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double"
@@ -11,17 +11,28 @@ SCHEMA = "doc_id string, page int, word_seq int, text string, x0 double, y0 doub
 def read(spark: SparkSession, path: str, pages: list[int] | None = None) -> DataFrame:
     """The words of a Parquet table, of certain pages only if given; the filter reaches the scan."""
     words = spark.read.schema(SCHEMA).parquet(path).where(F.trim("text") != "")
-    return words if pages is None else words.where(F.col("page").isin(sorted({p for p in pages if p > 0})))
+    return words if pages is None else of_pages(words, pages)
+
+
+def of_pages(words: DataFrame, pages: list[int]) -> DataFrame:
+    """The words of certain pages, counted from 1; others and repeats are ignored, and the filter reaches the scan."""
+    return words.where(F.col("page").isin(sorted({p for p in pages if p > 0})))
 
 
 def from_text(docs: DataFrame, *, char: float = 5.0, line: float = 12.0, lines_per_page: int = 60) -> DataFrame:
-    """Words as a typewriter would set each text: every character `char` wide, every line `line` high."""
+    """Words as a typewriter would set each text: every character `char` wide, every line `line` high.
+
+    Offsets are one running sum over a page, less what stood before the line.
+    """
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = rows.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "text"), F.split("line", " ").alias("all"))
-    before = F.length(F.array_join(F.slice("all", F.lit(1), F.col("k")), " ")) + (F.col("k") > 0).cast("int")
-    out = tokens.withColumn("x0", before * char).where(F.trim("text") != "")
-    y = F.pmod("line_no", F.lit(lines_per_page)) * line
-    return out.select("doc_id", (F.expr(f"line_no div {lines_per_page}") + 1).cast("int").alias("page"), (F.pmod("line_no", F.lit(lines_per_page)) * 10000 + F.col("k")).cast("int").alias("word_seq"), "text", "x0", y.cast("double").alias("y0"), (F.col("x0") + F.length("text") * char).alias("x1"), (y + 10).cast("double").alias("y1"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+    at = F.pmod("line_no", F.lit(lines_per_page))
+    tokens = rows.select("doc_id", (F.expr(f"line_no div {lines_per_page}") + 1).cast("int").alias("page"), at.alias("at"), F.posexplode(F.split("line", " ")).alias("k", "text"))
+    page = Window.partitionBy("doc_id", "page").orderBy("at", "k")
+    before = F.coalesce(F.sum(F.length("text") + 1).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = tokens.withColumn("before", before)
+    placed = placed.withColumn("x0", (F.col("before") - F.min("before").over(Window.partitionBy("doc_id", "page", "at"))) * char).where(F.trim("text") != "")
+    y = F.col("at") * line
+    return placed.select("doc_id", "page", (F.col("at") * 10000 + F.col("k")).cast("int").alias("word_seq"), "text", "x0", y.cast("double").alias("y0"), (F.col("x0") + F.length("text") * char).alias("x1"), (y + 10).cast("double").alias("y1"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
 
 
 def page_text(words: DataFrame) -> DataFrame:

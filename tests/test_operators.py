@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import amounts, dates, text
 from tessera.operators import diff, extracts, finance, joins, layout, sequences
-from tessera.plans import expressions, rules
+from tessera.plans import expressions, interpreter, rules
 from tessera.streaming import intake
 
 
@@ -22,9 +22,34 @@ def test_amounts(spark):
 
 
 def test_dates(spark):
-    found = column(spark, ["2024-1-5", "20240105", "01/02/2024", "31/12/2024", "5 Jan 2024", "soon", None], "string", dates.printed_date)
-    assert found == [date(2024, 1, 5), date(2024, 1, 5), date(2024, 1, 2), date(2024, 12, 31), date(2024, 1, 5), None, None]
-    assert column(spark, ["01/02/2024"], "string", lambda c: dates.printed_date(c, dates.RULE_FORMATS)) == [date(2024, 2, 1)]
+    texts = ["2024-01-05", "05 Jan 24", "Jan. 5, 2024", "due 5-Jan-2024 net", "05/01/2024", "31.12.1999", "1 May 70", "soon", None]
+    day = date(2024, 1, 5)
+    assert column(spark, texts, "string", dates.printed_date) == [day, day, day, day, day, date(1999, 12, 31), date(1970, 5, 1), None, None]
+    assert column(spark, ["01/02/2024", "2024-02-03T10:00"], "string", dates.field_date) == [date(2024, 1, 2), date(2024, 2, 3)]
+    assert column(spark, ["01/02/2024"], "string", dates.printed_date) == [date(2024, 2, 1)]
+
+
+def test_printed_amounts(spark):
+    assert column(spark, ["Fee (45.00)", "12 CR 3", "5%", "-$7.50", ".83", "1,234", "1,23", "none"], "string", amounts.printed_amount) == [D(-45), D(-3), D(5), D("-7.5"), D("0.83"), D(1234), D("1.23"), None]
+    assert column(spark, ["5% of 7", "20 %"], "string", lambda c: amounts.printed_amount(c, ignore_percent=True)) == [D(7), None]
+
+
+def test_containment_index(spark):
+    needles = spark.createDataFrame([(1, "Alpha-beta gamma delta"), (2, "x"), (3, "not there at all, nowhere"), (4, " "), (5, None)], "n long, needle string")
+    texts = spark.createDataFrame([("a", "... ALPHA beta, gamma delta ..."), ("b", "only alpha"), ("c", "x"), ("d", None)], "t string, text string")
+    got = joins.contained(needles, texts, needle="needle", text="text", needle_key="n", text_key="t").collect()
+    assert {(r.n, r.t) for r in got} == {(1, "a"), (2, "c")}
+    plan = joins.contained(needles.where("n = 1"), texts, needle="needle", text="text", needle_key="n", text_key="t")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_regions_that_resume_on_every_page(spark):
+    rows = spark.createDataFrame([("d", p, i, t, []) for i, (p, t) in enumerate([(1, "start"), (1, "a"), (1, "foot"), (1, "b"), (2, "c"), (2, "foot"), (3, "d")])], "doc_id string, page int, row_index int, text string, cells array<struct<text:string,x0:double,x1:double>>")
+    texts = lambda region: [r.text for r in interpreter.locate(rows, region).orderBy("page", "row_index").collect()]
+    assert texts(interpreter.Region(("start",), ("foot",))) == ["a"]
+    assert texts(interpreter.Region(("start",), ("foot",), resume=True)) == ["a", "c", "d"]
+    assert texts(interpreter.Region(("start",), ("foot",), keep_anchor=True)) == ["start", "a"]
+    assert texts(interpreter.Region(("start",), ("foot",), pages=(1,), resume=True)) == ["a"]
 
 
 def test_text(spark):
