@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs, which has the columns of
 documents; all but the last return these columns.  run() writes each stage's rows as Parquet into the
 shared folder and reads them again for the next one.
+
+Odd rows are defined at every stage.  A null or empty text has no language and goes with the first stage; given
+to a later one, it has no lines to cut, links with nothing, has size 0 and so is taken or not like any row, and is
+placed nowhere.  A null id is a row like others: last among earliest lines, in no group of near-duplicates.  A null source is
+a source of its own, a null lang trains nothing, n_chars is only counted anew where lines were cut.  Rows that
+repeat an id with the same text are one document from the third stage on, those with other texts are documents
+of their own.  Texts of any length are whole throughout.  Ties go to the smaller id, then to the smaller hash of the text.
+Columns besides those of documents are left out, whatever their names.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -40,9 +48,12 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
     gone = found.where("not kept").select("doc_id", "text_key").distinct()
     kept = keyed.join(gone, ["doc_id", "text_key"], "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1")
-    once = kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).union(kept.where("doc_id is null").select(*kept.columns))
-    return once.select(*COLUMNS)
+    # keys of which there are several rows: only their rows meet, the other ones stay where they are
+    again = work.put(found.where("kept and doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "text_key"), "again")
+    first = F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")
+    several = kept.join(again, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(first)
+    single = kept.join(again, ["doc_id", "text_key"], "left_anti")
+    return single.select(*COLUMNS).union(several.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in COLUMNS]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
