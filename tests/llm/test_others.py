@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import language, licenses, media, mixing, packing, queries, warc
+from test_dedup import closed, shingle_set, within_one
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -289,3 +290,83 @@ def test_pipeline_stages(spark):
     assert not kept & {10_000, 10_001, 10_002, 10_003}
     packed = corpus_pipeline.run(spark, DIR)
     packing.check((r.bin, r.capacity, r.filled, r.slot, r.length) for r in packed.collect())
+
+
+def plain_lines(text):
+    """(number, line) of a text's lines that are not blank, without the blanks around them."""
+    return [(n, x.strip(" \t\r\x0b\x0c")) for n, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
+
+
+def near_lines(a, b):
+    return a == b or (min(len(a), len(b)) >= 12 and within_one(a, b))
+
+
+def test_pipeline_agrees_with_brute_force(spark):
+    """Every stage on what the one before it kept, against the plainest version of it."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.collect()
+    # language: every text by itself, with the model's own numbers
+    model = language.train(spark, docs)
+    want = set()
+    for r in rows:
+        if r.text and any(c.isalpha() for c in r.text):
+            counts = np.array([language.grams(r.text, len(model.idf))])
+            cosines = model.centroids @ language.vectors(counts, model.idf)[0]
+            best = int(cosines.argmax())
+            if min(1.0, cosines[best]) >= model.limits[best, language.size_class(counts)[0]]:
+                want.add(r.doc_id)
+    rows = stages["language"](spark, docs, DIR).collect()
+    assert {r.doc_id for r in rows} == want
+    # lines: each against all earlier ones
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        for n, x in plain_lines(r.text):
+            first.setdefault(x, (r.doc_id, n))
+    by_length = {}
+    for x in first:
+        by_length.setdefault(len(x), []).append(x)
+    goes = {x: any(first[y] < first[x] and near_lines(x, y) for k in (-1, 0, 1) for y in by_length.get(len(x) + k, ())) for x in first}
+    want = {}
+    for r in rows:
+        gone = {n for n, x in plain_lines(r.text) if goes[x] or first[x] < (r.doc_id, n)}
+        left = [x for n, x in enumerate((r.text or "").split("\n")) if n not in gone]
+        if not gone or any(x.strip() for x in left):
+            want[r.doc_id] = "\n".join(left)
+    rows = stages["lines"](spark, spark.createDataFrame(rows, docs.schema), DIR).collect()
+    assert {r.doc_id: r.text for r in rows} == want
+    # near-duplicates: all pairs
+    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = closed(ids, links)
+    rows = stages["near-duplicates"](spark, spark.createDataFrame(rows, docs.schema), DIR).collect()
+    assert sorted(r.doc_id for r in rows) == [i for i in ids if group[i] == i]
+    # mixture: SQL; packing: all words, each once
+    con = duckdb.connect()
+    table = spark.createDataFrame(rows, docs.schema)
+    con.register("documents", table.toPandas())
+    taken = {r[0]: r[4] for r in con.sql(mixing.ORACLE_SQL).project("doc_id, size, source_size, target, taken").fetchall()}
+    mixed = stages["mixture"](spark, table, DIR).collect()
+    copies = {}
+    for r in mixed:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + len(r.text.split())
+    assert copies == {k: v for k, v in taken.items() if v}
+    packed = stages["packing"](spark, spark.createDataFrame(mixed, docs.schema), DIR).collect()
+    packing.check((r.bin, r.capacity, r.filled, r.slot, r.length) for r in packed)
+    words = {}
+    for r in packed:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.length
+    assert words == copies
+
+
+def test_pipeline_of_an_empty_table_and_repeated_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DIR).collect() == []
+    text = " ".join(f"w{k}" for k in range(60))
+    twice = spark.createDataFrame([(1, text, "en", "a", 5), (1, text, None, "a", 5), (1, "other words " * 9, "en", "a", 5), (None, text, "en", "a", 5)], schema)
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, twice.withColumn("row", F.lit(1)), DIR)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in got.collect()) == [(0, text[:5]), (1, "other"), (1, text[:5])]
