@@ -105,10 +105,10 @@ def win24_first_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with g as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) b from conversations)
-select conv_id, cast(b as bigint) block, string_agg(left(text, 20), ' ' order by turn) as text from g where b > 0 group by 1, 2""")
+select conv_id, cast(b as bigint) block, string_agg(text, ' ' order by turn) as text from g where b > 0 group by 1, 2""")
 def win08_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = sequences.transition_groups(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("t")))), lambda r: r["t"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda r: r["t"])
     return grouped.groupBy("conv_id", F.col("group").alias("block")).agg(F.array_join(parts, " ").alias("text"))
 
 

@@ -168,6 +168,12 @@ def total_identifier(text: Column) -> Column:
     return F.when(found.rlike(r"\d") & ~found.rlike(r"^\d-[A-Z0-9]{4}$"), found)
 
 
+def enumerated(text: Column, allowed: tuple[str, ...], default: str) -> Column:
+    """The allowed value that a text is, in any case and without blanks around; else the default."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin(*allowed), low).otherwise(default)
+
+
 def evidence(text: Column, most: int = 240) -> Column:
     return F.substring(squash(text), 1, most)
 

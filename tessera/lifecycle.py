@@ -98,9 +98,9 @@ def agg24_group_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("credit"), F.count_if(F.col("c_acctbal") <= 0).alias("debit"))
 
 
-@query("""select conv_id, left(string_agg(left(text, 40), '; ' order by turn), 500) description from conversations group by 1""")
+@query("""select conv_id, left(string_agg(text, '; ' order by turn), 500) description from conversations group by 1""")
 def agg31_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("t")))), lambda x: x["t"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"])
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.substring(F.array_join(parts, "; "), 1, 500).alias("description"))
 
 

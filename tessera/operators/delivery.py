@@ -86,6 +86,19 @@ def manifest(documents: DataFrame, sums: DataFrame, *, doc: str = "doc_id") -> D
     return documents.join(sums, doc, "left").select(doc, F.coalesce("n_rows", F.lit(0)).cast("long").alias("rows"), F.coalesce("total", F.lit(0).cast(MONEY)).cast("string").alias("total"), due.alias("total_due"))
 
 
+def output_gate(documents: DataFrame, sums: DataFrame, number: Column, stated: str, *, doc: str = "doc_id", threshold: float = 0.01) -> DataFrame:
+    """(doc, reason): why a model's output (n items, total) may not be delivered, by the first rule that holds: no number, no items, all zero, not reconciled; else ok."""
+    both = documents.join(sums, doc, "left")
+    off = F.abs(F.col("total").cast("double") - F.col(stated)) / F.nullif(F.abs(F.col(stated)), F.lit(0.0)) > threshold
+    reason = F.when(~number, "no number").when(F.col("n").isNull(), "no items").when(F.col("total") == 0, "all zero").when(off, "not reconciled").otherwise("ok")
+    return both.select(doc, reason.alias("reason"))
+
+
+def extraction_log(lines: DataFrame, doc: str, amount: Column, party: str, day: str) -> DataFrame:
+    """(doc, n_lines, total, suppliers, last_shipped): the log of an extraction."""
+    return lines.groupBy(doc).agg(F.count("*").alias("n_lines"), F.sum(amount).cast(MONEY).alias("total"), F.count_distinct(party).alias("suppliers"), F.date_format(F.max(day), "yyyy-MM-dd").alias("last_shipped"))
+
+
 def exceptions(documents: DataFrame, reasons: list[tuple[str, Column]], *, doc: str = "doc_id") -> DataFrame:
     """(doc, reason): documents that go to the exceptions, by the first reason that holds."""
     reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons])

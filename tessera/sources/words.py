@@ -35,6 +35,12 @@ def from_text(docs: DataFrame, *, char: float = 5.0, line: float = 12.0, lines_p
     return placed.select("doc_id", "page", (F.col("at") * 10000 + F.col("k")).cast("int").alias("word_seq"), "text", "x0", y.cast("double").alias("y0"), (F.col("x0") + F.length("text") * char).alias("x1"), (y + 10).cast("double").alias("y1"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
 
 
+def page_counts(documents: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
+    """(doc, pages): the last page of each document, 0 for one of which no page could be read."""
+    last = pages.groupBy(doc).agg(F.max(page).alias("pages"))
+    return documents.select(doc).distinct().join(last, doc, "left").select(doc, F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
 def page_text(words: DataFrame) -> DataFrame:
     """(doc_id, page, n_words, text_chars): a flat scan by page."""
     return words.groupBy("doc_id", "page").agg(F.count("*").alias("n_words"), (F.sum(F.length("text")) + F.count("*") - 1).alias("text_chars"))
