@@ -68,3 +68,11 @@ def failures(rows: DataFrame, plan: Plan) -> DataFrame:
     """(doc_id, line_number, check): rows that a check of the plan fails on."""
     failed = F.array_compact(F.array(*[F.when(~within(plan_expression(a), plan_expression(b), tol), F.lit(name)) for name, a, b, tol in plan.checks]))
     return rows.select(*KEYS, "line_number", F.explode(failed).alias("check"))
+
+
+def from_hints(hints: Mapping[str, str]) -> Plan:
+    """A plan from the hints of older profiles: markers, patterns and an identifier; what a plan does not know is ignored."""
+    rules: dict[str, Mapping[str, Any]] = {}
+    if pattern := hints.get("identifier_pattern"):
+        rules["service_id"] = {"op": "regex_extract", "args": [{"op": "field", "name": "text"}], "pattern": pattern, "group": 1}
+    return Plan(start=hints.get("start", ""), end=hints.get("end", ""), include=hints.get("include"), exclude=tuple(x for x in hints.get("exclude", "").split(",") if x), row_rules=rules)

@@ -15,3 +15,33 @@ def dropped_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> D
 def event_counts(events: DataFrame, *, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by window and type, with a watermark, so state is bounded by the lateness allowed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def folder_counts(spark: SparkSession, folder: str, schema: str, target: str, *, glob: str, window: str = "1 hour") -> DataFrame:
+    """Counts by window and type of the events in all files of a folder that are there now, read as a stream.
+
+    Each micro-batch replaces the counts so far at `target`, so a batch that is run again after a failure changes
+    nothing; the checkpoint beside it says which files are done, and a later call reads only new ones.
+    """
+    events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    counts = event_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), window=window)
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/counts")
+
+    stream = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{target}/counts")
+
+
+def latest_by_key(spark: SparkSession, folder: str, schema: str, target: str, *, glob: str, key: str, order: str, value: str) -> DataFrame:
+    """The newest value of each key of a folder's events, folded batch by batch into a table: each batch is merged with what is there, newest wins, so a repeated batch changes nothing."""
+    events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    newest = events.groupBy(key).agg(F.max_by(F.struct(order, value), order).alias("n"))
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.select(key, "n.*").write.mode("overwrite").parquet(f"{target}/newest")
+
+    stream = newest.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{target}/newest")
