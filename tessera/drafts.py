@@ -176,3 +176,30 @@ def stm11_scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flt30_pruned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the two columns that the output needs are read."""
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+@query("select user_id, sha256('s' || user_id) digest from (select distinct user_id from events where user_id is not null)")
+def hsh04_session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").select("user_id").where("user_id is not null").distinct()
+    return users.select("user_id", F.sha2(F.concat(F.lit("s"), "user_id"), 256).alias("digest"))
+
+
+@query(f"with {ROWS_SQL} select doc_id, i, cast(10 * (i * 12 // 10) as double) y, cast(10 as double) x, flag as text from r where i < 30")
+def src05_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first cell of each of a document's first rows, its place snapped to ten units."""
+    from .sources import words
+
+    cells = rows(spark, sf_dir).where("i < 30").select("doc_id", "i", F.get("cells", F.lit(0)).alias("c")).select("doc_id", "i", F.col("c.text").alias("text"), F.col("c.x0").alias("x0"), (F.col("i") * 12.0).alias("y0"))
+    return cells.select("doc_id", "i", words.snapped(F.col("y0")).alias("y"), words.snapped(F.col("x0")).alias("x"), "text")
+
+
+@query("select c_custkey, c_name as \"Name\", cast(null as varchar) as \"Total\", c_mktsegment as \"Segment\" from customer")
+def src11_blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet whose first row that is not blank is its header, by which its columns are put in order."""
+    from .sources import payloads
+
+    c = table(spark, sf_dir, "customer")
+    body = c.select((F.col("c_custkey") + 10).alias("n"), F.col("c_custkey").cast("string").alias("a"), F.col("c_mktsegment").alias("b"), F.col("c_name").alias("c"))
+    top = spark.createDataFrame([(0, " ", None, ""), (1, "Key", " SEGMENT", "name ")], "n long, a string, b string, c string")
+    found = payloads.by_header(top.union(body), "n", ["a", "b", "c"], ["Key", "Name", "Total", "Segment"])
+    return found.withColumn("c_custkey", F.col("Key").cast("long")).drop("Key")

@@ -51,3 +51,19 @@ def without_blank_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 def canonical(fields: list[str]) -> Column:
     """A JSON text of the fields in order, nulls left out, dates in ISO form."""
     return F.to_json(F.struct(*fields), {"dateFormat": "yyyy-MM-dd"})
+
+
+def by_header(sheet: DataFrame, order: str, columns: list[str], wanted: list[str]) -> DataFrame:
+    """Rows of a sheet under the wanted headers: its first row that is not blank is the header, in any case and without blanks around; a header that it lacks gives nulls.
+
+    One row, the header, comes to the driver, as it decides which columns there are.
+    """
+    rows = without_blank_rows(sheet, columns)
+    head = rows.orderBy(order).first()
+    if head is None:
+        return sheet.limit(0).select(*[F.lit(None).cast("string").alias(w) for w in wanted])
+    at: dict[str, str] = {}
+    for c in columns:
+        at.setdefault((head[c] or "").strip().lower(), c)
+    body = rows.where(F.col(order) > head[order])
+    return body.select(*[(F.col(at[w.lower()]) if w.lower() in at else F.lit(None).cast("string")).alias(w) for w in wanted])

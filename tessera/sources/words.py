@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id string, page int, word_seq int, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double"
@@ -35,6 +35,11 @@ def from_text(docs: DataFrame, *, char: float = 5.0, line: float = 12.0, lines_p
     return placed.select("doc_id", "page", (F.col("at") * 10000 + F.col("k")).cast("int").alias("word_seq"), "text", "x0", y.cast("double").alias("y0"), (F.col("x0") + F.length("text") * char).alias("x1"), (y + 10).cast("double").alias("y1"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
 
 
+def snapped(value: Column, step: float = 10.0) -> Column:
+    """A coordinate snapped down to a multiple of the step, so that small shifts of a layout do not show."""
+    return F.floor(value / step) * step
+
+
 def page_counts(documents: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
     """(doc, pages): the last page of each document, 0 for one of which no page could be read."""
     last = pages.groupBy(doc).agg(F.max(page).alias("pages"))
