@@ -29,8 +29,8 @@ from .common import SLICE_BYTES, Rolling, Workspace, mix, slices, utf8
 
 #: Distinct texts of one hash that are sorted in one task; beyond it windows are counted by hash.
 GROUP = 2000
-#: Bytes of whole groups that are put into suffix order at once.
-SORT_BYTES = 1 << 19
+#: Bytes of whole groups that are put into suffix order at once: few, so that ranks stay in caches.
+SORT_BYTES = 1 << 16
 
 #: Base of the gram hashes, modulo 2**64.  They only say which records are compared: equal grams agree, and others that do cost time.
 GRAM_BASE = 0x5851F42D4C957F2D
