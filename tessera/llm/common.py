@@ -180,6 +180,37 @@ class Rolling:
         return self._both([_folded(_folded(s[cut] - s[start]) * down[start]) + _folded(_folded(s[end] - s[follow]) * down[follow - cut + start]) for s, down in self.parts])
 
 
+class Plain:
+    """Hashes of ranges like Rolling's, modulo 2**64 and cheaper.  They only choose what is compared: equal ranges agree, but ranges made for it can agree as well."""
+
+    BASE = 0x5851F42D4C957F2D
+    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._powers[0]) >= n:
+            return cls._powers
+        both = []
+        for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
+            p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        if n <= 8 * SLICE_BYTES:
+            cls._powers = (both[0], both[1])
+        return both[0], both[1]
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        up, self.down = self.powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
+
+    def joined(self, start: np.ndarray, cut: np.ndarray, follow: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the items from start to cut with those from follow to end behind them."""
+        s, down = self.sums, self.down
+        return mix((s[cut] - s[start]) * down[start] + (s[end] - s[follow]) * down[follow - cut + start])
+
+
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b).
 

@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, Workspace, own_names, slices
+from .common import Plain, Rolling, Workspace, own_names, slices
 
 LEAST, PARTS = 24, 24
 #: Least length for the search of one edit, a twelfth of the line at most, and blocks of lines shorter than PARTS.
 NEAR, FEW = 12, 4
 _STRIP = " \t\r\x0b\x0c"
-_BLANKS = np.array([ord(c) for c in _STRIP + "\n"], np.uint32)
+_BLANK = np.zeros(128, bool)
+_BLANK[[ord(c) for c in _STRIP + "\n"]] = True
 SCANNED = "id long, k long, n int, h1 long, h2 long, keys array<long>"
 KEYS = "h1 long, h2 long, key long, hole_from int, hole_to int"
 #: Block sizes: whole numbers in steps of about an eighth.
@@ -63,7 +64,7 @@ def line_spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     ends = np.append(breaks, len(codes))
     end = np.minimum(ends[np.searchsorted(breaks, start)], offsets[text + 1])
     number = np.arange(len(start)) - np.searchsorted(start, offsets[text])
-    solid = np.flatnonzero(~np.isin(codes, _BLANKS))
+    solid = np.flatnonzero(~_BLANK[np.minimum(codes, 127)])
     lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, end)
     full = lo < hi
     start, end = start.copy(), end.copy()
@@ -79,7 +80,7 @@ def _digests(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return np.frombuffer(both, np.int64).reshape(-1, 2)
 
 
-def block_keys(roll: Rolling, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+def block_keys(roll: Plain, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
     """(line, key, from, to): keys of each line less one block, and the hole that the block leaves.
 
     With block size S <= n / parts, an edit at p in block i = p // S (the last block takes the rest) leaves
@@ -110,7 +111,7 @@ def _scanned(least: int, near: int, parts: int):
                     text, number, start, end = line_spans(codes, offsets)
                     long = end - start >= least
                     text, number, start, end = text[long], number[long], start[long], end[long]
-                    roll, h = Rolling(codes), _digests(codes, start, end)
+                    roll, h = Plain(codes), _digests(codes, start, end)
                     far = np.flatnonzero(end - start >= near)
                     row, key, _, _ = block_keys(roll, start[far], end[far], parts)
                     row = far[row]
@@ -142,7 +143,7 @@ def _fine_keys(parts: int):
             for big in batches:
                 for b in slices(big, "line"):
                     codes, offsets = _codes(b.column(2).to_pylist())
-                    roll, start, end = Rolling(codes), offsets[:-1], offsets[1:]
+                    roll, start, end = Plain(codes), offsets[:-1], offsets[1:]
                     # two lines of which one has `parts` characters share the finer blocks; both are cut into these from parts - 1 on
                     cuts = []
                     for some, count in ((np.flatnonzero(end - start >= parts - 1), parts), (np.flatnonzero(end - start < parts), min(FEW, parts))):
