@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, embeddings, language, licenses, lines, media, minhash, mixing, packing, quality, suffix, warc
+from . import alignment, clusters, embeddings, language, licenses, lines, media, minhash, mixing, packing, quality, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, _table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media_columns, op2_suffix_array_dedup, op3_warc, op4_line_dedup, op5_embedding_near_dedup, op6_license_scan, op7_best_fit_packing,
-        op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup, op12_quality_rules, op13_centroid_clustering,
+        op8_mixing_source_weights, op9_language_id, op10_minhash_near_dedup, op11_cross_tokenizer_alignment, op12_quality_rules, op13_centroid_clustering,
     )
 }
 
