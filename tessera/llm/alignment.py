@@ -8,8 +8,7 @@ another.  Each distinct segment of the corpus is encoded and aligned once.
 Texts are dealt into blocks of bounded size.  A block holds each of its segments once and its texts as numbers of these,
 so what is joined is one row for each distinct segment of a block, not for each word.  The alignments come back to the
 block, where texts are composed.  Where a pair of ids is linked, how often it is linked corpus-wide, and which pair is
-its A id's most frequent one are counted from blocks; sums over links are added up by segment, and come back
-to the blocks as two numbers.
+its A id's most frequent one, is counted from blocks, and comes back to them by pair; sums over links are then added up by segment.
 
 Tokens of both sides are cut into groups where both end at the same byte; all A and B tokens of a group are linked.  A null
 or empty text has no tokens, and neither has one whose tokens do not spell it (as with U+2581, which B reads as a space): zeros
@@ -24,7 +23,6 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,6 +37,8 @@ from .common import Workspace
 FOLDER = "/opt/tokenizers"
 #: B's mark of a space; characters of texts that make a block (a longer text is one by itself); segments encoded at once.
 MARK, BLOCK, BATCH = "▁", 4 << 20, 4096
+#: Blocks of a task, as a power of two.
+PER_TASK = 13
 
 
 def byte_letters() -> dict[str, int]:
@@ -112,11 +112,21 @@ def cut_pattern(vocabularies: Vocabularies) -> str:
     return f"(?<=[^\\s{MARK}{re.escape(''.join(sorted(c for c in chars if not c.isspace())))}]) "
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**31, compressed."""
+    return np.int32(len(x)).tobytes() + pa.compress(np.ascontiguousarray(x, np.int32), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    return np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.int32)
+
+
 def _blocks(pattern: str, size: int):
     """Rows (block, id, places): texts as places in their block's segments, and for each block a row with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, block, there = re.compile(pattern), TaskContext.get().partitionId() << 32, 0
+        cut, block, there = re.compile(pattern), TaskContext.get().partitionId() << PER_TASK, 0
         ids, places, known = [], [], {}
 
         def done() -> pa.RecordBatch:
@@ -125,7 +135,7 @@ def _blocks(pattern: str, size: int):
                 {
                     "block": pa.array([block] * (n + 1), pa.int64()),
                     "id": pa.array([*ids, None], id_type),
-                    "places": pa.array([*places, None], pa.list_(pa.int32())),
+                    "places": pa.array([*places, None], pa.binary()),
                     "segments": pa.array([None] * n + [list(known)], pa.list_(pa.string())),
                 }
             )
@@ -136,14 +146,16 @@ def _blocks(pattern: str, size: int):
                 text = text.as_py()
                 if not text:
                     ids.append(i)
-                    places.append([])
+                    places.append(None)
                     continue
                 if there and there + len(text) > size:
                     yield done()
                     ids, places, known, there, block = [], [], {}, 0, block + 1
+                    if not block % (1 << PER_TASK):
+                        raise ValueError("a task has too many blocks: make them larger")
                 parts = cut.split(text)
                 ids.append(i)
-                places.append(np.fromiter((known.setdefault(x, len(known)) for x in parts), np.int32, len(parts)))
+                places.append(packed(np.fromiter((known.setdefault(x, len(known)) for x in parts), np.int32, len(parts))))
                 there += len(text)
         if ids:
             yield done()
@@ -169,94 +181,128 @@ def aligned(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) ->
 
 
 def _align(open_vocabularies):
+    """Segments with their groups as text; empty where the tokens do not spell the segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc: Encoders = open_vocabularies()
         a_bytes, b_bytes = enc.a_bytes, enc.b_bytes
         a_size, b_size = [*map(len, a_bytes)], [*map(len, b_bytes)]
         for big in batches:
             for at in range(0, big.num_rows, BATCH):
-                part = big.slice(at, BATCH)
-                segments = part.column(1).to_pylist()
-                rows = []
-                for s, (a, b) in zip(segments, enc.ids(segments), strict=True):
+                segments = big.column(0).slice(at, BATCH)
+                names, groups = segments.to_pylist(), []
+                for s, (a, b) in zip(names, enc.ids(names), strict=True):
                     want = b" " + s.encode()
                     if b"".join([a_bytes[i] for i in a]) != want or b"".join([b_bytes[i] for i in b]) != want:
-                        rows.append((False, 0, 0, 0, 0, "", [], []))
-                        continue
-                    groups, links, n = [], {}, 0
-                    for x, y in aligned(a, b, a_size, b_size):
-                        groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-                        n += len(x) * len(y)
-                        if len(x) == 1 or len(y) == 1:
-                            for p in x:
-                                for q in y:
-                                    links[p << 32 | q] = links.get(p << 32 | q, 0) + 1
-                        else:  # long groups: different ids only
-                            for p, c in Counter(x).items():
-                                for q, d in Counter(y).items():
-                                    links[p << 32 | q] = links.get(p << 32 | q, 0) + c * d
-                    rows.append((True, len(a), len(b), len(groups), n, ";".join(groups), list(links), list(links.values())))
-                columns = [*zip(*rows, strict=True)]
-                types = [pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["sid", "segment", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+                        groups.append("")
+                    elif len(a) == 1 or len(b) == 1:
+                        groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+                    else:
+                        groups.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in aligned(a, b, a_size, b_size)]))
+                yield pa.record_batch({"segment": segments, "groups": pa.array(groups, pa.string())})
 
     return run
 
 
-SUMS = ("n_a", "n_b", "n_groups", "n_links")
+class Parsed(NamedTuple):
+    """The groups of segments as numbers: of each segment its sums, and its links as pairs (A id << 32 | B id) with how often."""
+
+    sums: dict[str, np.ndarray]
+    pairs: np.ndarray
+    times: np.ndarray
+    of: np.ndarray  # the segment of each pair, ascending
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of a list column."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = lists.offsets.to_numpy()
-    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+SUMS = ("n_a", "n_b", "n_groups", "n_links")
+#: Links of a group that are written out one by one; those of longer groups are counted by id.
+WIDE = 4096
+
+
+def parsed(groups: list[str]) -> Parsed:
+    """Reads texts of groups; an empty one has none."""
+    n = len(groups)
+    some = np.array([k for k, g in enumerate(groups) if g], np.int64)
+    text = "".join([f"{g}\n" for g in groups if g]).encode()
+    raw = np.frombuffer(text, np.uint8)
+    marks = raw[(raw < 48) | (raw > 57)]  # the character behind each number
+    ids = np.array(text.translate(bytes.maketrans(b",|;\n", b"    ")).split(), np.int64) if text else np.zeros(0, np.int64)
+    bar, last, line = marks == ord("|"), (marks == ord(";")) | (marks == ord("\n")), marks == ord("\n")
+    group, bars = np.cumsum(last) - last, np.cumsum(bar) - bar
+    second = bars > group
+    many = int(last.sum())
+    size_a, size_b = np.bincount(group[~second], minlength=many), np.bincount(group[second], minlength=many)
+    segment = some[(np.cumsum(line) - line)[last]] if len(some) else np.zeros(0, np.int64)  # of each group
+    a, b, links = ids[~second], ids[second], size_a * size_b
+    sums = {k: np.bincount(segment, v, n).astype(np.int64) for k, v in zip(SUMS, (size_a, size_b, np.ones(many), links), strict=True)}
+    start_a, start_b, narrow = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b, np.flatnonzero(links <= WIDE)
+    each = np.repeat(narrow, links[narrow])
+    step = np.arange(len(each)) - np.repeat(np.cumsum(links[narrow]) - links[narrow], links[narrow])
+    pairs = [a[start_a[each] + step // size_b[each]] << 32 | b[start_b[each] + step % size_b[each]]]
+    times, of = [np.ones(len(each), np.int64)], [segment[each]]
+    for g in np.flatnonzero(links > WIDE):
+        (x, c), (y, d) = (np.unique(v[s[g] : s[g] + z[g]], return_counts=True) for v, s, z in ((a, start_a, size_a), (b, start_b, size_b)))
+        pairs.append((x[:, None] << 32 | y[None, :]).ravel())
+        times.append((c[:, None] * d[None, :]).ravel())
+        of.append(np.full(len(x) * len(y), segment[g]))
+    pairs, times, of = (np.concatenate(v) for v in (pairs, times, of))
+    order = np.argsort(of, kind="stable")
+    return Parsed(sums, pairs[order], times[order], of[order])
 
 
 def _sorted(table: pa.Table) -> pa.Table:
-    return table.sort_by("no").combine_chunks()
+    return table.sort_by("at").combine_chunks()
 
 
 def _composed(texts: pa.Table, segments: pa.Table) -> pa.Table:
-    """A block's texts with their sums and digests, and a row of its pairs with the number of texts that hold them."""
-    texts, segments = texts.combine_chunks(), _sorted(segments)
-    places, at = _flat(texts.column("places"))
-    sums = {k: segments.column(k).to_numpy() for k in SUMS}
-    ok, groups = segments.column("ok").to_numpy(zero_copy_only=False), np.array([*segments.column("groups").to_pylist(), None], object)
-    pairs, of = _flat(segments.column("pairs"))
-    pairs, local = np.unique(pairs, return_inverse=True)
-    holding, rows = np.zeros(len(pairs), np.int64), []
-    for k in range(len(at) - 1):
-        own = places[at[k] : at[k + 1]]
+    """A block's texts with their sums and digests, and a row of its pairs: in how many texts they are, and which segments have them."""
+    groups = _sorted(segments).column("groups").to_pylist()
+    found = parsed(groups)
+    ok, names = np.array([bool(g) for g in groups]), np.array([*groups, None], object)
+    pairs, local = np.unique(found.pairs, return_inverse=True)
+    begin = np.searchsorted(found.of, np.arange(len(groups) + 1))
+    holding, rows, kept = np.zeros(len(pairs), np.int64), [], []
+    for place in texts.column("places"):
+        own = unpacked(place.as_py()) if place.is_valid else np.zeros(0, np.int32)
         different = np.unique(own)
         if not len(own) or not ok[different].all():
             rows.append((0, 0, 0, 0, ""))
+            kept.append(None)
             continue
-        rows.append((*(int(sums[s][own].sum()) for s in SUMS), hashlib.sha256(";".join(groups[own].tolist()).encode()).hexdigest()))
-        sizes = of[different + 1] - of[different]
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(of[different], sizes)
+        rows.append((*(int(found.sums[s][own].sum()) for s in SUMS), hashlib.sha256(";".join(names[own].tolist()).encode()).hexdigest()))
+        kept.append(place.as_py())
+        sizes = begin[different + 1] - begin[different]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin[different], sizes)
         holding[np.unique(local[inside])] += 1
     n, held = len(rows), np.flatnonzero(holding)
-    block = texts.column("block")[0].as_py()
+    renumbered = np.cumsum(holding > 0) - 1
+    used = holding[local] > 0  # pairs of no text's count for nothing
     columns = [*zip(*rows, strict=True)]
-    out = {"block": pa.array([block] * (n + 1), pa.int64()), "id": pa.concat_arrays([texts.column("id").combine_chunks(), pa.nulls(1, texts.schema.field("id").type)])}
-    out["places"] = pa.array([*(places[at[k] : at[k + 1]] if c[-1] else [] for k, c in enumerate(rows)), None], pa.list_(pa.int32()))
+    out = {"block": pa.array([texts.column("block")[0].as_py()] * (n + 1), pa.int64())}
+    out["id"] = pa.array([*texts.column("id").to_pylist(), None], texts.schema.field("id").type)
+    out["places"] = pa.array([*kept, None], pa.binary())
     out |= {s: pa.array([*columns[k], 0], pa.int64()) for k, s in enumerate(SUMS)}
     out["groups_sha256"] = pa.array([*columns[len(SUMS)], ""], pa.string())
-    for name, values in (("sids", segments.column("sid").to_numpy()), ("pairs", pairs[held]), ("texts", holding[held])):
+    for name, values in (("pairs", pairs[held]), ("texts", holding[held])):
         out[name] = pa.array([None] * n + [values], pa.list_(pa.int64()))
+    for name, values in (("of", np.append(found.of[used], len(groups))), ("pair", renumbered[local[used]])):
+        out[name] = pa.array([None] * n + [packed(values)], pa.binary())
+    out["times"] = pa.array([None] * n + [found.times[used]], pa.list_(pa.int64()))
     return pa.table(out)
 
 
-def _summed(texts: pa.Table, segments: pa.Table) -> pa.Table:
-    texts, segments = texts.combine_chunks(), _sorted(segments)
-    places, at = _flat(texts.column("places"))
+def _summed(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    """A block's texts with their sums over links; the block's own row has the links of its segments."""
+    counts = _sorted(counts)
+    whole = texts.filter(texts.column("of").is_valid()).to_pylist()[0]
+    texts = texts.filter(texts.column("of").is_null())
+    of, pair, times = unpacked(whole["of"]), unpacked(whole["pair"]), np.array(whole["times"], np.int64)
+    of, segments = of[:-1], int(of[-1])
+    per = {name: np.zeros(segments, np.int64) for name in ("n_best", "count_sum")}
+    for name, column in (("n_best", "best"), ("count_sum", "n")):
+        np.add.at(per[name], of, times * counts.column(column).to_numpy()[pair])
     out = {k: texts.column(k) for k in ("id", *SUMS, "groups_sha256")}
-    for name in ("n_best", "count_sum"):
-        running = np.concatenate([[0], np.cumsum(segments.column(name).to_numpy()[places])])
-        out[name] = pa.array(running[at[1:]] - running[at[:-1]], pa.int64())
-    return pa.table(out)
+    places = [unpacked(p.as_py()) if p.is_valid else np.zeros(0, np.int32) for p in texts.column("places")]
+    return pa.table(out | {name: pa.array([int(v[p].sum()) for p in places], pa.int64()) for name, v in per.items()})
 
 
 def align(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabularies: Vocabularies | None = None, block_chars: int = BLOCK) -> DataFrame:
@@ -266,26 +312,26 @@ def align(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     work = Workspace(spark, "alignment")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    blocks = work.put(rows.mapInArrow(_blocks(cut_pattern(vocabularies), block_chars), f"block long, id {id_type}, places array<int>, segments array<string>"), "blocks")
-    uses = blocks.where("segments is not null").select("block", F.posexplode("segments").alias("no", "segment"))
-    distinct = work.put(uses.select("segment").distinct().select(F.monotonically_increasing_id().alias("sid"), "segment"), "segments")
-    encoded = distinct.mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "sid long, segment string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
-    found = work.put(encoded, "aligned")
-    work.remove(distinct)
-    back = uses.join(found.select("segment", "sid", "ok", *SUMS, "groups", "pairs").hint("merge"), "segment").select(F.col("block").alias("of"), "no", "sid", "ok", *SUMS, "groups", "pairs")
+    blocks = work.put(rows.mapInArrow(_blocks(cut_pattern(vocabularies), block_chars), f"block long, id {id_type}, places binary, segments array<string>"), "blocks")
+    # a block and a place in it are one number
+    uses = blocks.where("segments is not null").select("block", F.posexplode("segments").alias("no", "segment")).select((F.shiftleft("block", 32) + F.col("no")).alias("at"), "segment")
+    found = work.put(uses.select("segment").distinct().mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "segment string, groups string"), "aligned")
+    work.sweep()
+    block_of = F.shiftright("at", 32)
+    back = uses.join(found.hint("merge"), "segment").select("at", "groups")
     texts = blocks.where("segments is null").select("block", "id", "places")
-    out = f"block long, id {id_type}, places array<int>, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, sids array<long>, pairs array<long>, texts array<long>"
-    composed = work.put(texts.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_composed, out), "composed")
+    out = f"block long, id {id_type}, places binary, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, pairs array<long>, texts array<long>, of binary, pair binary, times array<long>"
+    composed = work.put(texts.groupBy("block").cogroup(back.groupBy(block_of.alias("b"))).applyInArrow(_composed, out), "composed")
     work.remove(blocks)
+    work.remove(found)
     work.sweep()
-    held = composed.where("sids is not null")
-    counts = work.put(held.select(F.explode(F.arrays_zip("pairs", "texts")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.texts").alias("n")), "pairs")
+    held = composed.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "texts")).alias("no", "p"))
+    held = held.select((F.shiftleft("block", 32) + F.col("no")).alias("at"), F.col("p.pairs").alias("pair"), F.col("p.texts").alias("texts"))
+    counts = work.put(held.groupBy("pair").agg(F.sum("texts").alias("n")), "pairs")
     first = F.shiftrightunsigned("pair", 32)
     best = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))
     ranked = counts.withColumn("a", first).join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    linked = found.select("sid", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("sid", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
-    scores = work.put(linked.join(ranked.hint("merge"), "pair").groupBy("sid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")), "scores")
-    scored = held.select("block", F.posexplode("sids").alias("no", "sid")).join(scores.hint("merge"), "sid", "left").select(F.col("block").alias("of"), "no", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")])
-    own = composed.where("sids is null").select("block", "id", "places", *SUMS, "groups_sha256")
-    done = own.groupBy("block").cogroup(scored.groupBy("of")).applyInArrow(_summed, f"id {id_type}, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, n_best long, count_sum long")
+    scored = held.join(ranked.hint("merge"), "pair").select("at", "n", "best")
+    own = composed.drop("pairs", "texts")
+    done = own.groupBy("block").cogroup(scored.groupBy(block_of.alias("b"))).applyInArrow(_summed, f"id {id_type}, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, n_best long, count_sum long")
     return done.select(F.col("id").alias(id_col), *SUMS, "n_best", "count_sum", "groups_sha256")

@@ -108,3 +108,20 @@ def test_vocabularies_without_proof_are_refused():
 def test_groups_end_where_both_sides_end():
     assert list(alignment.aligned([0, 0], [1, 1, 1], [3, 0], [0, 2])) == [([0, 0], [1, 1, 1])]
     assert list(alignment.aligned([0, 0, 1], [1, 1], [1, 2], [0, 2])) == [([0, 0], [1]), ([1], [1])]
+
+
+@given(st.lists(st.lists(st.tuples(st.lists(st.integers(0, 99), min_size=1, max_size=5), st.lists(st.integers(0, 9), min_size=1, max_size=5)), max_size=4), max_size=6), st.sampled_from([0, 3, alignment.WIDE]))
+@settings(max_examples=150, deadline=None)
+def test_groups_are_read_back(segments, wide):
+    before, alignment.WIDE = alignment.WIDE, wide
+    try:
+        got = alignment.parsed([";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups) for groups in segments])
+    finally:
+        alignment.WIDE = before
+    for k, groups in enumerate(segments):
+        want = Counter((x, y) for a, b in groups for x in a for y in b)
+        mine = Counter()
+        for p, t in zip(got.pairs[got.of == k].tolist(), got.times[got.of == k].tolist(), strict=True):
+            mine[p >> 32, p & 0xFFFFFFFF] += t
+        assert mine == want
+        assert [int(got.sums[s][k]) for s in alignment.SUMS] == [sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(want.values())]
