@@ -6,8 +6,8 @@ of words ends there as well.  So no merge crosses a cut, and the tokens of a tex
 another.  Each distinct segment of the corpus is encoded and aligned once.
 
 Texts are dealt into blocks of bounded size.  A block holds each of its segments once and its texts as numbers of these,
-so what is joined is one row for each distinct segment of a block, not for each word.  The alignments come back to the
-block, where texts are composed.  Where a pair of ids is linked, how often it is linked corpus-wide, and which pair is
+so what is shuffled is one row for each distinct segment of a block, not for each word: first to where equal segments of all
+blocks meet, then with its alignment back to the block, where texts are composed.  Where a pair of ids is linked, how often it is linked corpus-wide, and which pair is
 its A id's most frequent one, is counted from blocks, and comes back to them by pair; sums over links are then added up by segment.
 
 Tokens of both sides are cut into groups where both end at the same byte; all A and B tokens of a group are linked.  A null
@@ -36,7 +36,7 @@ from .common import Workspace
 
 FOLDER = "/opt/tokenizers"
 #: B's mark of a space; characters of texts that make a block (a longer text is one by itself); segments encoded at once.
-MARK, BLOCK, BATCH = "▁", 4 << 20, 4096
+MARK, BLOCK, BATCH = "▁", 16 << 20, 4096
 #: Blocks of a task, as a power of two.
 PER_TASK = 13
 
@@ -181,17 +181,22 @@ def aligned(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) ->
 
 
 def _align(open_vocabularies):
-    """Segments with their groups as text; empty where the tokens do not spell the segment."""
+    """Rows (at, segment), in order of segments, as (at, groups): a run of equal segments is encoded once; groups are text, empty where the tokens do not spell the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc: Encoders = open_vocabularies()
         a_bytes, b_bytes = enc.a_bytes, enc.b_bytes
         a_size, b_size = [*map(len, a_bytes)], [*map(len, b_bytes)]
+        last: tuple[str | None, str] = (None, "")
         for big in batches:
             for at in range(0, big.num_rows, BATCH):
-                segments = big.column(0).slice(at, BATCH)
-                names, groups = segments.to_pylist(), []
-                for s, (a, b) in zip(names, enc.ids(names), strict=True):
+                part = big.slice(at, BATCH)
+                runs = part.column(1).dictionary_encode()
+                names, groups = runs.dictionary.to_pylist(), []
+                known = names[:1] == [last[0]]  # a run goes on from the rows before
+                if known:
+                    groups.append(last[1])
+                for s, (a, b) in zip(names[known:], enc.ids(names[known:]), strict=True):
                     want = b" " + s.encode()
                     if b"".join([a_bytes[i] for i in a]) != want or b"".join([b_bytes[i] for i in b]) != want:
                         groups.append("")
@@ -199,7 +204,8 @@ def _align(open_vocabularies):
                         groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
                     else:
                         groups.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in aligned(a, b, a_size, b_size)]))
-                yield pa.record_batch({"segment": segments, "groups": pa.array(groups, pa.string())})
+                last = (names[-1], groups[-1])
+                yield pa.record_batch({"at": part.column(0), "groups": pa.array(groups, pa.string()).take(runs.indices)})
 
     return run
 
@@ -225,7 +231,7 @@ def parsed(groups: list[str]) -> Parsed:
     text = "".join([f"{g}\n" for g in groups if g]).encode()
     raw = np.frombuffer(text, np.uint8)
     marks = raw[(raw < 48) | (raw > 57)]  # the character behind each number
-    ids = np.array(text.translate(bytes.maketrans(b",|;\n", b"    ")).split(), np.int64) if text else np.zeros(0, np.int64)
+    ids = np.fromstring(text.translate(bytes.maketrans(b",|;\n", b"    ")).decode(), np.int64, sep=" ")
     bar, last, line = marks == ord("|"), (marks == ord(";")) | (marks == ord("\n")), marks == ord("\n")
     group, bars = np.cumsum(last) - last, np.cumsum(bar) - bar
     second = bars > group
@@ -315,15 +321,13 @@ def align(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     blocks = work.put(rows.mapInArrow(_blocks(cut_pattern(vocabularies), block_chars), f"block long, id {id_type}, places binary, segments array<string>"), "blocks")
     # a block and a place in it are one number
     uses = blocks.where("segments is not null").select("block", F.posexplode("segments").alias("no", "segment")).select((F.shiftleft("block", 32) + F.col("no")).alias("at"), "segment")
-    found = work.put(uses.select("segment").distinct().mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "segment string, groups string"), "aligned")
-    work.sweep()
+    # equal segments of all blocks stand one after another in one task; a block has each once, so none is long
+    back = uses.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "at long, groups string")
     block_of = F.shiftright("at", 32)
-    back = uses.join(found.hint("merge"), "segment").select("at", "groups")
     texts = blocks.where("segments is null").select("block", "id", "places")
     out = f"block long, id {id_type}, places binary, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, pairs array<long>, texts array<long>, of binary, pair binary, times array<long>"
     composed = work.put(texts.groupBy("block").cogroup(back.groupBy(block_of.alias("b"))).applyInArrow(_composed, out), "composed")
     work.remove(blocks)
-    work.remove(found)
     work.sweep()
     held = composed.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "texts")).alias("no", "p"))
     held = held.select((F.shiftleft("block", 32) + F.col("no")).alias("at"), F.col("p.pairs").alias("pair"), F.col("p.texts").alias("texts"))
