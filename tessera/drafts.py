@@ -39,12 +39,6 @@ def aut05_sample_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authoring.sample_then_replay(x.where("l_linenumber <= 3"), x.where("l_partkey % 9 <> 0"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
-@query("select p_partkey, case when p_size >= 20 then 'strong' when p_size >= 10 or p_partkey % 2 = 0 then 'fair' else 'weak' end level from part")
-def aut06_evidence_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.floor(F.col("p_size") / 10)
-    return table(spark, sf_dir, "part").select("p_partkey", authoring.evidence_level(n, n, F.col("p_partkey") % 2 == 0).alias("level"))
-
-
 @query("select n_nationkey, case when n_nationkey % 2 = 0 then 'draft' when n_nationkey % 3 = 0 then n_name end label from nation where n_nationkey % 2 = 0 or n_nationkey % 3 = 0")
 def aut07_merged_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("label"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .needles import PART, matches
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given, ties broken by it too."""
@@ -86,27 +88,30 @@ def _grams(gram: int, window: int):
     return run
 
 
-def contained(needles: DataFrame, texts: DataFrame, *, needle: str, text: str, needle_key: str, text_key: str, strip: str = r"[\s,\-]+", gram: int = 8, window: int = 8) -> DataFrame:
+def contained(needles: DataFrame, texts: DataFrame, *, needle: str, text: str, needle_key: str, text_key: str, strip: str = r"[\s,\-]+", gram: int = 8, window: int = 8, part: int = PART) -> DataFrame:
     """(needle_key, text_key) of the texts that hold a needle, in any case and blind to what the pattern strips.
 
-    Texts are indexed by minimizers of their bytes, of which a needle of gram + window - 1 bytes and more has
-    one at least; needle and text meet in an equi-join on the needle's rarest hash and are then compared.  Shorter
-    needles, if there are any, are looked for in every text.  Blank needles are nowhere.
+    Needles of up to `part` bytes together are found by one pass over the texts, with an automaton.  Of a larger set,
+    those of gram + window - 1 bytes and more are looked up in an index: texts are indexed by minimizers of their bytes,
+    of which such a needle has one at least; needle and text meet in an equi-join on the needle's rarest hash and are then
+    compared.  Its shorter ones go by automata, part by part.  Blank needles are nowhere.
     """
     bare = lambda c: F.regexp_replace(F.lower(F.col(c)), strip, "")
     n = needles.select(F.col(needle_key).alias("_n"), bare(needle).alias("_needle")).where("_needle <> ''")
     x = texts.select(F.col(text_key).alias("_x"), bare(text).alias("_text")).where("_text is not null")
-    kind = lambda df: df.schema[0].dataType.simpleString()
-    indexed = x.mapInArrow(_grams(gram, window), f"key {kind(x)}, gram long")
     long = F.octet_length("_needle") >= gram + window - 1
-    looked = n.where(long).mapInArrow(_grams(gram, window), f"key {kind(n)}, gram long").withColumnRenamed("key", "_n")
-    shared = indexed.join(looked.select("gram").distinct(), "gram", "left_semi")
-    often = shared.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = looked.join(often, "gram", "left").groupBy("_n").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    pairs = shared.join(rarest, "gram").select("_n", F.col("key").alias("_x")).distinct().join(n, "_n").join(x, "_x").where(F.contains("_text", "_needle"))
-    short = n.where(~long)
-    if not short.isEmpty():
-        pairs = pairs.select("_n", "_x").union(x.join(short, F.contains("_text", "_needle")).select("_n", "_x"))
+    size = n.agg(F.sum(F.octet_length("_needle")).alias("bytes"), F.count_if(~long).alias("short")).first()
+    few = (size.bytes or 0) <= part
+    pairs = matches(x, "_text", n if few else n.where(~long), "_needle", part=part).select("_x", F.col("needle").alias("_needle")).join(n, "_needle").select("_n", "_x") if few or size.short else None
+    if not few:
+        kind = lambda df: df.schema[0].dataType.simpleString()
+        indexed = x.mapInArrow(_grams(gram, window), f"key {kind(x)}, gram long")
+        looked = n.where(long).mapInArrow(_grams(gram, window), f"key {kind(n)}, gram long").withColumnRenamed("key", "_n")
+        shared = indexed.join(looked.select("gram").distinct(), "gram", "left_semi")
+        often = shared.groupBy("gram").agg(F.count("*").alias("df"))
+        rarest = looked.join(often, "gram", "left").groupBy("_n").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+        met = shared.join(rarest, "gram").select("_n", F.col("key").alias("_x")).distinct().join(n, "_n").join(x, "_x").where(F.contains("_text", "_needle")).select("_n", "_x")
+        pairs = met if pairs is None else pairs.union(met)
     return pairs.select(F.col("_n").alias(needle_key), F.col("_x").alias(text_key)).distinct()
 
 

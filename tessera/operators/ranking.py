@@ -100,4 +100,4 @@ def headings(rows: DataFrame, keys: list[str], order: str, text: str, preferred:
 
 def safe_marker(text: Column) -> Column:
     """Whether a text may serve as a marker: no four digits in a row, no date, and two words of three letters."""
-    return ~text.rlike(r"\d{4,}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}") & (F.size(F.regexp_extract_all(text, F.lit("([A-Za-z]{3,})"), F.lit(1))) >= 2)
+    return ~text.rlike(r"\d{4,}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}") & (F.size(F.regexp_extract_all(text, F.lit("([A-Za-zÀ-ÿ]{3,})"), F.lit(1))) >= 2)

@@ -326,15 +326,6 @@ def jn34_field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.best_evidence(fields, lines, ["o_custkey"], F.array("value"), F.lit(1), ["o_orderkey"]).select("o_custkey", "name", "o_orderkey")
 
 
-@query("select s_suppkey, s_suppkey + 0 as doc, 2 as score from supplier")
-def jn22_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier")
-    refs = s.select("s_suppkey", F.explode(F.array(F.concat(F.lit("N"), k), F.concat(F.lit("acc"), k % 7), F.lit("none"))).alias("value"))
-    tokens = s.select(k.alias("doc"), F.explode(F.array(F.concat(F.lit("n"), k), F.concat(F.lit("ACC"), k % 7))).alias("token"))
-    return policies.linked(refs, tokens, "s_suppkey", "doc")
-
-
 @query("select n_nationkey, case when n_nationkey % 2 = 0 then 'Over' else n_name end as header from nation")
 def jn27_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("header"))
