@@ -24,10 +24,12 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from .common import Workspace
 
 FOLDER = "/opt/tokenizers"
 #: B's mark of a space; characters of texts that make a block (a longer text is one by itself); segments encoded at once.
-MARK, BLOCK, BATCH = "▁", 16 << 20, 4096
+MARK, BLOCK, BATCH = "▁", 12 << 20, 4096
 #: Blocks of a task, as a power of two.
 PER_TASK = 13
 
@@ -82,11 +84,11 @@ class Encoders(NamedTuple):
     a_bytes: list[bytes]
     b_bytes: list[bytes]
 
-    def ids(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of a space and each segment, in A and in B, which adds the space itself, though not before nothing."""
-        both = self.a.encode_batch([f" {x}" for x in segments], add_special_tokens=False)
+        both = self.a.encode_batch_fast([f" {x}" for x in segments], add_special_tokens=False)
         alone = [self.b.piece_to_id(MARK)]
-        return ((x.ids, y if s else alone) for x, y, s in zip(both, self.b.encode(segments, num_threads=1), segments, strict=True))
+        return [x.ids for x in both], [y if s else alone for y, s in zip(self.b.encode(segments, num_threads=1), segments, strict=True)]
 
 
 def cut_pattern(vocabularies: Vocabularies) -> str:
@@ -122,12 +124,21 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.int32)
 
 
+class Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def _blocks(pattern: str, size: int):
     """Rows (block, id, places): texts as places in their block's segments, and for each block a row with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, block, there = re.compile(pattern), TaskContext.get().partitionId() << PER_TASK, 0
-        ids, places, known = [], [], {}
+        kept = re.compile(pattern.replace("(?<=[^", "(?:^|[", 1).replace("])", "])", 1))  # a space that is no place to cut at
+        ids, places, known = [], [], Numbers()
 
         def done() -> pa.RecordBatch:
             n = len(ids)
@@ -150,12 +161,12 @@ def _blocks(pattern: str, size: int):
                     continue
                 if there and there + len(text) > size:
                     yield done()
-                    ids, places, known, there, block = [], [], {}, 0, block + 1
+                    ids, places, known, there, block = [], [], Numbers(), 0, block + 1
                     if not block % (1 << PER_TASK):
                         raise ValueError("a task has too many blocks: make them larger")
-                parts = cut.split(text)
+                parts = cut.split(text) if kept.search(text) else text.split(" ")
                 ids.append(i)
-                places.append(packed(np.fromiter((known.setdefault(x, len(known)) for x in parts), np.int32, len(parts))))
+                places.append(packed(np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))))
                 there += len(text)
         if ids:
             yield done()
@@ -163,21 +174,30 @@ def _blocks(pattern: str, size: int):
     return run
 
 
-def aligned(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """The groups of tokens between common ends; both sides spell the same bytes."""
-    i = j = 0
-    while i < len(a):
-        i0, j0 = i, j
-        x, y = a_size[a[i]], b_size[b[j]]
-        i, j = i + 1, j + 1
-        while x != y:
-            if x < y:
-                x += a_size[a[i]]
-                i += 1
-            else:
-                y += b_size[b[j]]
-                j += 1
-        yield a[i0:i], b[j0:j]
+def groups_of(a: list[list[int]], b: list[list[int]], a_size: np.ndarray, b_size: np.ndarray) -> list[str]:
+    """For each segment the text of its groups, cut where tokens of both sides end; both sides spell the same bytes."""
+    if not a:
+        return []
+    flat = [np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b)]
+    ends = [np.cumsum(size[x]) for x, size in zip(flat, (a_size, b_size), strict=True)]
+    common = np.intersect1d(*ends, assume_unique=True)  # tokens have bytes, so ends ascend
+    group = [np.searchsorted(common, e) for e in ends]
+    order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+    ids, of = np.concatenate(flat)[order], np.concatenate(group)[order]
+    second = order >= len(flat[0])
+    last = np.cumsum([*map(len, a)]) - 1  # A's last token of each segment
+    closing = np.zeros(len(common), bool)
+    closing[group[0][last]] = True
+    # what stands behind an id: a comma within a side, a bar between them, a semicolon behind a group, a line's end behind a segment
+    code = np.zeros(len(ids), np.int64)
+    turns = np.append(of[1:] != of[:-1], True)
+    code[:-1][second[1:] > second[:-1]] = 1
+    code[turns] = 2
+    code[turns & closing[of]] = 3
+    text: list[str] = [""] * (2 * len(ids))
+    text[0::2] = map(str, ids.tolist())
+    text[1::2] = map(",|;\n".__getitem__, code.tolist())
+    return "".join(text).split("\n")[:-1]
 
 
 def _align(open_vocabularies):
@@ -186,24 +206,23 @@ def _align(open_vocabularies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc: Encoders = open_vocabularies()
         a_bytes, b_bytes = enc.a_bytes, enc.b_bytes
-        a_size, b_size = [*map(len, a_bytes)], [*map(len, b_bytes)]
+        a_size, b_size = (np.array([*map(len, x)], np.int64) for x in (a_bytes, b_bytes))
+        spelt = lambda table, ids: b"".join([table[i] for i in ids])
         last: tuple[str | None, str] = (None, "")
         for big in batches:
             for at in range(0, big.num_rows, BATCH):
                 part = big.slice(at, BATCH)
                 runs = part.column(1).dictionary_encode()
-                names, groups = runs.dictionary.to_pylist(), []
+                names = runs.dictionary.to_pylist()
                 known = names[:1] == [last[0]]  # a run goes on from the rows before
-                if known:
-                    groups.append(last[1])
-                for s, (a, b) in zip(names[known:], enc.ids(names[known:]), strict=True):
-                    want = b" " + s.encode()
-                    if b"".join([a_bytes[i] for i in a]) != want or b"".join([b_bytes[i] for i in b]) != want:
-                        groups.append("")
-                    elif len(a) == 1 or len(b) == 1:
-                        groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                    else:
-                        groups.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in aligned(a, b, a_size, b_size)]))
+                new = names[known:]
+                a, b = enc.ids(new)
+                want = [b" " + s.encode() for s in new]
+                groups = [""] * len(new)
+                good = [k for k, w in enumerate(want) if spelt(a_bytes, a[k]) == w and spelt(b_bytes, b[k]) == w]
+                for k, g in zip(good, groups_of([a[k] for k in good], [b[k] for k in good], a_size, b_size), strict=True):
+                    groups[k] = g
+                groups = [last[1], *groups] if known else groups
                 last = (names[-1], groups[-1])
                 yield pa.record_batch({"at": part.column(0), "groups": pa.array(groups, pa.string()).take(runs.indices)})
 
@@ -224,11 +243,11 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links")
 WIDE = 4096
 
 
-def parsed(groups: list[str]) -> Parsed:
+def parsed(groups: pa.Array) -> Parsed:
     """Reads texts of groups; an empty one has none."""
     n = len(groups)
-    some = np.array([k for k, g in enumerate(groups) if g], np.int64)
-    text = "".join([f"{g}\n" for g in groups if g]).encode()
+    some = np.flatnonzero(pc.binary_length(groups).to_numpy(zero_copy_only=False))
+    text = "".join([f"{g}\n" for g in groups.filter(pc.greater(pc.binary_length(groups), 0)).to_pylist()]).encode()
     raw = np.frombuffer(text, np.uint8)
     marks = raw[(raw < 48) | (raw > 57)]  # the character behind each number
     ids = np.fromstring(text.translate(bytes.maketrans(b",|;\n", b"    ")).decode(), np.int64, sep=" ")
@@ -261,24 +280,30 @@ def _sorted(table: pa.Table) -> pa.Table:
 
 def _composed(texts: pa.Table, segments: pa.Table) -> pa.Table:
     """A block's texts with their sums and digests, and a row of its pairs: in how many texts they are, and which segments have them."""
-    groups = _sorted(segments).column("groups").to_pylist()
+    groups = _sorted(segments).column("groups")
+    groups = groups.combine_chunks() if isinstance(groups, pa.ChunkedArray) else groups
+    groups = pa.concat_arrays([*groups.chunks, pa.array([""], pa.string())]) if isinstance(groups, pa.ChunkedArray) else pa.concat_arrays([groups, pa.array([""], pa.string())])
     found = parsed(groups)
-    ok, names = np.array([bool(g) for g in groups]), np.array([*groups, None], object)
+    names, ok = np.array(groups.to_pylist(), object), pc.binary_length(groups).to_numpy(zero_copy_only=False) > 0
+    sums = np.stack([found.sums[s] for s in SUMS], axis=1)
     pairs, local = np.unique(found.pairs, return_inverse=True)
+    local = local.astype(np.int32)
     begin = np.searchsorted(found.of, np.arange(len(groups) + 1))
     holding, rows, kept = np.zeros(len(pairs), np.int64), [], []
     for place in texts.column("places"):
         own = unpacked(place.as_py()) if place.is_valid else np.zeros(0, np.int32)
-        different = np.unique(own)
+        different = np.sort(own)
+        different = different[np.append(different[1:] != different[:-1], True)] if len(own) else own
         if not len(own) or not ok[different].all():
             rows.append((0, 0, 0, 0, ""))
             kept.append(None)
             continue
-        rows.append((*(int(found.sums[s][own].sum()) for s in SUMS), hashlib.sha256(";".join(names[own].tolist()).encode()).hexdigest()))
+        rows.append((*sums[own].sum(axis=0).tolist(), hashlib.sha256(";".join(names[own].tolist()).encode()).hexdigest()))
         kept.append(place.as_py())
         sizes = begin[different + 1] - begin[different]
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin[different], sizes)
-        holding[np.unique(local[inside])] += 1
+        inside = np.arange(sizes.sum()) + np.repeat(begin[different] - np.cumsum(sizes) + sizes, sizes)
+        some = np.sort(local[inside])
+        holding[some[np.append(some[1:] != some[:-1], True)]] += 1
     n, held = len(rows), np.flatnonzero(holding)
     renumbered = np.cumsum(holding > 0) - 1
     used = holding[local] > 0  # pairs of no text's count for nothing
