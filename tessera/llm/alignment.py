@@ -115,13 +115,15 @@ def cut_pattern(vocabularies: Vocabularies) -> str:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers below 2**31, compressed."""
-    return np.int32(len(x)).tobytes() + pa.compress(np.ascontiguousarray(x, np.int32), "zstd", asbytes=True)
+    """Whole numbers below 2**31, compressed: all first bytes, then all second ones and so on, as the high ones are alike."""
+    planes = np.ascontiguousarray(x, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.int32(len(x)).tobytes() + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     n = int(np.frombuffer(data, np.int32, 1)[0])
-    return np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.int32)
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
 class Numbers(dict):
@@ -243,8 +245,15 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links")
 WIDE = 4096
 
 
-def parsed(groups: pa.Array) -> Parsed:
-    """Reads texts of groups; an empty one has none."""
+def parsed(groups: pa.Array, slice_rows: int = 1 << 14) -> Parsed:
+    """Reads texts of groups, slice by slice, so that the wide arrays in between stay small; an empty text has none."""
+    parts = [_parsed(groups.slice(at, slice_rows)) for at in range(0, max(1, len(groups)), slice_rows)]
+    sums = {k: np.concatenate([p.sums[k] for p in parts]) for k in SUMS}
+    of = np.concatenate([p.of + np.int32(k * slice_rows) for k, p in enumerate(parts)])
+    return Parsed(sums, np.concatenate([p.pairs for p in parts]), np.concatenate([p.times for p in parts]), of)
+
+
+def _parsed(groups: pa.Array) -> Parsed:
     n = len(groups)
     some = np.flatnonzero(pc.binary_length(groups).to_numpy(zero_copy_only=False))
     text = "".join([f"{g}\n" for g in groups.filter(pc.greater(pc.binary_length(groups), 0)).to_pylist()]).encode()
@@ -271,7 +280,7 @@ def parsed(groups: pa.Array) -> Parsed:
         of.append(np.full(len(x) * len(y), segment[g]))
     pairs, times, of = (np.concatenate(v) for v in (pairs, times, of))
     order = np.argsort(of, kind="stable")
-    return Parsed(sums, pairs[order], times[order], of[order])
+    return Parsed(sums, pairs[order], times[order], of[order].astype(np.int32))
 
 
 def _sorted(table: pa.Table) -> pa.Table:
@@ -286,8 +295,8 @@ def _composed(texts: pa.Table, segments: pa.Table) -> pa.Table:
     found = parsed(groups)
     names, ok = np.array(groups.to_pylist(), object), pc.binary_length(groups).to_numpy(zero_copy_only=False) > 0
     sums = np.stack([found.sums[s] for s in SUMS], axis=1)
-    pairs, local = np.unique(found.pairs, return_inverse=True)
-    local = local.astype(np.int32)
+    pairs = np.unique(found.pairs)
+    local = np.searchsorted(pairs, found.pairs).astype(np.int32)
     begin = np.searchsorted(found.of, np.arange(len(groups) + 1))
     holding, rows, kept = np.zeros(len(pairs), np.int64), [], []
     for place in texts.column("places"):

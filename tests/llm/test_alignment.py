@@ -113,12 +113,12 @@ def test_groups_end_where_both_sides_end():
     assert alignment.groups_of([], [], *sizes) == []
 
 
-@given(st.lists(st.lists(st.tuples(st.lists(st.integers(0, 99), min_size=1, max_size=5), st.lists(st.integers(0, 9), min_size=1, max_size=5)), max_size=4), max_size=6), st.sampled_from([0, 3, alignment.WIDE]))
+@given(st.lists(st.lists(st.tuples(st.lists(st.integers(0, 99), min_size=1, max_size=5), st.lists(st.integers(0, 9), min_size=1, max_size=5)), max_size=4), max_size=6), st.sampled_from([0, 3, alignment.WIDE]), st.integers(1, 4))
 @settings(max_examples=150, deadline=None)
-def test_groups_are_read_back(segments, wide):
+def test_groups_are_read_back(segments, wide, rows):
     before, alignment.WIDE = alignment.WIDE, wide
     try:
-        got = alignment.parsed(pa.array([";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups) for groups in segments], pa.string()))
+        got = alignment.parsed(pa.array([";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups) for groups in segments], pa.string()), rows)
     finally:
         alignment.WIDE = before
     for k, groups in enumerate(segments):
