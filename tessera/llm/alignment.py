@@ -356,12 +356,14 @@ def align(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     # a block and a place in it are one number
     uses = blocks.where("segments is not null").select("block", F.posexplode("segments").alias("no", "segment")).select((F.shiftleft("block", 32) + F.col("no")).alias("at"), "segment")
     # equal segments of all blocks stand one after another in one task; a block has each once, so none is long
-    back = uses.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "at long, groups string")
+    back = work.put(uses.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "at long, groups string"), "aligned")
+    work.sweep()
     block_of = F.shiftright("at", 32)
     texts = blocks.where("segments is null").select("block", "id", "places")
     out = f"block long, id {id_type}, places binary, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, pairs array<long>, texts array<long>, of binary, pair binary, times array<long>"
     composed = work.put(texts.groupBy("block").cogroup(back.groupBy(block_of.alias("b"))).applyInArrow(_composed, out), "composed")
     work.remove(blocks)
+    work.remove(back)
     work.sweep()
     held = composed.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "texts")).alias("no", "p"))
     held = held.select((F.shiftleft("block", 32) + F.col("no")).alias("at"), F.col("p.pairs").alias("pair"), F.col("p.texts").alias("texts"))
