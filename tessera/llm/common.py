@@ -69,7 +69,11 @@ class Workspace:
             self._delete(f)
 
     def sweep(self) -> None:
-        """Lets Spark remove the shuffle files of finished jobs, which it does once their plans are collected as garbage."""
+        """Lets Spark remove the shuffle files of finished jobs, which it does once their plans are collected as garbage.
+
+        The scheduler keeps hold of its last job, so a small one with a plan comes first.
+        """
+        self.spark.range(1).groupBy("id").count().collect()
         gc.collect()
         self.spark._jvm.System.gc()
 
