@@ -136,13 +136,6 @@ def flt33_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.detectors(p, {"table": ("id_column", "table_header"), "total": ("total_label",)}).select("p_partkey", "detectors")
 
 
-@query(f"with {ROWS_SQL} select doc_id, 'Price' as label, min_by(cast(price as varchar), i) as value from r where flag = 'N' group by 1")
-def jn24_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only rows of one flag have a number behind the label."""
-    line = F.when(flag("N"), F.concat_ws(" ", F.lit("the PRICE:"), F.col("price").cast("string"))).when(flag("A"), "price: none").otherwise("nothing")
-    return policies.label_lookup(rows(spark, sf_dir).withColumn("text", line), {"Price": "amount", "Other": "text"}, "doc_id")
-
-
 @query(f"with {ROWS_SQL} select doc_id, i, cast(price as varchar) as value from r where ln = 1")
 def exp03_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir).where("ln = 1").withColumn("line", F.concat(F.lit("Amount due: "), F.col("price").cast("string")))
