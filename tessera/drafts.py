@@ -178,12 +178,12 @@ def hsh04_session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select("user_id", F.sha2(F.concat(F.lit("s"), "user_id"), 256).alias("digest"))
 
 
-@query(f"with {ROWS_SQL} select doc_id, i, cast(10 * (i * 12 // 10) as double) y, cast(10 as double) x, flag as text from r where i < 30")
+@query(f"with {ROWS_SQL} select doc_id, i, cast(10 * (i * 12 // 10) as double) y, x, case x when 10 then flag when 120 then part else cast(price as varchar) end as text from r, (values (10.0::double), (120.0::double), (310.0::double)) c(x) where page <= 30")
 def src05_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first cell of each of a document's first rows, its place snapped to ten units."""
+    """All spans of a document's first thirty pages, their places snapped to ten units."""
     from .sources import words
 
-    cells = rows(spark, sf_dir).where("i < 30").select("doc_id", "i", F.get("cells", F.lit(0)).alias("c")).select("doc_id", "i", F.col("c.text").alias("text"), F.col("c.x0").alias("x0"), (F.col("i") * 12.0).alias("y0"))
+    cells = rows(spark, sf_dir).where("page <= 30").select("doc_id", "i", F.explode("cells").alias("c")).select("doc_id", "i", F.col("c.text").alias("text"), F.col("c.x0").alias("x0"), (F.col("i") * 12.0).alias("y0"))
     return cells.select("doc_id", "i", words.snapped(F.col("y0")).alias("y"), words.snapped(F.col("x0")).alias("x"), "text")
 
 

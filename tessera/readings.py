@@ -32,9 +32,10 @@ def num01_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, PRINTED).withColumns({"amount": amounts.printed_amount(p), "no_percent": amounts.printed_amount(p, ignore_percent=True)})
 
 
-@query(f"select {KEY}, {PRINTED} printed, cast(case l_linenumber % 7 when 0 then -l_extendedprice when 1 then l_extendedprice when 2 then null when 3 then 20 when 4 then 1234.5 when 5 then 12.5 end {N6} amount from lineitem where l_linenumber % 7 <> 2")
+@query(f"select {KEY}, {PRINTED} printed, cast(case l_linenumber % 7 when 0 then -l_extendedprice when 1 then l_extendedprice when 2 then cast('3' || {PRICE} as decimal(18,6)) when 3 then 20 when 4 then 1234.5 when 5 then 12.5 end {N6} amount from lineitem")
 def num02_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, PRINTED).where("l_linenumber % 7 <> 2").withColumn("amount", amounts.stripped_amount(F.col("printed")))
+    """All digits of a text make one number, also where two numbers stand in it."""
+    return _lines(spark, sf_dir, PRINTED).withColumn("amount", amounts.stripped_amount(F.col("printed")))
 
 
 @query(f"select {KEY}, {PRINTED} printed, cast(case l_linenumber % 7 when 0 then -l_extendedprice when 1 then l_extendedprice when 2 then l_extendedprice when 3 then 20 when 4 then 1234.5 when 5 then 1250 end {N6} last_one, cast(case l_linenumber % 7 when 0 then -l_extendedprice when 1 then l_extendedprice when 2 then 3 when 3 then 20 when 4 then 1234.5 when 5 then 1250 end {N6} first_one from lineitem")
@@ -253,11 +254,11 @@ def flt21_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.has_any(F.col("text"), "License, copyright,").alias("hit"))
 
 
-@query("select p_brand, 'sha256:' || sha256('{\"labels\":[' || coalesce(string_agg(distinct '\"' || lower(p_type) || '\"', ',' order by '\"' || lower(p_type) || '\"') filter (not regexp_matches(p_type, '\\d')), '') || '],\"table_headers\":[]}') fingerprint from (select * from part qualify dense_rank() over (partition by p_brand order by lower(p_type)) <= 30) group by 1")
+@query("select doc_id, 'sha256:' || sha256('{\"labels\":[' || coalesce(array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')))[:30], lambda x: '\"' || x || '\"'), ','), '') || '],\"table_headers\":[]}') fingerprint from documents where text is not null")
 def hsh01_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types of parts stand for the labels of a brand's first page."""
-    held = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("labels"))
-    return held.select("p_brand", text.fingerprint(F.col("labels"), F.array().cast("array<string>")).alias("fingerprint"))
+    """Words of a document stand for the labels of its first page; all of them are read to find the first thirty in order."""
+    labels = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.fingerprint(labels, F.array().cast("array<string>")).alias("fingerprint"))
 
 
 @query("select p_brand, 'sha256:' || sha256('{\"labels\":[\"plan\"],\"output_type\":\"xlsx\",\"supplier\":\"' || p_brand || '\",\"table_headers\":[\"rate\"]}') family from part group by 1")
@@ -344,10 +345,11 @@ def lay05_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.rows_of(_cells(spark, sf_dir)).select("doc_id", "page", "row_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(f"with {WORDS_SQL}, g as (select *, case when (x0 + x1) / 2 >= 200 then 1 else 0 end column_no from w) select doc_id, page, column_no, count(distinct ln) as \"rows\", count(*) n_words from g group by all")
+@query(f"with {WORDS_SQL}, g as (select *, case when (x0 + x1) / 2 >= 200 then 1 else 0 end column_no from w) select doc_id, page, column_no, cast(dense_rank() over (partition by doc_id, page order by column_no, ln) - 1 as integer) row_index, count(*) n_words, md5(string_agg(word, ' ' order by x0)) as digest from g group by doc_id, page, column_no, ln")
 def lay06_reading_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words.from_text(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("column_no", layout.reading_column(F.col("x0"), F.col("x1"), [200.0]))
-    return w.groupBy("doc_id", "page", "column_no").agg(F.count_distinct("y0").alias("rows"), F.count("*").alias("n_words"))
+    w = layout.rows_by_column(words.from_text(table(spark, sf_dir, "documents").select("doc_id", "text")), [200.0])
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    return w.groupBy("doc_id", "page", F.col("reading_column").alias("column_no"), "row_index").agg(F.count("*").alias("n_words"), F.md5(line.cast("binary")).alias("digest"))
 
 
 @query("select doc_id, page, cast(45 as integer) as angle from (select distinct cast(conv_id as varchar) doc_id, cast(1 as integer) as page from conversations)")

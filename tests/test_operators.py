@@ -165,13 +165,43 @@ def test_columns_bands_and_tables(spark):
     assert {(r.text, r.band) for r in found} == {("A", "Item"), ("B", "Item"), ("9.50", "Amount"), ("late", "Item")}
 
 
-def test_gutters_and_reading_columns(spark):
-    cells = cells_of(spark, [(k, c, "x", x, 12.0 * k, x + 180, 12.0 * k + 10) for k in range(20) for c, x in ((0, 40.0), (1, 330.0))])
-    (row,) = layout.gutters(cells).collect()
-    assert 220 <= row.x <= 330
-    assert layout.gutters(cells.where("row_index < 10")).collect() == []
-    got = cells.select(layout.reading_column(F.col("x0"), F.col("x1"), [row.x]).alias("c")).distinct().collect()
-    assert sorted(r.c for r in got) == [0, 1]
+def brute_gutter(rows, width):
+    """The best place to part rows of words (x0, x1), tried one by one."""
+    words = [w for r in rows for w in r]
+    c0, c1, n = min(a for a, _ in words), max(b for _, b in words), len(rows)
+    if n < 15 or len(words) < 40 or c1 - c0 < width * 0.45:
+        return None
+    best, k, lo = None, 0, c0 + 0.35 * (c1 - c0)
+    while (x := lo + 3.0 * k) <= c0 + 0.65 * (c1 - c0):
+        left, right = sum(all(b <= x for _, b in r) for r in rows), sum(all(a >= x for a, _ in r) for r in rows)
+        if (left + right) / n >= 0.6 and min(left, right) >= 0.15 * n:
+            key = (abs(left - right), sum(a < x < b for a, b in words), abs(x - (c0 + c1) / 2), x)
+            best = min(best or (key, 0), (key, (left + right) / n))
+        k += 1
+    return best and (round(best[1], 9), round(best[0][3], 6), round(best[0][3] / width * 1000, 2))
+
+
+def test_gutters_equal_trying_every_place(spark):
+    import random
+
+    rnd, pages = random.Random(2), {}
+    for p in range(40):
+        rows = []
+        for r in range(rnd.choice([14, 15, 24, 40])):
+            side = rnd.choice([0, 300, 300, 0, 150]) if p % 3 else rnd.choice([0, 300])
+            rows.append([(float(x := side + rnd.randrange(0, 250, 5)), float(x + rnd.choice([0, 15, 30, 60]))) for _ in range(rnd.randrange(1, 5))])
+        pages[p] = rows
+    pages[40] = [[(3.0 * k, 3.0 * k + 9) for k in range(3)] for _ in range(30)]  # too narrow
+    words = [("d", p, r, a, b, 612.0) for p, rows in pages.items() for r, row in enumerate(rows) for a, b in row]
+    got = layout.gutters(spark.createDataFrame(words, "doc_id string, page int, row_index int, x0 double, x1 double, page_width double")).collect()
+    want = {p: g for p, rows in pages.items() if (g := brute_gutter(rows, 612.0))}
+    assert {r.page: (round(r.fraction, 9), round(r.x, 6), r.normal_x) for r in got} == want and 5 < len(want) < 40
+
+
+def test_rows_are_numbered_through_the_columns(spark):
+    words = spark.createDataFrame([("d", 1, k, t, x, y, x + 20, y + 8) for k, (t, x, y) in enumerate([("a", 0.0, 0.0), ("b", 300.0, 1.0), ("c", 0.0, 20.0), ("d", 300.0, 21.0), ("e", 290.0, 40.0), ("f", 25.0, 20.0)])], "doc_id string, page int, word_seq int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = layout.rows_by_column(words, [300.0]).collect()
+    assert {(r.text, r.reading_column, r.row_index) for r in got} == {("a", 0, 0), ("c", 0, 1), ("f", 0, 1), ("b", 1, 2), ("d", 1, 3), ("e", 1, 4)}
 
 
 def test_steady_clock_and_budget(spark):
