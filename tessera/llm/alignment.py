@@ -324,7 +324,7 @@ def _composed(texts: pa.Table, segments: pa.Table) -> pa.Table:
     out["groups_sha256"] = pa.array([*columns[len(SUMS)], ""], pa.string())
     for name, values in (("pairs", pairs[held]), ("texts", holding[held])):
         out[name] = pa.array([None] * n + [values], pa.list_(pa.int64()))
-    for name, values in (("of", np.append(found.of[used], len(groups))), ("pair", renumbered[local[used]])):
+    for name, values in (("of", np.bincount(found.of[used], minlength=len(groups))), ("pair", renumbered[local[used]])):  # how many pairs each segment has, and which
         out[name] = pa.array([None] * n + [packed(values)], pa.binary())
     out["times"] = pa.array([None] * n + [found.times[used]], pa.list_(pa.int64()))
     return pa.table(out)
@@ -335,9 +335,9 @@ def _summed(texts: pa.Table, counts: pa.Table) -> pa.Table:
     counts = _sorted(counts)
     whole = texts.filter(texts.column("of").is_valid()).to_pylist()[0]
     texts = texts.filter(texts.column("of").is_null())
-    of, pair, times = unpacked(whole["of"]), unpacked(whole["pair"]), np.array(whole["times"], np.int64)
-    of, segments = of[:-1], int(of[-1])
-    per = {name: np.zeros(segments, np.int64) for name in ("n_best", "count_sum")}
+    many, pair, times = unpacked(whole["of"]), unpacked(whole["pair"]), np.array(whole["times"], np.int64)
+    of = np.repeat(np.arange(len(many)), many)
+    per = {name: np.zeros(len(many), np.int64) for name in ("n_best", "count_sum")}
     for name, column in (("n_best", "best"), ("count_sum", "n")):
         np.add.at(per[name], of, times * counts.column(column).to_numpy()[pair])
     out = {k: texts.column(k) for k in ("id", *SUMS, "groups_sha256")}
@@ -353,16 +353,17 @@ def align(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
     blocks = work.put(rows.mapInArrow(_blocks(cut_pattern(vocabularies), block_chars), f"block long, id {id_type}, places binary, segments array<string>"), "blocks")
+    texts = work.put(blocks.where("segments is null").select("block", "id", "places"), "texts")
     # a block and a place in it are one number
     uses = blocks.where("segments is not null").select("block", F.posexplode("segments").alias("no", "segment")).select((F.shiftleft("block", 32) + F.col("no")).alias("at"), "segment")
     # equal segments of all blocks stand one after another in one task; a block has each once, so none is long
     back = work.put(uses.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(lambda: Vocabularies(*shared.value).open()), "at long, groups string"), "aligned")
     work.sweep()
     block_of = F.shiftright("at", 32)
-    texts = blocks.where("segments is null").select("block", "id", "places")
+    work.remove(blocks)
     out = f"block long, id {id_type}, places binary, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string, pairs array<long>, texts array<long>, of binary, pair binary, times array<long>"
     composed = work.put(texts.groupBy("block").cogroup(back.groupBy(block_of.alias("b"))).applyInArrow(_composed, out), "composed")
-    work.remove(blocks)
+    work.remove(texts)
     work.remove(back)
     work.sweep()
     held = composed.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "texts")).alias("no", "p"))
