@@ -3,7 +3,9 @@
 Blocks are overlapping windows of words over the whole text, whatever its lines: for a template of up to s
 words, s a power of two, windows of 2 s words that begin at every s-th word.  So a notice stands whole in a
 window of about its own size, however it is wrapped.  A block matches a template if it holds at least
-`percent` of the template's distinct words, and all that have a digit, which tell versions apart.
+`percent` of the template's distinct words, and all that have a digit or are marks (lesser, noncommercial and so on), which tell
+versions and variants apart.  Where templates match in the same place, one that holds less than another is left out: a notice
+of the lesser licence also has nearly all words of the general one.  The clause that makes three out of two conditions counts within BSD words.
 
 Words of templates are ordered by how many texts of the whole corpus hold them, rare ones first (ties by the
 word).  A match must hold one of the first |T| - least + 1 words of its template (prefix), `least` words of
@@ -43,10 +45,31 @@ TEMPLATES = (
     ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl-2.1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "this program is licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
 )
 
+# Words that make a variant of a licence, which a match must have as well as all numbers; labels that a further clause changes.
+MARKS = ("lesser", "affero", "noncommercial", "noderivatives", "sharealike", "nc", "sa", "nd")
+CLAUSES = (("bsd-2", "bsd-3"),)
+#: Words within which such a clause stands.
+BSD = 512
+
 #: Share of a template's words that a block must hold.
 PERCENT = 90
 
@@ -86,13 +109,29 @@ def vocabulary_of(templates: tuple[tuple[str, str], ...]) -> list[str]:
     return sorted({w for _, text in templates for w in text.split()})
 
 
+def needed(text: str) -> list[str]:
+    """The words of a template that a match must have."""
+    return sorted({w for w in text.split() if w in MARKS or any(c.isdigit() for c in w)})
+
+
+def beaten(templates: tuple[tuple[str, str], ...], percent: int) -> list[tuple[int, int, int]]:
+    """(t, by, slack): template t is left out where template `by` matches within slack words, as t is all but a part of it or by a clause that changes its label."""
+    out, sets = [], [set(text.split()) for _, text in templates]
+    for t, (label, text) in enumerate(templates):
+        for by, (other, more) in enumerate(templates):
+            part = 100 * len(sets[t] & sets[by]) >= percent * len(sets[t]) and set(needed(text)) <= sets[by] and not set(needed(more)) <= sets[t]
+            if label != other and ((label, other) in CLAUSES or part):
+                out.append((t, by, BSD if (label, other) in CLAUSES else 0))
+    return out
+
+
 def set_join(spark: SparkSession, blocks: DataFrame, templates: tuple[tuple[str, str], ...], percent: int, order: list[str], *, keep: list[str]) -> DataFrame:
     """(keep, t, label, containment) of blocks (keep, step, found: their vocabulary words) and the templates of that step that they hold to `percent`; a null step meets all."""
     rows = []
     for k, (label, text) in enumerate(templates):
         tokens = [w for w in order if w in set(text.split())]
         least = -(-len(tokens) * percent // 100)
-        digits = [w for w in tokens if any(c.isdigit() for c in w)]
+        digits = needed(text)
         rows += [(w, at, k, label, step_of(text), tokens, digits, least) for at, w in enumerate(tokens[: len(tokens) - least + 1])]
     prefix = spark.createDataFrame(rows, "word string, at int, t int, label string, of_step int, tokens array<string>, digits array<string>, least int")
     ordered = blocks.select(*keep, "step", F.array_intersect(_strings(order), "found").alias("found"))
@@ -119,7 +158,17 @@ def template_matches(spark: SparkSession, texts: DataFrame, templates: tuple[tup
     hit = texts.join(wanted, "row").select("row", "step", F.explode("hits").alias("x")).withColumn("at", F.floor(F.col("x") / size / F.col("step")).cast("int"))
     windows = hit.select("row", "step", F.explode(F.array(F.col("at") - 1, F.col("at"))).alias("window"), word(F.col("x")).alias("word")).where("window >= 0")
     blocks = windows.groupBy("row", "step", "window").agg(F.collect_set("word").alias("found"))  # at most the vocabulary
-    return set_join(spark, blocks, templates, percent, order, keep=["row", "window"]).select("row", "label", "containment")
+    size_of = F.element_at(F.array(*[F.lit(step_of(text)) for _, text in templates]), F.col("t") + 1)
+    placed = set_join(spark, blocks, templates, percent, order, keep=["row", "window"]).withColumn("lo", F.col("window") * size_of)
+    found = placed.select("row", "t", "label", "containment", "lo", (F.col("lo") + 2 * size_of).alias("hi"))
+    pairs = beaten(templates, percent)
+    if not pairs:
+        return found.select("row", "label", "containment")
+    # as many rows as there are pairs of templates
+    less = found.join(F.broadcast(spark.createDataFrame(pairs, "t int, by int, slack int")), "t").select("row", "t", "lo", "hi", "by", "slack")
+    more = found.select("row", F.col("t").alias("by"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    lost = less.join(more, ["row", "by"]).where((F.col("lo") < F.col("hi2") + F.col("slack")) & (F.col("lo2") < F.col("hi") + F.col("slack"))).select("row", "t", "lo").distinct()
+    return found.join(lost, ["row", "t", "lo"], "left_anti").select("row", "label", "containment")
 
 
 def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -167,7 +216,7 @@ def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
 def oracle_sql() -> str:
     """The same result in DuckDB SQL, every window compared with every template."""
     quoted = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]::varchar[]"
-    templates = ", ".join(f"({k}, '{label}', {step_of(text)}, {quoted(sorted(set(text.split())))}, {quoted(sorted({w for w in text.split() if any(c.isdigit() for c in w)}))})" for k, (label, text) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({k}, '{label}', {step_of(text)}, {quoted(sorted(set(text.split())))}, {quoted(needed(text))})" for k, (label, text) in enumerate(TEMPLATES))
     base = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE)
     return f"""
 with d as (
@@ -175,9 +224,12 @@ with d as (
 t(k, label, step, tokens, digits) as (values {templates}),
 b(label, phrase) as (values {base}),
 p as (select r, b.label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(phrase)] = phrase)) as i from d, b where list_contains(w, phrase[1])),
-l as (select r, step, list_distinct(w[i * step + 1 : (i + 2) * step]) w from (select r, w, step, unnest(range(0, len(w) // step + 1)) i from d, (select distinct step from t))),
-m as (select r, label, max(len(list_intersect(w, tokens)) / len(tokens)) c from l join t using (step)
-      where 100 * len(list_intersect(w, tokens)) >= {PERCENT} * len(tokens) and len(list_intersect(w, digits)) = len(digits) group by all),
+beats(k, by_k, slack) as (values {", ".join(map(str, beaten(TEMPLATES, PERCENT)))}),
+l as (select r, step, i, list_distinct(w[i * step + 1 : (i + 2) * step]) w from (select r, w, step, unnest(range(0, len(w) // step + 1)) i from d, (select distinct step from t))),
+f as materialized (select r, k, label, i * step lo, (i + 2) * step hi, len(list_intersect(w, tokens)) / len(tokens) c from l join t using (step)
+      where 100 * len(list_intersect(w, tokens)) >= {PERCENT} * len(tokens) and len(list_intersect(w, digits)) = len(digits)),
+lost as (select distinct f.r, f.k, f.lo from f join beats b using (k) join f g on g.r = f.r and g.k = b.by_k and f.lo < g.hi + slack and g.lo < f.hi + slack),
+m as (select r, label, max(c) c from f anti join lost using (r, k, lo) group by all),
 pa as (select r, count(*) n, min(i) lo, max(i) hi, string_agg(distinct label, ',' order by label) labels from p group by r),
 al as (select r, string_agg(distinct label, ',' order by label) labels from (select r, label from p union select r, label from m) group by r),
 ma as (select r, max(c) c from m group by r)

@@ -149,6 +149,23 @@ def test_notices_are_found_however_they_are_wrapped(spark):
     assert got == {1: "mit", 2: "gpl-2", 3: "gpl-3", 4: "gpl-3", 5: "mit", 6: "", 7: ""}
 
 
+def test_variants_of_licenses_get_their_own_label(spark):
+    terms = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice. 2. Redistributions in binary form must reproduce it."
+    clause = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = [
+        (terms.format("Lesser General Public License", "2.1"), "lgpl-2.1"), (terms.format("Lesser General Public License", "3"), "lgpl-3"), (terms.format("General Public License", "2"), "gpl-2"), (terms.format("Affero General Public License", "3"), "agpl-3"),
+        (terms.format("General Public License", "3"), "gpl-3"), (cc.format(""), "cc-by"), (cc.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd"), (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), (cc.format("-NonCommercial"), "cc-by-nc"), (cc.format("-ShareAlike"), "cc-by-sa"),
+        (cc.format("-NoDerivatives"), "cc-by-nd"), (bsd, "bsd-2"), (bsd + clause, "bsd-3"), (bsd + " filler" * 900 + clause, "bsd-2,bsd-3"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        ("This program is licensed under the GNU Lesser General Public License version 2.1", "lgpl-2.1"), (terms.format("Lesser General Public License", "2.1") + " x" * 900 + " " + terms.format("General Public License", "2"), "gpl-2,lgpl-2.1"),
+    ]
+    for pad in ("", "word " * 13):
+        got = licenses.scan(spark, spark.createDataFrame([(i, pad + t) for i, (t, _) in enumerate(cases)], DOCS)).collect()
+        assert {r.doc_id: r.labels for r in got} == {i: label for i, (_, label) in enumerate(cases)}
+
+
 def test_native_results_without_ansi(spark):
     spark.conf.set("spark.sql.ansi.enabled", "false")
     try:
