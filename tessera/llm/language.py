@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Workspace, slices
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -34,6 +34,8 @@ _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 
 
+#: Languages up to this number go to every task when the sample is picked.
+FEW_LANGS = 10_000
 #: Classes of texts by their number of different n-grams, in powers of two; rows that a class needs for a limit of its own.
 CLASSES, ENOUGH = 16, 12
 
@@ -127,9 +129,11 @@ def fit(spark: SparkSession, labelled: DataFrame, *, dims: int = 4096, per_lang:
     usable = rows.where(F.col("text").rlike(r"\p{L}"))
     place = F.pmod(F.xxhash64("order"), F.lit(1 << 30))
     sizes = usable.select("lang", "order").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least"))
-    share = (place * F.col("n") < F.lit(sample).cast("long") * (1 << 30)) | (place == F.col("least"))
-    # a row for each language, as many as the model on the driver has; a planned join would shuffle all texts by language
-    picked = usable.join(F.broadcast(sizes), "lang").where(share).select("lang", "order", "text").dropDuplicates(["lang", "order"])
+    sizes = Workspace(spark, "languages").put(sizes, "sizes")
+    share = (place < F.lit(float(sample << 30)) / F.col("n")) | (place == F.col("least"))
+    # a row for each language: where they are few, a join by key would only shuffle all texts by language
+    few = sizes.count() <= FEW_LANGS
+    picked = usable.join(F.broadcast(sizes) if few else sizes, "lang").where(share).select("lang", "order", "text").dropDuplicates(["lang", "order"])
     groups = picked.groupBy("lang").applyInPandas(_clustered(dims, idf, per_lang, quantile, slack), "lang string, centroid binary, limits binary").collect()
     groups.sort(key=lambda r: (r.lang, r.centroid))
     centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in groups]).reshape(-1, dims)

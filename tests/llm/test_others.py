@@ -387,3 +387,36 @@ def test_pipeline_of_an_empty_table_and_repeated_rows(spark):
     got = corpus_pipeline.keep_one_of_near_duplicates(spark, twice.withColumn("row", F.lit(1)), DIR)
     assert got.columns == list(corpus_pipeline.COLUMNS)
     assert sorted((r.doc_id or 0, r.text[:5]) for r in got.collect()) == [(0, text[:5]), (1, "other"), (1, text[:5])]
+
+
+def test_languages_are_those_of_the_nearest_centroid(spark):
+    """Every cosine in plain Python, from the model's numbers."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(spark, docs)
+    got = {r.doc_id: r for r in language.classify(spark, docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            continue
+        counts = {}
+        folded = "".join(chr(b).lower() if chr(b).isalpha() and b < 128 else chr(b) if b >= 128 else " " for b in f" {r.text.lower()} ".encode())
+        while "  " in folded:
+            folded = folded.replace("  ", " ")
+        for k in range(len(folded) - 2):
+            code = (ord(folded[k]) << 16 | ord(folded[k + 1]) << 8 | ord(folded[k + 2])) * 2654435761 % 2**32
+            dim = code >> (32 - len(model.idf).bit_length() + 1)
+            counts[dim] = counts.get(dim, 0) + 1
+        x = {d: float(np.log1p(c) * model.idf[d]) for d, c in counts.items()}
+        size = sum(v * v for v in x.values()) ** 0.5
+        cosines = [sum(v * float(c[d]) for d, v in x.items()) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        near = sorted(cosines)[-2] if len(cosines) > 1 else -1
+        assert abs(got[r.doc_id].score - cosines[best]) < 1e-5
+        assert got[r.doc_id].lang_pred == model.langs[best] or cosines[best] - near < 1e-5
+
+
+def test_many_languages_are_joined_by_key(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    one = language.train(spark, docs)
+    monkeypatch.setattr(language, "FEW_LANGS", 0)
+    two = language.train(spark, docs)
+    assert one.langs == two.langs and np.allclose(one.centroids, two.centroids)
