@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def dropped_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -45,3 +49,54 @@ def latest_by_key(spark: SparkSession, folder: str, schema: str, target: str, *,
     stream = newest.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.parquet(f"{target}/newest")
+
+
+def _settled(quiet_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, since = state.get if state.exists else (None, 0)  # of the file that is watched; no size: it is gone or was handed on
+        ready: list[tuple[int, int]] = []
+
+        def settle(until: int) -> None:
+            nonlocal size
+            if size is not None and size > 0 and since + quiet_ms <= until:
+                ready.append((size, since + quiet_ms))
+                size = -1  # handed on: later changes are no new file until it has vanished
+
+        if state.hasTimedOut:
+            settle(state.getCurrentWatermarkMs())
+        rows = sorted((int(t.value) // 1_000_000, -1 if s is None or s != s else int(s)) for b in batches for t, s in zip(b["at"], b["size"], strict=True))
+        for at, now in rows:
+            settle(at)
+            if now < 0:
+                size, since = None, at
+            elif size != -1:
+                size, since = now, at
+        if size is not None and size > 0:
+            state.update((size, since))
+            state.setTimeoutTimestamp(max(since + quiet_ms, state.getCurrentWatermarkMs() + 1))
+        elif size is not None:  # an empty one waits for a change, one handed on for its end
+            state.update((size, since))
+        elif state.exists:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({"path": key[0], "size": [s for s, _ in ready], "ready_at": [pd.Timestamp(t, unit="ms") for _, t in ready]})
+
+    return run
+
+
+def stable_files(changes: DataFrame, *, quiet: int, late: str = "0 seconds") -> DataFrame:
+    """A stream of files (path, size, ready_at) that may be read, from a stream of changes (path, at, size); a null size says that a file is gone.
+
+    A file is handed on once, `quiet` seconds after its last change if it is not empty; a change in between starts the wait anew, an
+    empty file waits, one that vanishes is forgotten and may come again.  Waiting is a timer on the watermark, so a file needs
+    no further change to leave.  Changes of a path at the same time count by size.  State is one row for each file that is there.
+    """
+    marked = changes.select(F.col("path").cast("string").alias("path"), "at", F.col("size").cast("long").alias("size")).withWatermark("at", late)
+    return marked.groupBy("path").applyInPandasWithState(_settled(quiet * 1000), "path string, size long, ready_at timestamp", "size long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def appended(stream: DataFrame, target: str) -> DataFrame:
+    """The rows of a stream, run on all that is there now, from the table they are appended to; a second call goes on where this one ended."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/rows")
