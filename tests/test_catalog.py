@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera import catalog, documents, drafts, extracts, inductions, lifecycle, models, profiles, readings, registry, stores, streams  # noqa: F401  these register their queries
+from tessera import catalog, documents, drafts, extracts, inductions, keeping, lifecycle, models, profiles, readings, registry, stores, streams  # noqa: F401  these register their queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
