@@ -53,10 +53,15 @@ def jn25_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("name", F.lower(F.trim("alias"))).join(by_name, "name").select("s_suppkey", "country")
 
 
-@query()
+@query("""with recursive x as materialized (select doc_id, string_split(text, chr(10)) l from documents where text is not null), r as materialized (select doc_id, cast(unnest(range(0, len(l))) as bigint) seq, unnest(list_transform(l, lambda t: length(t) + 1)) size from x),
+s as materialized (select *, sum(size) over (partition by doc_id order by seq) e from r),
+nx as materialized (select a.doc_id, a.seq, min(j.seq) nxt from s a join s b on b.doc_id = a.doc_id and b.seq = greatest(a.seq - 2, 0) join s j on j.doc_id = a.doc_id and j.seq > a.seq and j.e > b.e - b.size + 4000 group by 1, 2),
+c(doc_id, chunk, seq) as (select doc_id, cast(1 as bigint), cast(0 as bigint) from x union all select c.doc_id, chunk + 1, nxt from c join nx on nx.doc_id = c.doc_id and nx.seq = c.seq),
+b as (select c.doc_id, chunk, greatest(c.seq - 2, 0) lo, coalesce(lead(c.seq) over (partition by c.doc_id order by chunk) - 1, len(l) - 1) hi from c join x using (doc_id))
+select doc_id, chunk, unnest(range(lo, hi + 1)) seq from b""")
 def win17_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    return candidates.chunks(lines.select("doc_id", F.col("seq").cast("long").alias("seq"), F.length("line").cast("long").alias("size")), 4000, 2)
+    return candidates.chunks(lines.select("doc_id", F.col("seq").cast("long").alias("seq"), (F.length("line") + 1).cast("long").alias("size")), 4000, 2)
 
 
 @query("""with t as (select conv_id, turn, case when turn % 3 = 1 then ' ' else text end x from conversations), f as (select *, nullif(trim(x), '') y from t)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def missed(candidates: DataFrame, found: DataFrame, *, doc: str = "doc_id", ident: str = "service_id") -> DataFrame:
     """Candidates whose identifier no found row of the document has; one hit is enough for all with that identifier."""
@@ -27,27 +28,64 @@ def with_defaults(rows: DataFrame, defaults: DataFrame, key: list[str], columns:
     return rows.join(named, key, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
-def _filled(most: int, overlap: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("seq").to_pylist(), table.column("size").to_pylist(), strict=True))
-        chunks: list[list[tuple[int, int]]] = [[]]
-        total = 0
-        for row in rows:
-            if chunks[-1] and total + row[1] > most and len(chunks[-1]) > (overlap if len(chunks) > 1 else 0):
-                chunks.append(chunks[-1][-overlap:] if overlap else [])
-                total = sum(s for _, s in chunks[-1])
-            chunks[-1].append(row)
-            total += row[1]
-        flat = [(k, seq) for k, c in enumerate(chunks, 1) for seq, _ in c]
-        doc = table.column("doc_id")[0].as_py()
-        return pa.table({"doc_id": pa.array([doc] * len(flat), pa.int64()), "chunk": pa.array([k for k, _ in flat], pa.int64()), "seq": pa.array([s for _, s in flat], pa.int64())})
+#: Rows of a document whose running sums are taken together; sums of blocks are added up apart.
+SUMS_BLOCK = 4096
+
+
+def running_sizes(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, seq, size), seq from 0 without gaps, with end: the sum of sizes up to the row.  Long documents are summed in blocks, so that no task has a whole one."""
+    block = F.floor(F.col("seq") / SUMS_BLOCK)
+    w = Window.partitionBy("doc_id", "_block").orderBy("seq")
+    inner = rows.withColumn("_block", block).withColumn("_inner", F.sum("size").over(w))
+    sums = rows.groupBy("doc_id", block.alias("_block")).agg(F.sum("size").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inner.join(sums.withColumn("_before", before).drop("_sum"), ["doc_id", "_block"]).select("doc_id", "seq", "size", (F.col("_inner") + F.col("_before")).alias("end"))
+
+
+def next_starts(rows: DataFrame, most: int, overlap: int) -> DataFrame:
+    """(doc_id, seq, next): if a chunk's first new row is seq, the first new row of the chunk after it; null in the last chunk.
 
-    return run
+    Such a chunk begins `overlap` rows before seq, and the next one at the first later row with which it would pass `most`.  Running sums
+    grow, so that row is found by merging limits with sums in order: within stretches of the sums of `most` each, else at the start of the next stretch.
+    """
+    sums = running_sizes(rows)
+    ahead = F.greatest(F.col("seq") - overlap, F.lit(0))
+    base = sums.select("doc_id", F.col("seq").alias("_at"), (F.col("end") - F.col("size")).alias("_base"))
+    limits = sums.select("doc_id", "seq", "end", ahead.alias("_at")).join(base, ["doc_id", "_at"]).select("doc_id", "seq", (F.col("_base") + most).alias("value"))
+    # a row's own end is no end of its chunk, so the limit is at least that
+    limits = limits.join(sums.select("doc_id", "seq", "end"), ["doc_id", "seq"]).select("doc_id", "seq", F.greatest("value", "end").alias("value"), F.lit(1).alias("kind"))
+    events = limits.union(sums.select("doc_id", "seq", F.col("end").alias("value"), F.lit(0).alias("kind"))).withColumn("stretch", F.floor(F.col("value") / most))
+    # from the largest value down: the last sum met before a limit is the first beyond it; one that equals it is not beyond
+    later = Window.partitionBy("doc_id", "stretch").orderBy(*[F.col(c).desc() for c in ("value", "kind", "seq")]).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last(F.when(F.col("kind") == 0, F.col("seq")), ignorenulls=True).over(later)
+    found = events.withColumn("near", near).where("kind = 1")
+    firsts = events.where("kind = 0").groupBy("doc_id", "stretch").agg(F.min("seq").alias("first"))
+    w = Window.partitionBy("doc_id").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = events.select("doc_id", "stretch").distinct().join(firsts, ["doc_id", "stretch"], "left").withColumn("far", F.last("first", ignorenulls=True).over(w)).select("doc_id", "stretch", "far")
+    return found.join(stretches, ["doc_id", "stretch"]).select("doc_id", "seq", F.coalesce("near", "far").alias("next"))
 
 
 def chunks(rows: DataFrame, most: int, overlap: int) -> DataFrame:
-    """(doc_id, chunk, seq): rows (doc_id, seq, size) filled greedily into chunks of `most` (1000 at least); a chunk starts with the last rows of the one before."""
-    return rows.groupBy("doc_id").applyInArrow(_filled(max(1000, most), overlap), "doc_id long, chunk long, seq long")
+    """(doc_id, chunk, seq): rows (doc_id, seq, size) filled greedily into chunks of `most` (1000 at least); a chunk starts with the last rows of the one before.
+
+    seq counts a document's rows from 0 without gaps; sizes are positive, as a line counts its end.  Every row points to where the chunk after the one that it would begin starts; which rows do begin one is found by
+    doubling: after k rounds the pointers span 2**k chunks, and starts are known up to there.  So a document of any length needs as many
+    rounds as its number of chunks has binary digits, and no task of its own.
+    """
+    most = max(1000, most)
+    jump = staged(next_starts(rows, most, overlap), "next")
+    starts = jump.where("seq = 0").select("doc_id", F.lit(0).cast("long").alias("chunk"), "seq")
+    reach, span = jump.where("next is not null"), 1
+    while not reach.isEmpty():
+        step = starts.join(reach, ["doc_id", "seq"]).select("doc_id", (F.col("chunk") + span).alias("chunk"), F.col("next").alias("seq"))
+        starts = staged(starts.union(step), "starts")
+        twice = reach.alias("a").join(reach.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.next") == F.col("b.seq"))).select("a.doc_id", "a.seq", "b.next")
+        reach, span = staged(twice, "jumps"), span * 2
+    w = Window.partitionBy("doc_id").orderBy("chunk")
+    bounds = starts.withColumns({"lo": F.greatest(F.col("seq") - overlap, F.lit(0)), "hi": F.lead("seq").over(w)})
+    last = rows.groupBy("doc_id").agg(F.max("seq").alias("_last"))
+    each = bounds.join(last, "doc_id").select("doc_id", (F.col("chunk") + 1).alias("chunk"), F.explode(F.sequence("lo", F.coalesce(F.col("hi") - 1, F.col("_last")))).alias("seq"))
+    return each.select("doc_id", "chunk", "seq")
 
 
 def routed(documents: DataFrame) -> DataFrame:
