@@ -41,15 +41,18 @@ n as (select *, lead(t) over (partition by path order by t, coalesce(size, -1))
 r as (select *, t + {QUIET * 3600000} done from n where size > 0 and coalesce(t + {QUIET * 3600000} <= nxt, t + {QUIET * 3600000} < last_t))
 select path, size, done // 60000 as minute from r qualify row_number() over (partition by path, life order by t) = 1""")
 def stm01_file_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as changes of files, in four folders' worth of files one after another: the stream keeps what waits between its batches."""
+    """Events as changes of files, dropped in four parts one after another: the stream goes on after each, and keeps what waits in between.
+
+    All files of a part are one batch, as the changes of a path must not come after the watermark has passed them.
+    """
     target = _target(spark, "changes")
     changes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") != "error", F.floor(F.col("value") / 100)).alias("size"))
     low, high = changes.agg(F.min("at"), F.max("at")).first() or (None, None)
     for k in range(4):
         part = F.least(F.lit(3), F.floor(F.expr(f"4 * (unix_millis(at) - unix_millis(timestamp'{low}')) / greatest(1, unix_millis(timestamp'{high}') - unix_millis(timestamp'{low}'))"))) if low else F.lit(0)
         changes.where(part == k).write.mode("append").parquet(f"{target}/in")
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in")
-    out = intake.appended(intake.stable_files(stream, quiet=QUIET * 3600), f"{target}/out")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{target}/in")
+        out = intake.appended(intake.stable_files(stream, quiet=QUIET * 3600), f"{target}/out")
     return out.select("path", "size", F.expr("unix_millis(ready_at) div 60000").alias("minute"))
 
 

@@ -26,3 +26,29 @@ def test_headings_count_plain_letters_only(spark, tmp_path):
 def test_letters_that_grow_in_upper_case_are_no_letters(spark):
     got = spark.createDataFrame([("Straße 1",), ("ﬁnal é",), ("ıſx",)], "t string").select(discovery.bare(F.col("t")))
     assert [r[0] for r in got.collect()] == ["STRAE1", "NAL", "ISX"]
+
+
+def test_changes_of_a_part_in_several_files_all_count(spark, tmp_path):
+    import datetime
+
+    from tessera import streams
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, k % 5, start + datetime.timedelta(minutes=97 * k), "view" if k % 11 else "error", 100.0 + k) for k in range(120)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
+    for k in range(3):
+        events.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    want, quiet = [], datetime.timedelta(hours=streams.QUIET)
+    for path in range(5):
+        size = since = None
+        for _, _, at, kind, value in [r for r in rows if r[1] == path] + [(0, path, rows[-1][2], "end", None)]:
+            if size is not None and size > 0 and since + quiet <= at and (kind != "end" or since + quiet < at):
+                want.append((str(path), size, since + quiet))
+                size = -1
+            if kind == "error":
+                size = None
+            elif size != -1 and kind != "end":
+                size, since = int(value // 100), at
+    got = streams.stm01_file_drop(spark, str(tmp_path)).collect()
+    minute = lambda t: int(t.replace(tzinfo=datetime.timezone.utc).timestamp()) // 60
+    assert sorted(map(tuple, got)) == sorted((p, s, minute(t)) for p, s, t in want)
