@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 MONEY = "decimal(18,2)"
 NUMBER = "decimal(18,6)"
 #: A number with its sign, currency mark and parentheses; the second also begins with a point.
@@ -35,9 +37,13 @@ def _signed(value: Column, negative: Column) -> Column:
 def printed_amount(text: Column, *, ignore_percent: bool = False) -> Column:
     """The last number of a text; CR behind a number, or parentheses around it, make it negative."""
     source = F.regexp_replace(text, PERCENT, " ") if ignore_percent else text
-    raw = _pick(F.regexp_extract_all(source, F.lit(LOOSE), F.lit(1)))
-    negative = (raw.contains("(") & raw.contains(")")) | source.rlike(r"(?i)\d\s*CR\b")
-    return _signed(_separated(F.regexp_replace(raw, r"[^\d.,\-]", "")).try_cast(NUMBER), negative)
+
+    def signed(source: Column, raw: Column) -> Column:
+        negative = (raw.contains("(") & raw.contains(")")) | source.rlike(r"(?i)\d\s*CR\b")
+        number = let(F.regexp_replace(raw, r"[^\d.,\-]", ""), _separated).try_cast(NUMBER)
+        return let(number, lambda n: _signed(n, negative))
+
+    return let(source, lambda x: let(F.try_element_at(F.regexp_extract_all(x, F.lit(LOOSE), F.lit(1)), F.lit(-1)), lambda raw: signed(x, raw)))
 
 
 def grouped_amount(text: Column, *, first: bool = False) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates
 from ..functions import text as t
+from ..functions.binding import let
 from ..operators import sequences
 from . import rules
 
@@ -80,7 +81,7 @@ def contains_any(text: Column, anchors: tuple[str, ...]) -> Column:
 def in_column(cells: Column, bounds: tuple[float, float]) -> Column:
     """Texts of the cells whose centre lies within the bounds, joined; null if there is none."""
     held = F.filter(cells, lambda c: ((c["x0"] + c["x1"]) / 2).between(*bounds))
-    return F.nullif(F.trim(F.array_join(F.transform(held, lambda c: c["text"]), " ")), F.lit(""))
+    return let(F.trim(F.array_join(F.transform(held, lambda c: c["text"]), " ")), lambda x: F.when(x != "", x))
 
 
 def row_matches(where: Mapping[str, Any], text: Column, cells: Column, columns: Mapping[str, tuple[float, float]]) -> Column:
@@ -141,12 +142,12 @@ def _text_of(source: Source, rows: Column, emit: Column, columns: Mapping[str, t
             out = in_column(r["cells"], columns[source.column]) if source.column in columns else F.lit(None).cast("string")
         if source.pattern is not None:
             out = t.captured(out, source.pattern)
-        return F.nullif(F.trim(out), F.lit(""))
+        return let(F.trim(out), lambda x: F.when(x != "", x))
 
     found = F.array_compact(F.transform(chosen, text))
     if source.join is not None:
-        return F.nullif(F.array_join(found, source.join), F.lit(""))
-    return F.when(F.size(found) > 0, F.element_at(found, -1 if source.last else 1))
+        return let(F.array_join(found, source.join), lambda x: F.when(x != "", x))
+    return F.try_element_at(found, F.lit(-1 if source.last else 1))
 
 
 def transformed(raw: Column, rule: Rule) -> Column:
@@ -188,7 +189,7 @@ def field_value(rule: Rule, rows: Column, emit: Column, columns: Mapping[str, tu
     if rule.sources:
         texts = [_text_of(s, rows, emit, columns) for s in rule.sources]
         if rule.kind == "decimal":
-            return value_expression("sum", [amounts.printed_amount(x) for x in texts])
+            return let(F.array(*[amounts.printed_amount(x) for x in texts]), lambda x: value_expression("sum", [F.get(x, F.lit(k)) for k in range(len(texts))]))
         return F.nullif(F.concat_ws(" ", *texts), F.lit(""))
     if rule.source is not None:
         return transformed(_text_of(rule.source, rows, emit, columns), rule)

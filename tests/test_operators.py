@@ -261,3 +261,12 @@ def test_rows_by_column_and_gutters_join_nothing(spark):
     rows = layout.rows_by_column(words, [300.0])
     for df in (rows, layout.gutters(rows)):
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_amounts_are_read_once_each(spark):
+    rows = spark.createDataFrame([("d", 1, k, t, [(t, 0.0, 1.0)]) for k, t in enumerate(["A x", "N (1,234.50)", "R 2.25", "A y", "N none", "A z", "N 3"])], f"doc_id string, page int, row_index int, text string, cells {'array<struct<text:string,x0:double,x1:double>>'}")
+    source = lambda role, last=False: interpreter.Source(role, last=last, column="c")
+    model = interpreter.Model(interpreter.Region(columns={"c": (0.0, 9.0)}), (("start", {"row_text": "^A "}), ("tax", {"row_text": "^R "})), ("transition", "start"), {"combined": interpreter.Rule(sources=(source("detail", True), source("tax")), kind="decimal")})
+    got = interpreter.candidates(rows, model).select("group", "combined")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert sorted(map(tuple, got.collect())) == [(1, D("-1232.25")), (2, None), (3, D(3))]
