@@ -58,8 +58,9 @@ def stm01_file_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey, length(s_name) + 1 as length, sha256(s_name || chr(10)) digest from supplier")
 def src18_dropped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each supplier, read as a stream of whole files."""
+    """A file for each supplier, read as a stream of whole files.  The table is small and its files are many, so all cores write them."""
     target = _target(spark, "drop")
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("value")).write.partitionBy("s_suppkey").text(f"{target}/in")
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("value"))
+    names.repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey").write.partitionBy("s_suppkey").text(f"{target}/in")
     files = intake.appended(intake.dropped_files(spark, f"{target}/in", "*.txt"), f"{target}/out")
     return files.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), F.col("length"), "digest")

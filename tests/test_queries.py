@@ -62,3 +62,13 @@ def test_values_are_looked_for_in_their_own_documents_only(spark, monkeypatch):
     near = labels.neighbours(spark.createDataFrame(rows, f"doc long, page int, row_index int, role string, cells {labels.CELLS}"))
     targets = spark.createDataFrame([(1, "customer", "text", "C1"), (2, "customer", "text", "C1")], "doc long, name string, kind string, expected string")
     assert [(r.doc, r.label, r.position) for r in labels.proposed(near, targets).collect()] == [(1, "Customer No", "right")]
+
+
+def test_files_of_suppliers_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tessera import streams
+
+    monkeypatch.setattr(streams, "_target", lambda *_: str(tmp_path / "drop"))
+    spark.createDataFrame([(k, f"s{k}") for k in range(40)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = streams.src18_dropped_files(spark, str(tmp_path)).collect()
+    assert sorted((r.s_suppkey, r.length) for r in got) == [(k, len(f"s{k}") + 1) for k in range(40)]
+    assert len({f.name.split("-")[1] for f in (tmp_path / "drop" / "in").glob("*/part-*")}) > 4
