@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates
 from ..functions import text as t
-from ..functions.binding import let
+from ..functions.binding import let, once
 from ..operators import sequences
 from . import rules
 
@@ -231,7 +231,7 @@ def delivered_items(items: DataFrame, model: Model) -> DataFrame:
     given = F.col("description") if "description" in model.fields else F.lit(None).cast("string")
     kind = F.col("charge_type") if "charge_type" in model.fields else F.lit(None).cast("string")
     w = Window.partitionBy(*KEYS).orderBy("group", "_at")
-    out = items.where("amount is not null").withColumns({"_at": F.struct(at["page"], at["row_index"]), "description": F.substring(F.coalesce(given, plain), 1, 500), "charge_type": charge_type(kind), "source_page": at["page"]})
+    out = once(items, "amount").where("amount is not null").withColumns({"_at": F.struct(at["page"], at["row_index"]), "description": F.substring(F.coalesce(given, plain), 1, 500), "charge_type": charge_type(kind), "source_page": at["page"]})
     others = [n for n in model.fields if n not in ("description", "charge_type")]
     return out.withColumn("line_number", F.row_number().over(w).cast("long")).select(*KEYS, "line_number", "charge_type", "description", "source_page", *others)
 

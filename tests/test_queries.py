@@ -72,3 +72,20 @@ def test_files_of_suppliers_are_written_by_many_tasks(spark, tmp_path, monkeypat
     got = streams.src18_dropped_files(spark, str(tmp_path)).collect()
     assert sorted((r.s_suppkey, r.length) for r in got) == [(k, len(f"s{k}") + 1) for k in range(40)]
     assert len({f.name.split("-")[1] for f in (tmp_path / "drop" / "in").glob("*/part-*")}) > 4
+
+
+def test_fields_of_groups_take_one_exchange_and_are_worked_out_once(spark, tmp_path):
+    import datetime
+    import re
+    from decimal import Decimal
+
+    from tessera import models
+
+    lines = [(1, "A", 10.0), (1, "N", 5.0), (1, "R", 1.5), (2, "A", 3.0), (3, "R", 2.0), (3, "A", 1.0), (3, "R", 4.0)]
+    rows = [(k, 7, 8, n, price, flag, datetime.datetime(2024, 1, 1)) for n, (k, flag, price) in enumerate(lines)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = models.exp07_field_precedence(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert len(re.findall(r"role = detail\)", plan)) == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "fixed", Decimal("6.5"), "1.50"), (3, 1, "fixed", Decimal("4"), "4.00")]
