@@ -113,3 +113,13 @@ def test_lines_meet_neighbours_and_documents_in_one_exchange(spark, monkeypatch)
     assert len(exchanges) == 2 and all(re.fullmatch(r"doc#\d+L, \d+", x) for x in exchanges)  # lines and documents, the others are of rules
     assert not re.search(r"Filter.*size\(", plans["picks"])  # what is exploded is not worked out for a filter first
     assert sorted((r.doc, r.name, r.value) for r in got.collect()) == [(1, "total", "1.01"), (1, "under", "No"), (2, "total", "2.01"), (2, "under", "No")]
+
+
+def test_long_needles_are_found_in_one_pass_by_their_heads(spark):
+    from tessera.operators import needles
+
+    wanted = [f"{k:032d}" + "tail é" * 30 for k in range(10)] + [f"{3:032d}" + "tail"] + ["x" * 40 + chr(97 + k) for k in range(12)] + ["0" * 30, "x" * 32, "b"]
+    texts = [(k, " ".join(wanted[k % 5 :: 3]) + w[:-1] + w) for k, w in enumerate(wanted)] + [(99, "0" * 40), (100, None)]
+    got = needles.matches(spark.createDataFrame(texts, "k long, text string"), "text", spark.createDataFrame([(w,) for w in wanted], "w string"), "w", part=1000)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, got.collect())) == sorted((k, w, t.find(w), t.rfind(w)) for k, t in texts if t for w in wanted if w in t)
