@@ -123,3 +123,18 @@ def test_long_needles_are_found_in_one_pass_by_their_heads(spark):
     got = needles.matches(spark.createDataFrame(texts, "k long, text string"), "text", spark.createDataFrame([(w,) for w in wanted], "w string"), "w", part=1000)
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(tuple, got.collect())) == sorted((k, w, t.find(w), t.rfind(w)) for k, t in texts if t for w in wanted if w in t)
+
+
+def test_links_of_copies_are_compared_once_and_values_read_once(spark, tmp_path):
+    import re
+
+    from tessera import inductions
+
+    texts = [(k, "s", "No 17\nsome line\nacc 4") for k in range(6)] + [(6, "s", "No 17\nother\nacc 5"), (7, "s", "acc 5\nx"), (8, None, "lone\nline"), (9, "t", None), (10, "u", "")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k in (1, 2, 6, 7, 9))) for k, _, _ in texts], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    links = inductions.jn22_linked(spark, str(tmp_path))
+    assert sorted(map(tuple, links.collect())) == [("s", 1, 0, 2, "paired"), ("s", 2, 0, 2, "paired"), ("s", 6, 6, 2, "paired"), ("s", 7, 7, 2, "paired")]
+    levels = inductions.aut06_evidence_level(spark, str(tmp_path))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*\btext#", levels._jdf.queryExecution().executedPlan().toString())) == 1  # for the profiles alone
+    assert sorted(map(tuple, levels.collect())) == [("", "invoice_only"), ("s", "paired_blueprint"), ("u", "invoice_only")]
