@@ -138,3 +138,15 @@ def test_links_of_copies_are_compared_once_and_values_read_once(spark, tmp_path)
     levels = inductions.aut06_evidence_level(spark, str(tmp_path))
     assert len(re.findall(r"FileScan parquet \[[^\]]*\btext#", levels._jdf.queryExecution().executedPlan().toString())) == 1  # for the profiles alone
     assert sorted(map(tuple, levels.collect())) == [("", "invoice_only"), ("s", "paired_blueprint"), ("u", "invoice_only")]
+
+
+def test_plans_are_read_off_all_pages(spark, tmp_path):
+    from tessera import inductions
+
+    lines = [f"line {k}" for k in range(25 * inductions.LINES)]
+    lines[0], lines[9], lines[-8], lines[-1] = "No 17", "abcdefghijklmnop", "abcdefghijklmnop", "acc 4"
+    lines[23 * inductions.LINES] = "Period 01/02/2024 to 29/02/2024"
+    spark.createDataFrame([(1, "s", "\n".join(lines))], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (plan,) = inductions.aut06_plans(spark, str(tmp_path)).collect()
+    assert (plan.n_pages, plan.has_period) == (24, True)
