@@ -19,10 +19,9 @@ LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 # Layout.
 @query(f"with {WORDS_SQL} select doc_id, page, word_no, round(x0 / 612 * 1000, 2) nx0, round((ln * 12.0) / 792 * 1000, 2) ny0, 0.0 as flat from (select *, row_number() over (partition by doc_id, page order by ln, k) word_no from w)")
 def lay04_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = words.from_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    numbered = w.withColumn("word_no", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("word_seq")))
+    """Words of a page are numbered by their place in its array, without a sort."""
+    w = words.pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    numbered = w.select("doc_id", "page", F.posexplode("w").alias("k", "word")).select("doc_id", "page", (F.col("k") + 1).alias("word_no"), "word.*")
     return numbered.select("doc_id", "page", F.col("word_no").cast("long").alias("word_no"), layout.normalized(F.col("x0"), F.lit(612.0)).alias("nx0"), layout.normalized(F.col("y0"), F.lit(792.0)).alias("ny0"), layout.normalized(F.col("y0"), F.lit(0.0)).alias("flat"))
 
 

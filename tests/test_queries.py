@@ -150,3 +150,31 @@ def test_plans_are_read_off_all_pages(spark, tmp_path):
     spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     (plan,) = inductions.aut06_plans(spark, str(tmp_path)).collect()
     assert (plan.n_pages, plan.has_period) == (24, True)
+
+
+def test_words_of_pages_are_placed_within_a_row(spark):
+    from tessera.operators import layout
+    from tessera.sources import words
+
+    texts = {1: " ".join("x" * (k % 7) for k in range(9000)) + "\n\n a  bc \tq", 2: "\n".join(f"l{k} é 𝄞x" for k in range(130)), 3: "", 4: None, 5: "\n" * 70 + "end", 6: "  "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = []
+    for d, t in texts.items():
+        for n, line in enumerate((t or "").split("\n")):
+            at = 0
+            for k, w in enumerate(line.split(" ")):
+                if w.strip(" "):
+                    want.append((str(d), n // 60 + 1, n % 60 * 10000 + k, w, 5.0 * at, 12.0 * (n % 60), 5.0 * (at + len(w)), 12.0 * (n % 60) + 10))
+                at += len(w) + 1
+    got = words.from_text(docs)
+    assert sorted(tuple(r)[:8] for r in got.collect()) == sorted(want)
+    pages = words.pages(docs)
+    for df in (got, layout.rows_of_lines(layout.lines_of(pages)), layout.lines_by_column(pages, [40.0])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan and "Sort" not in plan
+    old = layout.visual_rows(got)
+    whole = lambda df: sorted((r.doc_id, r.page, r.row_index, r.text, [tuple(c) for c in r.cells], r.x0, r.y0, r.x1, r.y1, r.role) for r in df.collect())
+    assert whole(layout.rows_of_lines(layout.lines_of(pages))) == whole(layout.rows_of(layout.cells(old)))
+    by_column = layout.rows_by_column(got, [40.0]).collect()
+    lines = layout.lines_by_column(pages, [40.0]).collect()
+    assert sorted((r.doc_id, r.page, r.reading_column, r.row_index, r.word_seq) for r in by_column) == sorted((r.doc_id, r.page, r.reading_column, r.row_index, w.word_seq) for r in lines for w in r.w)
