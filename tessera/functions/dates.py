@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,17 @@ COMPARE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "d-MMM-yyyy
 EMBEDDED = r"(\d{1,2}[-/ ][A-Za-z]{3,9}\.?[-/ ]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{2,4}|[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{2,4})"
 
 
+def _shape(form: str) -> str | None:
+    """A pattern that every text has which a format of days, months and years reads; none for other formats."""
+    parts = re.findall(r"d+|M+|y+|[ \-/.,]|.", form)
+    if any(p[0] not in "dMy -/.," for p in parts):
+        return None
+    return "^" + "".join(re.escape(p) if p[0] not in "dMy" else r"\D+" if p.startswith("MMM") else r"[+\-]?\d+" for p in parts) + "$"
+
+
 def _read(text: Column, form: str) -> Column:
-    day = F.to_date(F.try_to_timestamp(text, F.lit(form)))
+    day, shape = F.to_date(F.try_to_timestamp(text, F.lit(form))), _shape(form)
+    day = F.when(text.rlike(shape), day) if shape else day  # a text that is not read costs an exception
     if "yyyy" in form or "yy" not in form:
         return day
     # two digits from 69 on are of the century before
@@ -24,7 +35,8 @@ def _read(text: Column, form: str) -> Column:
 def _whole(text: Column, formats: tuple[str, ...]) -> Column:
     """The first format that reads the text, then the text without the point behind a month."""
     bare = F.regexp_replace(text, r"\b([A-Za-z]{3,9})\.(?=\s+\d)", "$1")
-    return F.coalesce(*[_read(t, f) for t in (text, bare) for f in formats])
+    read = lambda t: F.coalesce(*[_read(t, f) for f in formats])
+    return F.coalesce(read(text), F.when(bare != text, read(bare)))
 
 
 def printed_date(text: Column, formats: tuple[str, ...] = RULE_FORMATS, hint: str | None = None, *, embedded: bool = True) -> Column:
